@@ -14,6 +14,9 @@ The last rung compares spellings. Its candidates come from an exact filter
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +24,7 @@ from sideline.functions.similarity import indel_ratio
 from sideline.functions.text import clean_text, name_key, team_code
 from sideline.operators.schema import resolve_aliases
 from sideline.schemas import DEFENSE_ALIASES, IDENTITY_OVERRIDES, MASTER_ALIASES
+from sideline.session import ensure_checkpointing
 
 # fixed values
 FUZZY_THRESHOLD = 90.0
@@ -208,6 +212,10 @@ def match_ladder(
     confidence = F.element_at(F.create_map(*[F.lit(x) for kv in RUNGS.items() for x in kv]), F.col("method"))
     df = df.withColumn("_score", confidence)
     if fuzzy:
+        # What the equi-join rungs left open is needed several times below, so
+        # the ladder's outcome is written once instead of being recomputed.
+        ensure_checkpointing(df.sparkSession)
+        df = df.checkpoint()
         unmatched = df.where(
             F.col("method").isNull() & ~F.col("_defense") & F.col("_override").isNull() & (F.col("_fallback") != "")
         ).select("_rid", F.col("_fallback").alias("probe"), F.col("_team").alias("probe_team"))
@@ -258,18 +266,40 @@ def match_ladder(
 # ------------------------------------------------------------------ spelling
 
 
-def _most_edits(length: Column) -> Column:
-    """Most indels a name of this length can have to any name within the threshold."""
-    return F.floor(length * 2 / 9).cast("int")
-
-
-def _pieces(length: Column) -> Column:
-    """Number of pieces a master name is cut into: at least two survive all edits."""
-    return _most_edits(length) + 2
-
-
-def _piece_start(length: Column, pieces: Column, i: Column) -> Column:
-    return F.floor(length * i / pieces).cast("int")
+def _pieces(length: int) -> int:
+    """Number of pieces a master name is cut into: at least two survive the most edits allowed."""
+    return length * 2 // 9 + 2
+
+
+def _probe_lengths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For each probe length: which two pieces of which name length may stand where."""
+    for batch in batches:
+        for lp in batch["lp"]:
+            found = set()
+            for ln in range(max(1, -(-lp * 9 // 11)), lp * 11 // 9 + 1):
+                gap, k = lp - ln, _pieces(ln)
+                edits = (lp + ln) // 10
+                edits -= (edits - gap) % 2  # insertions and deletions differ by the gap
+                cuts = [ln * i // k for i in range(k + 1)]
+                for s1 in range(-edits, edits + 1):
+                    for s2 in range(-edits, edits + 1):
+                        if abs(s1) + abs(s2 - s1) + abs(gap - s2) > edits:
+                            continue
+                        for i in range(k - 1):
+                            for j in range(i + 1, k):
+                                a, b = cuts[i] + s1, cuts[j] + s2
+                                n, m = cuts[i + 1] - cuts[i], cuts[j + 1] - cuts[j]
+                                if a >= 0 and b >= 0 and a + n <= lp and b + m <= lp:
+                                    found.add((lp, ln, i, j, a + 1, n, b + 1, m))
+            yield pd.DataFrame(sorted(found), columns=["lp", "ln", "i", "j", "a", "n", "b", "m"], dtype="int32")
+
+
+def _bucket(text: str) -> Column:
+    """Join key: name length, two piece numbers and the two pieces."""
+    return F.concat_ws(
+        _SEP, "ln", "i", "j",
+        F.substr(F.col(text), F.col("a"), F.col("n")), F.substr(F.col(text), F.col("b"), F.col("m")),
+    )
 
 
 def fuzzy_candidates(probes: DataFrame, names: DataFrame) -> DataFrame:
@@ -278,55 +308,45 @@ def fuzzy_candidates(probes: DataFrame, names: DataFrame) -> DataFrame:
     Similarity 90 means at most D = 0.1 * (len a + len b) insertions and
     deletions. A name cut into D + 2 pieces keeps at least two of them
     unharmed, and each of those stands in the probe, shifted by at most as many
-    places as there are edits to spend. So the join key is (length, two piece
-    numbers, the two pieces), a much narrower bucket than one n-gram; the shifts
-    (s1, s2) tried are only those with |s1| + |s2 - s1| + |d - s2| <= D, d being
-    the length difference. The edit-distance test is part of the join
+    places as there are edits to spend: |s1| + |s2 - s1| + |gap - s2| <= D for
+    the shifts s1, s2 and the length difference gap. So the join key is (length,
+    two piece numbers, the two pieces), a much narrower bucket than one n-gram.
+    Where pieces may stand depends on lengths only and is worked out once per
+    distinct probe length. The edit-distance test is part of the join
     condition, so a bucket never emits pairs that fail it.
     """
-    n = F.length("name")
+    ln = F.length("name")
+    k = F.floor(ln * 2 / 9).cast("int") + 2
+
+    def cut(i: Column) -> Column:
+        return F.floor(F.col("ln") * i / F.col("k")).cast("int")
+
     indexed = (
-        names.select("name", n.alias("ln"), _pieces(n).alias("k"))
+        names.select("name", ln.alias("ln"), k.alias("k"))
         .select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 2)).alias("i"))
         .select("*", F.explode(F.sequence(F.col("i") + 1, F.col("k") - 1)).alias("j"))
-    )
-
-    def piece(text: str, p: str, shift: Column) -> Column:
-        start = _piece_start(F.col("ln"), F.col("k"), F.col(p))
-        end = _piece_start(F.col("ln"), F.col("k"), F.col(p) + 1)
-        return F.substr(F.col(text), start + shift + 1, end - start)
-
-    def bucket(text: str, s1: Column, s2: Column) -> Column:
-        return F.concat_ws(
-            _SEP, F.col("ln").cast("string"), F.col("i").cast("string"), F.col("j").cast("string"),
-            piece(text, "i", s1), piece(text, "j", s2),
+        .withColumns(
+            {
+                "a": cut(F.col("i")) + 1, "n": cut(F.col("i") + 1) - cut(F.col("i")),
+                "b": cut(F.col("j")) + 1, "m": cut(F.col("j") + 1) - cut(F.col("j")),
+            }
         )
-
-    zero = F.lit(0)
-    left = indexed.select("name", bucket("name", zero, zero).alias("bucket"))
-
-    p = F.length("probe")
-    edits = F.floor((F.col("lp") + F.col("ln")) / 10).cast("int")
-    spend = edits - F.pmod(edits - (F.col("lp") - F.col("ln")), F.lit(2)).cast("int")
-    gap = F.col("lp") - F.col("ln")
+        .select("name", _bucket("name").alias("bucket"))
+    )
+    lengths = probes.select(F.length("probe").alias("lp")).distinct()
+    places = lengths.mapInPandas(
+        _probe_lengths, "lp int, ln int, i int, j int, a int, n int, b int, m int"
+    )
+    # Only name lengths that occur; most of a long probe's places drop out here.
+    places = places.join(names.select(ln.alias("ln")).distinct(), "ln", "left_semi")
     asked = (
-        probes.select("probe", p.alias("lp"))
-        .select("*", F.explode(F.sequence(F.ceil(p * 9 / 11).cast("int"), F.floor(p * 11 / 9).cast("int"))).alias("ln"))
-        .withColumns({"d": spend, "gap": gap, "k": _pieces(F.col("ln"))})
-        .where((F.col("d") >= F.abs("gap")) & (F.col("ln") > 0))
-        .select("*", F.explode(F.sequence(-F.col("d"), F.col("d"))).alias("s1"))
-        .select("*", F.explode(F.sequence(-F.col("d"), F.col("d"))).alias("s2"))
-        .where(F.abs("s1") + F.abs(F.col("s2") - F.col("s1")) + F.abs(F.col("gap") - F.col("s2")) <= F.col("d"))
-        .select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 2)).alias("i"))
-        .select("*", F.explode(F.sequence(F.col("i") + 1, F.col("k") - 1)).alias("j"))
-        .where(_piece_start(F.col("ln"), F.col("k"), F.col("i")) + F.col("s1") >= 0)
-        .where(_piece_start(F.col("ln"), F.col("k"), F.col("j")) + F.col("s2") >= 0)
-        .select("probe", bucket("probe", F.col("s1"), F.col("s2")).alias("bucket"))
+        probes.withColumn("lp", F.length("probe"))
+        .join(places, "lp")
+        .select("probe", _bucket("probe").alias("bucket"))
         .distinct()
     )
-    total = F.length("probe") + F.length("name")
-    near = F.levenshtein("probe", "name") <= F.floor(total / 10)
-    return asked.join(left, "bucket").where(near).select("probe", "name").distinct()
+    near = F.levenshtein("probe", "name") <= F.floor((F.length("probe") + F.length("name")) / 10)
+    return asked.join(indexed, "bucket").where(near).select("probe", "name").distinct()
 
 
 def fuzzy_matches(unmatched: DataFrame, master: DataFrame, *, order: str = "player_id") -> DataFrame:

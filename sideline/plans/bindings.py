@@ -168,7 +168,7 @@ def schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _words(key: Column) -> tuple[Column, Column]:
     """Two invented name parts per customer key."""
-    code = F.translate(F.lpad(((key * 48271 + 11) % 2147483647).cast("string"), 10, "0"), DIGITS, LETTERS)
+    code = F.translate(F.lpad(((key * 1103515245 + 12345) % 2147483647).cast("string"), 10, "0"), DIGITS, LETTERS)
     return F.initcap(F.substring(code, 1, 5)), F.initcap(F.substring(code, 6, 5))
 
 
@@ -420,7 +420,7 @@ def matchup_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     block = F.concat_ws(
         "\n", name, F.concat(F.lit("Dal - "), "position"), F.when(started, "Final W 24-10").otherwise("Sun 12:00 pm @ Buf")
     )
-    cell = F.coalesce(F.format_string("%.2f", "yahoo_projection"), F.lit("–"))
+    cell = F.when(F.col("yahoo_projection").isNull(), "–").otherwise(F.format_string("%.2f", "yahoo_projection"))
     entry = F.struct("pair", "side", "slot", block.alias("block"), cell.alias("cell"))
     sheets = e.groupBy("sheet").agg(F.array_sort(F.collect_list(entry)).alias("e"))
 

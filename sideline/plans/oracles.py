@@ -283,7 +283,7 @@ SELECT season, week, team, game_id,
   ((gameday || ' ' || gametime || ':00')::TIMESTAMP
     + CASE WHEN week IN (5, 6, 7, 8, 9, 10) OR (week = 4) THEN INTERVAL 4 HOUR ELSE INTERVAL 5 HOUR END) AS kickoff_utc
 FROM games WHERE game_type = 'REG'""", "games")
-cte("asof", f"""
+cte("asof_t", f"""
 SELECT season, defense_team, position_group, week, sum(played) OVER b AS games, sum(points) OVER b AS points_allowed FROM (
   SELECT season, defense_team, position_group, week, sum(points) AS points, max(played) AS played FROM (
     SELECT season, opponent AS defense_team, position AS position_group, week, sum(fantasy_points_std) AS points, 1 AS played
@@ -299,7 +299,7 @@ cte("people", f"""
 SELECT c_custkey AS key, upper(w[1:1]) || w[2:5] AS first, upper(w[6:6]) || w[7:10] AS last,
   upper(w[1:1]) || w[2:5] || ' ' || upper(w[6:6]) || w[7:10] AS full_name, 'T' || c_nationkey AS team,
   {POS4}[(c_custkey % 4 + 1)::INT] AS position, c_acctbal AS balance
-FROM (SELECT *, translate(lpad(((c_custkey * 48271 + 11) % 2147483647)::VARCHAR, 10, '0'), '0123456789', 'abdegiklno') AS w FROM customer)""")
+FROM (SELECT *, translate(lpad(((c_custkey * 1103515245 + 12345) % 2147483647)::VARCHAR, 10, '0'), '0123456789', 'abdegiklno') AS w FROM customer)""")
 
 
 def name_key_sql(x: str) -> str:
@@ -327,9 +327,10 @@ FROM people
 UNION ALL SELECT 'Q' || p_partkey, 'Manager ' || (p_partkey // 12), p_name, p_brand, p_type, 'BN' FROM part""", "people")
 
 cte("roster", f"""
+SELECT min(row_id) AS row_id, manager, player, team, position, slot, yahoo_status, player_normalized FROM (
 SELECT row_id, owner AS manager, player_name AS player, nfl_team AS team,
   CASE WHEN upper(pos) IN ('D/ST', 'DST') THEN 'DEF' WHEN upper(pos) = 'BN' THEN 'BENCH' ELSE upper(pos) END AS position,
-  upper(roster_slot) AS slot, '' AS yahoo_status, {name_key_sql('player_name')} AS player_normalized FROM raw_roster""", "raw_roster")
+  upper(roster_slot) AS slot, '' AS yahoo_status, {name_key_sql('player_name')} AS player_normalized FROM raw_roster) GROUP BY ALL""", "raw_roster")
 
 cte("mapped_roster", """
 SELECT key, 'Manager ' || (key // 12) AS manager, CASE WHEN key % 3 = 0 THEN 'BN' ELSE position END AS slot,
@@ -421,7 +422,7 @@ SELECT *, {SHEET_SLOTS}[pair + 1] AS slot, {SHEET_POSITIONS}[pair + 1] AS positi
   CASE WHEN pair < 9 THEN 'starters' ELSE 'bench' END AS "table",
   'Team ' || sheet || CASE WHEN key % 2 = 0 THEN ' A' ELSE ' B' END AS manager, 'sheet_' || sheet AS source_file,
   sheet % 7 = 6 AS wrong_week, sheet % 11 = 10 AS started
-FROM (SELECT *, key // 32 AS sheet, ((key % 32) // 2)::INT AS pair, full_name AS player_name FROM people)""", "people")
+FROM (SELECT * EXCLUDE (position), key // 32 AS sheet, ((key % 32) // 2)::INT AS pair, full_name AS player_name FROM people)""", "people")
 cte("captured", """SELECT player_name, 'DAL' AS team, position, manager, slot, yahoo_projection, "table", source_file FROM sheet WHERE NOT wrong_week AND NOT started""", "sheet")
 cte("sheet_roster", """
 SELECT CASE WHEN key % 9 > 6 THEN 'Elsewhere' ELSE manager END AS manager,
@@ -507,10 +508,10 @@ SELECT l_suppkey, l_shipdate, {r6('max(l_quantity)', 'points_allowed')}, {r6('''
 O["event_actor_modes"] = _sql(
     f"SELECT season, week, player_id, {r6s('return_yards', 'return_tds')} FROM ({_events(_event_rows('supplier'))})", "plays")
 O["event_availability"] = """
-SELECT event, available, CASE WHEN available THEN CASE event WHEN 'receiving_tds_40_plus' THEN count(*) FILTER (WHERE l_linenumber <> 1)
-  WHEN 'return_yards' THEN count(*) FILTER (WHERE l_linenumber % 3 = 0) WHEN 'return_tds' THEN count(*) FILTER (WHERE l_linenumber % 3 = 0) ELSE count(*) END ELSE 0 END AS plays_with_actor
-FROM lineitem, (VALUES ('passing_tds_40_plus', true), ('rushing_tds_40_plus', false), ('receiving_tds_40_plus', true), ('return_yards', true),
-  ('return_tds', true), ('offensive_fumble_return_tds', true), ('extra_points_made', true), ('field_goal_yards_made', false)) v(event, available) GROUP BY ALL"""
+SELECT v.event, v.available, CASE WHEN v.available THEN CASE v.event WHEN 'receiving_tds_40_plus' THEN named WHEN 'return_yards' THEN thirds WHEN 'return_tds' THEN thirds ELSE n END ELSE 0 END AS plays_with_actor
+FROM (SELECT count(*) AS n, count(*) FILTER (WHERE l_linenumber <> 1) AS named, count(*) FILTER (WHERE l_linenumber % 3 = 0) AS thirds FROM lineitem),
+ (VALUES ('passing_tds_40_plus', true), ('rushing_tds_40_plus', false), ('receiving_tds_40_plus', true), ('return_yards', true),
+  ('return_tds', true), ('offensive_fumble_return_tds', true), ('extra_points_made', true), ('field_goal_yards_made', false)) v(event, available)"""
 O["event_totals"] = _sql(
     "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{e}' AS event, {r6(f'sum({e})', 'total')} FROM events_t" for e in EVENT_COLUMNS) + ") WHERE total <> 0", "events_t")
 O["duplicate_guard"] = _sql(f"SELECT {KEYS}, count(*) AS count FROM snaps GROUP BY ALL HAVING count(*) > 1", "snaps")
@@ -552,7 +553,7 @@ O["defense_attached"] = _sql(
 LEFT JOIN hist7 h ON s.season = h.season AND s.opponent = h.defense_team AND s.position = h.position_group WHERE week = 7""".replace(
         f"SELECT {KEYS}", "SELECT player_id, s.season, week"), "stats", "hist7")
 O["opponent_asof"] = _sql(
-    f"SELECT season, defense_team, position_group, week, games::BIGINT AS games, {r6s('points_allowed')}, {r6('points_allowed / games', 'points_allowed_per_game')} FROM asof WHERE games > 0", "asof")
+    f"SELECT season, defense_team, position_group, week, games::BIGINT AS games, {r6s('points_allowed')}, {r6('points_allowed / games', 'points_allowed_per_game')} FROM asof_t WHERE games > 0", "asof_t")
 O["baseline_forecast"] = _sql(f"SELECT {KEYS}, {r6s('baseline_projection', 'volatility', 'range_low', 'range_high', 'confidence')} FROM proj", "proj")
 O["classification"] = _sql(f"SELECT {KEYS}, classification FROM proj", "proj")
 O["reasons"] = _sql(f"SELECT {KEYS}, why FROM proj", "proj")
@@ -598,7 +599,7 @@ cte("mm", "SELECT *, string_split(name_normalized, ' ') AS toks FROM master WHER
 
 def _rung(no: int, method: str, cond: str, source: str = "rows_v r", extra: str = "true", order: str = "0") -> str:
     return f"""SELECT row_id, {no} + {order} AS rung, '{method}' AS method, any_value(m.player_id) AS pid, any_value(m.display_name) AS dn, any_value(m.team) AS mt,
-  any_value(m.position) AS mp, any_value(m.name_normalized) AS mn FROM {source} JOIN mm m ON {cond} WHERE {extra} GROUP BY row_id, {order} HAVING count(*) = 1"""
+  any_value(m.position) AS mp, any_value(m.name_normalized) AS mn FROM {source} JOIN mm m ON {cond} WHERE {extra} GROUP BY row_id{', ' + order if order != '0' else ''} HAVING count(*) = 1"""
 
 
 _NARROW = "(r.tm = '' OR m.team = r.tm) AND (r.position = '' OR m.position = r.position)"
@@ -675,7 +676,7 @@ cte("league", """
 SELECT r.key, CASE WHEN r.position = 'DEF' THEN 'DEF:' || r.team ELSE rid END AS player_id, player AS player_name, r.position, r.team, manager AS fantasy_manager, slot AS roster_slot,
   f.projection, f.baseline_projection, f.confidence, f.classification FROM mapped_roster r LEFT JOIN (
   SELECT 'C' || key AS pid, CASE WHEN key % 19 <> 2 THEN abs(balance) / 100 END AS projection, abs(balance) / 120 AS baseline_projection, balance / 50 AS confidence, 'Stable' AS classification
-  FROM people WHERE key % 10 <> 4 AND key % 17 <> 1) f ON r.rid = f.pid AND r.position <> 'DEF'""", "mapped_roster", "people")
+  FROM people) f ON r.rid = f.pid AND r.key % 10 <> 4 AND r.key % 17 <> 1 AND r.position <> 'DEF'""", "mapped_roster", "people")
 _STATUS = "CASE WHEN player_id = '' THEN 'identity_unresolved' WHEN projection IS NULL THEN 'forecast_unavailable' ELSE 'available' END"
 O["league_snapshot"] = _sql(
     f"SELECT key, player_id, player_name, position, team, fantasy_manager, roster_slot, {r6s('projection')}, 'league_roster' AS snapshot_scope, {_STATUS} AS forecast_status FROM league", "league")
@@ -732,8 +733,8 @@ O["walk_forward"] = _sql(
 O["walk_forward_matchup"] = _sql(f"""
 SELECT {_P3}, coalesce(g.opponent, '') AS opponent, {r6('points_allowed / nullif(games, 0)', 'opponent_points_allowed_per_game')}, {r6s('target_next_week')}
 FROM (SELECT * EXCLUDE (opponent) FROM pairs) p LEFT JOIN (SELECT season, week AS target_week, team, opponent FROM games) g USING (season, target_week, team)
-LEFT JOIN (SELECT season, week AS target_week, defense_team AS opponent, position_group AS position, games, points_allowed FROM asof WHERE defense_team <> '') a USING (season, target_week, opponent, position)""",
-    "pairs", "games", "asof")
+LEFT JOIN (SELECT season, week AS target_week, defense_team AS opponent, position_group AS position, games, points_allowed FROM asof_t WHERE defense_team <> '') a USING (season, target_week, opponent, position)""",
+    "pairs", "games", "asof_t")
 cte("bt_rows", f"""
 SELECT season, target_week, player_id, baseline_projection, target_next_week AS fantasy_points_std_actual, baseline_projection - target_next_week AS error FROM bt WHERE target_week > 1""", "bt")
 O["backtest_rows"] = _sql(f"""

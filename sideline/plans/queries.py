@@ -701,8 +701,8 @@ def comparison_batch(spark, sf_dir):
 
 def league(spark, sf_dir):
     p = B.people(spark, sf_dir)
-    forecasts = p.where(F.col("key") % 10 != 4).select(
-        F.when(F.col("key") % 17 == 1, "").otherwise(F.concat(F.lit("C"), F.col("key").cast("string"))).alias("player_id"),
+    forecasts = p.select(
+        F.when((F.col("key") % 10 == 4) | (F.col("key") % 17 == 1), " ").otherwise(F.concat(F.lit("C"), F.col("key").cast("string"))).alias("player_id"),
         F.col("full_name").alias("player_name"), "position", "team",
         F.when(F.col("key") % 19 != 2, F.abs("balance") / 100).alias("projection"),
         (F.abs("balance") / 120).alias("baseline_projection"), (F.col("balance") / 50).alias("confidence"),

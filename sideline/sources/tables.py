@@ -108,7 +108,7 @@ def load_injuries(spark: SparkSession, path: str, **options) -> DataFrame:
 def write_csv(df: DataFrame, path: str, *, mode: str = "overwrite") -> None:
     """CSV sink; nested columns are written as JSON text."""
     nested = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
-    df.withColumns({c: F.to_json(c) for c in nested}).write.mode(mode).option("header", True).csv(path)
+    df.withColumns({c: F.to_json(c) for c in nested}).write.mode(mode).options(header=True, escape='"').csv(path)
 
 
 def export_run(root: str, roster: DataFrame, projections: DataFrame, waiver: DataFrame) -> None:
