@@ -14,8 +14,7 @@ DECISION_PLACES = 9
 
 def as_double(c: Column) -> Column:
     """Lenient cast: text that is no number, NaN included, becomes null."""
-    d = c.try_cast("double")
-    return F.when(F.isnan(d), None).otherwise(d)
+    return F.nanvl(c.try_cast("double"), F.lit(None).cast("double"))
 
 
 def number_or_zero(df: DataFrame, name: str) -> Column:
@@ -47,7 +46,8 @@ def floor_zero(c: Column) -> Column:
 
 def finite_or_zero(c: Column) -> Column:
     """Model input cleaning: null, NaN and the infinities become 0."""
-    return F.when(c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf"))), 0.0).otherwise(c)
+    # NaN sorts above infinity, so one comparison rejects all four.
+    return F.when(F.abs(c) < F.lit(float("inf")), c).otherwise(0.0)
 
 
 def zero_if_null(c: Column) -> Column:
@@ -61,7 +61,7 @@ def settled(c: Column) -> Column:
 
 def row_std(values: Sequence[Column], fallback: float) -> Column:
     """Population std of the non-missing values in a row; fallback when fewer than two."""
-    finite = [F.when(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")), v) for v in values]
+    finite = [F.when(F.abs(v) < F.lit(float("inf")), v) for v in values]
     n = sum((F.when(v.isNotNull(), 1).otherwise(0) for v in finite), F.lit(0))
     mean = sum((zero_if_null(v) for v in finite), F.lit(0.0)) / n
     squares = sum(

@@ -1,7 +1,7 @@
 """Scoring events rebuilt from play-level rows.
 
-One scan and one shuffle: every play emits its (player, event, value) triples
-through a row-local array, and the sums are combined before the shuffle. A
+One scan and one shuffle: every play emits one row per actor through a
+row-local array, and the sums are combined before the shuffle. A
 player or week that owns a large share of the plays therefore costs one
 partial row per task.
 """
@@ -99,30 +99,32 @@ def event_rollup(plays: DataFrame, *, actor_mode: str = "first", time_keys: Sequ
         "extra_points_made": _equals(plays, "extra_point_result", "good"),
         "field_goal_yards_made": n("kick_distance") * _equals(plays, "field_goal_result", "made"),
     }
-    triples = []
+    # One struct per actor column, holding the values of all its events; the
+    # other events are 0, so the sums need no case distinction.
+    by_actor: dict[tuple[str, ...], list[str]] = {}
     for event, (actors, _) in EVENT_SOURCES.items():
+        by_actor.setdefault(actors, []).append(event)
+    entries = []
+    for actors, own in by_actor.items():
         actor = _actor(plays, actors, actor_mode)
         if actor is not None:
-            triples.append(
-                F.struct(actor.alias("player_id"), F.lit(event).alias("event"), values[event].alias("value"))
-            )
-    if not triples:
-        triples = [F.struct(F.lit(None).cast("string").alias("player_id"), F.lit("").alias("event"), F.lit(0.0).alias("value"))]
-    kept = F.filter(
-        F.array(*triples),
-        lambda t: t["player_id"].isNotNull() & (t["player_id"] != "<NA>") & (t["value"] != 0),
-    )
+            cells = [(values[e] if e in own else F.lit(0.0)).alias(e) for e in EVENT_COLUMNS]
+            entries.append(F.struct(actor.alias("player_id"), *cells))
+    if not entries:
+        entries = [F.struct(F.lit(None).cast("string").alias("player_id"), *[F.lit(0.0).alias(e) for e in EVENT_COLUMNS])]
     season, week = F.col("season").try_cast("int"), F.col("week").try_cast("int")
-    exploded = plays.select(
-        season.alias("season"), week.alias("week"), *time_keys, F.explode(kept).alias("t")
-    ).where(F.col("season").isNotNull() & F.col("week").isNotNull())
-    extra = [c for c in exploded.columns if c not in ("season", "week", "t")]
-    return exploded.groupBy("season", "week", F.col("t.player_id").alias("player_id"), *extra).agg(
-        *[
-            F.sum(F.when(F.col("t.event") == event, F.col("t.value")).otherwise(0.0)).alias(event)
-            for event in EVENT_COLUMNS
-        ]
+    rows = plays.select(
+        season.alias("season"), week.alias("week"), *time_keys, F.inline(F.array(*entries))
+    )
+    something = F.lit(False)
+    for event in EVENT_COLUMNS:
+        something = something | (F.col(event) != 0)
+    rows = rows.where(
+        F.col("season").isNotNull() & F.col("week").isNotNull()
+        & F.col("player_id").isNotNull() & (F.col("player_id") != "<NA>") & something
     )
+    extra = [c for c in rows.columns if c not in ("season", "week", "player_id", *EVENT_COLUMNS)]
+    return rows.groupBy("season", "week", "player_id", *extra).agg(*[F.sum(e).alias(e) for e in EVENT_COLUMNS])
 
 
 def event_totals(events: DataFrame) -> DataFrame:

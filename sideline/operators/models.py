@@ -133,12 +133,20 @@ def fit_ridge(
     and the label's deviation, hence the conversion.
     """
     features = [f for f in MODEL_FEATURES if f in train.columns]
+    if len(features) < MIN_FEATURES:
+        return None
     rows = train.where(F.col(target).isNotNull())
-    position = _position(rows)
-    stats = rows.select(
-        F.col(target).cast("double").alias("_y"), position.alias("_p"), *[_clean(rows, f).alias(f) for f in features]
-    )
-    summary = stats.agg(
+    inputs = rows.select(
+        F.col(target).cast("double").alias("_y"), _position(rows).alias("_p"), *[_clean(rows, f).alias(f) for f in features]
+    ).persist()
+    try:
+        return _fit_ridge(inputs, features, penalty, min_examples)
+    finally:
+        inputs.unpersist()
+
+
+def _fit_ridge(inputs: DataFrame, features: list[str], penalty: float, min_examples: int) -> RidgeModel | None:
+    summary = inputs.agg(
         F.count(F.lit(1)).alias("_n"),
         F.stddev_pop("_y").alias("_sy"),
         F.collect_set(F.when(F.col("_p").isin(*OFFENSE), F.col("_p"))).alias("_positions"),
@@ -146,26 +154,22 @@ def fit_ridge(
         *[F.stddev_pop(f).alias(f"std_{f}") for f in features],
     ).first()
     n = summary["_n"]
-    if len(features) < MIN_FEATURES or n < min_examples:
+    if n < min_examples:
         return None
     means = {f: float(summary[f"mean_{f}"]) for f in features}
     stds = {f: float(summary[f"std_{f}"] or 0.0) or 1.0 for f in features}
     positions = sorted(summary["_positions"]) or sorted(OFFENSE)
-    design = stats.select(
-        "_y",
-        *[((F.col(f) - means[f]) / stds[f]).alias(f) for f in features],
-        *[F.when(F.col("_p") == p, 1.0).otherwise(0.0).alias(f"is_{p}") for p in positions],
-    )
-    names = features + [f"is_{p}" for p in positions]
     # A column without any variation carries no weight and would make the
     # solver's scaling divide by zero, so it is left out of the fit.
-    varying = [f for f in features if (summary[f"std_{f}"] or 0.0) > 0] + names[len(features):]
-    vector = VectorAssembler(inputCols=varying, outputCol="_x").transform(design).select("_x", "_y")
+    columns = {f: (F.col(f) - means[f]) / stds[f] for f in features if (summary[f"std_{f}"] or 0.0) > 0}
+    columns |= {f"is_{p}": F.when(F.col("_p") == p, 1.0).otherwise(0.0) for p in positions}
+    design = inputs.select("_y", *[c.alias(name) for name, c in columns.items()])
+    vector = VectorAssembler(inputCols=list(columns), outputCol="_x").transform(design).select("_x", "_y")
     fit = LinearRegression(
         featuresCol="_x", labelCol="_y", solver="normal", elasticNetParam=0.0, standardization=False,
         regParam=penalty / n * float(summary["_sy"] or 1.0),
     ).fit(vector)
-    found = dict(zip(varying, (float(c) for c in fit.coefficients)))
+    found = dict(zip(columns, (float(c) for c in fit.coefficients)))
     return RidgeModel(
         features, means, stds, {f: found.get(f, 0.0) for f in features}, float(fit.intercept),
         {p: found[f"is_{p}"] for p in positions}, int(n),

@@ -7,64 +7,47 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CUTS = 1024
+ACCURACY = 10000  # the sketch's rank error is at most n / ACCURACY
 
 
 def exact_median(df: DataFrame, groups: Sequence[str], value: str, name: str) -> DataFrame:
     """Median of ``value`` per group, exact for groups of any size.
 
-    1. A sketch (fixed size per group) gives cut points.
-    2. Every row falls into one bin between cut points; bins are counted.
-    3. The bin that holds the middle rank is known from the counts alone; only
-       its distinct values (with multiplicities) are ranked.
+    1. A sketch (fixed size per group) brackets the middle: with a margin of
+       twice its rank error on each side, the middle ranks lie inside.
+    2. One aggregation counts the values below the bracket and, value by value,
+       those inside. Equal values count as one row.
+    3. Only the bracket, some 6 / ACCURACY of a group, is ranked. Groups no
+       larger than ACCURACY are ranked whole.
 
-    Sketch and counts combine before their shuffles. What is ranked in one
-    group is about 1/1024 of the rows, and equal values count as one.
+    The first two steps combine before their shuffles.
     """
     keys = list(groups) or ["_all"]
     data = df if groups else df.withColumn("_all", F.lit(0))
     data = data.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    shares = F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)])
-    cuts = data.groupBy(*keys).agg(
-        F.percentile_approx("_v", shares, 4 * CUTS).alias("_cuts"), F.count(F.lit(1)).alias("_n")
+    margin = 2.0 / ACCURACY
+    sketch = data.groupBy(*keys).agg(
+        F.percentile_approx("_v", F.array(F.lit(0.5 - margin), F.lit(0.5 + margin)), F.lit(ACCURACY)).alias("_q"),
+        F.count(F.lit(1)).alias("_n"),
     )
-    # Number of cut points below the value: the bin. Cuts are sorted.
-    binned = (
-        data.groupBy(*keys, "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .join(cuts.withColumn("_cuts", F.array_distinct("_cuts")), keys)
-        .withColumn("_bin", _position("_cuts", "_v"))
-        .drop("_cuts")
+    large = F.col("_n") > ACCURACY
+    bracket = sketch.select(
+        *keys, "_n", F.when(large, F.col("_q")[0]).alias("_low"), F.when(large, F.col("_q")[1]).alias("_high")
     )
-    counts = binned.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_in"), F.max("_n").alias("_n"))
-    w = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    low, high = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1
-    middle = (
-        counts.withColumn("_before", F.coalesce(F.sum("_in").over(w), F.lit(0)))
-        .where((F.col("_before") < high) & (F.col("_before") + F.col("_in") >= low))
-        .select(*keys, "_bin", "_before")
+    inside = ~F.coalesce(F.col("_v") < F.col("_low"), F.lit(False))
+    # Values below the bracket share the null key, which sorts first.
+    counted = (
+        data.join(bracket, keys)
+        .where(~F.coalesce(F.col("_v") > F.col("_high"), F.lit(False)))
+        .groupBy(*keys, F.when(inside, F.col("_v")).alias("_v"))
+        .agg(F.count(F.lit(1)).alias("_c"), F.max("_n").alias("_n"))
     )
-    inside = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = binned.join(middle, [*keys, "_bin"]).withColumn(
-        "_first", F.col("_before") + F.coalesce(F.sum("_c").over(inside), F.lit(0)) + 1
-    )
-    last = F.col("_first") + F.col("_c") - 1
-    result = (
-        ranked.where((F.col("_first") <= high) & (last >= low))
-        .groupBy(*keys)
-        .agg(
-            (
-                (
-                    F.max(F.when((F.col("_first") <= low) & (last >= low), F.col("_v")))
-                    + F.max(F.when((F.col("_first") <= high) & (last >= high), F.col("_v")))
-                )
-                / 2
-            ).alias(name)
-        )
-    )
-    return result if groups else result.drop("_all")
+    order = Window.partitionBy(*keys).orderBy(F.asc_nulls_first("_v"))
+    last = F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    lower, upper = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1
 
+    def at(rank):
+        return F.max(F.when((F.col("_last") >= rank) & (F.col("_last") - F.col("_c") < rank), F.col("_v")))
 
-def _position(cuts: str, value: str):
-    """How many cut points lie below the value."""
-    return F.size(F.filter(F.col(cuts), lambda c: c < F.col(value)))
+    result = counted.withColumn("_last", last).groupBy(*keys).agg(((at(lower) + at(upper)) / 2).alias(name))
+    return result if groups else result.drop("_all")

@@ -47,6 +47,16 @@ def _lines(text: Column) -> Column:
     return F.filter(trimmed, lambda line: line != "")
 
 
+def _computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that later steps use many times.
+
+    Plain columns would be written out again wherever a later filter mentions
+    them, and each mention would repeat the regular expression. Rows made by a
+    generator are computed once.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 # ------------------------------------------------------------ plausibility
 
 
@@ -292,17 +302,21 @@ def parse_matchups(
     week = F.lit(week) if not isinstance(week, Column) else week
     league = (F.lit(league_id) if not isinstance(league_id, Column) else league_id).cast("string")
     stamp = [c for c in captures.columns if c not in ("source_file", "value")]
-    df = captures.withColumns({"_week": week.cast("int"), "_league": league}).withColumn(
-        "page", F.concat(F.array_join(_lines(F.col("value")), "\n"), F.lit("\n"))
-    )
-    df = df.withColumns(
+    page = F.concat(F.array_join(_lines(F.col("value")), "\n"), F.lit("\n"))
+    df = _computed(captures, {"_week": week.cast("int"), "_league": league, "page": page})
+    df = _computed(
+        df,
         {
             "leagues": F.regexp_extract_all("page", F.lit(r"\(ID#\s*([^)\n]*)\)"), F.lit(1)),
             "shown": F.regexp_extract("page", r"(?m)^Week (\d+):", 1),
             "parts": F.split(F.col("page"), rf"(?m)^{SHEET_HEADER}"),
-        }
+            "blocks": F.size(
+                F.regexp_extract_all("page", F.lit(r"(?m)^([A-Za-z]{2,4})\s*-\s*(?:QB|RB|WR|TE|K|DEF)$"), F.lit(1))
+            ),
+        },
     )
-    df = df.withColumns(
+    df = _computed(
+        df,
         {
             "managers": F.regexp_extract_all(
                 F.element_at("parts", 1), F.lit(r"(?m)^([^\n]*)\n[^\n]*\n\d+-\d+-\d+\s*\|[^\n]*$"), F.lit(1)
@@ -314,43 +328,45 @@ def parse_matchups(
             "low": F.regexp_extract(
                 F.try_element_at("parts", F.lit(3)), rf"\A((?:{_BENCH}){{0,16}}){_POINTS}\nTOTAL\n{_POINTS}\n", 1
             ),
-        }
+        },
     )
     slot_at = rf"\n({SLOTS})\n(?:{_POINTS}\n){{2}}"
-    df = df.withColumns(
+    df = _computed(
+        df,
         {
             "starters": F.regexp_extract_all("top", F.lit(_STARTERS), F.lit(0)),
             "bench": F.regexp_extract_all("low", F.lit(_BENCH), F.lit(0)),
-            "blocks": F.size(
-                F.regexp_extract_all("page", F.lit(r"(?m)^([A-Za-z]{2,4})\s*-\s*(?:QB|RB|WR|TE|K|DEF)$"), F.lit(1))
-            ),
-        }
+        },
     )
     tables = F.concat(
         F.transform("starters", lambda p: F.struct(F.lit("starters").alias("table"), p.alias("pair"))),
         F.transform("bench", lambda p: F.struct(F.lit("bench").alias("table"), p.alias("pair"))),
     )
-    left = rf"\A({_PLAYER})({_POINTS})\n{_POINTS}\n({SLOTS})\n{_POINTS}\n({_POINTS})\n({_PLAYER})\z"
 
     def sides(t: Column) -> Column:
-        def side(who: int, cell: int, manager: int) -> Column:
+        """Both players of a pair: an empty place is one line, a player three; five cells between them."""
+        lines = F.split(t["pair"], "\n")
+        cells = F.when(lines[0] == "(Empty)", 1).otherwise(3)
+
+        def line(at) -> Column:
+            return F.get(lines, at)
+
+        def side(start, cell, number: int) -> Column:
             return F.struct(
-                t["table"].alias("table"),
-                F.regexp_extract(t["pair"], left, who).alias("block"),
-                F.regexp_extract(t["pair"], left, cell).alias("cell"),
-                F.regexp_extract(t["pair"], left, 3).alias("slot"),
-                F.lit(manager).alias("side"),
+                t["table"].alias("table"), line(start).alias("name"), line(start + 1).alias("place"),
+                line(start + 2).alias("game"), line(cell).alias("cell"), line(cells + 2).alias("slot"),
+                F.lit(number).alias("side"),
             )
 
-        return F.array(side(1, 2, 1), side(5, 4, 2))
+        return F.array(side(F.lit(0), cells, 1), side(cells + 5, cells + 4, 2))
 
-    entries = F.filter(F.flatten(F.transform(tables, sides)), lambda e: ~e["block"].startswith("(Empty)"))
-    df = df.withColumn("entries", entries)
+    entries = F.filter(F.flatten(F.transform(tables, sides)), lambda e: e["name"] != "(Empty)")
+    df = _computed(df, {"entries": entries})
     identity = F.transform(
         "entries",
         lambda e: F.concat_ws(
-            "|", e["side"].cast("string"), F.regexp_extract(e["block"], r"-\s*([A-Z]+)\n", 1),
-            compact_key(strip_labels_and_status(F.regexp_extract(e["block"], r"\A([^\n]*)", 1))),
+            "|", e["side"].cast("string"), F.regexp_extract(e["place"], r"([A-Z]+)$", 1),
+            compact_key(strip_labels_and_status(e["name"])),
         ),
     )
     slots = F.array_sort(F.transform("starters", lambda p: F.regexp_extract(p, slot_at, 1)))
@@ -366,19 +382,18 @@ def parse_matchups(
         .when(F.size("entries") != F.col("blocks"), "some player blocks were not parsed")
         .when(F.size(F.array_distinct(identity)) != F.size("entries"), "duplicate player entries")
     )
-    df = df.withColumn("error", reason)
+    df = _computed(df, {"error": reason})
     if strict:
         stop = F.raise_error(F.concat_ws(": ", "source_file", "error")).cast("string")
         df = df.withColumn("error", F.when(F.col("error").isNotNull(), stop))
-    block = F.col("e.block")
     rows = df.where(F.col("error").isNull()).select(
         "source_file", *stamp, "_week", "_league", "managers", F.explode("entries").alias("e")
     )
     parsed = rows.select(
-        strip_labels_and_status(F.regexp_extract(block, r"\A([^\n]*)", 1)).alias("player_name"),
-        team_code(F.regexp_extract(block, r"\n([A-Za-z]{2,4})\s*-", 1), ascii_only=True).alias("team"),
-        F.regexp_extract(block, r"-\s*(QB|RB|WR|TE|K|DEF)\n", 1).alias("position"),
-        F.regexp_extract(block, r"\n([^\n]*)\n\z", 1).alias("game_label"),
+        strip_labels_and_status(F.col("e.name")).alias("player_name"),
+        team_code(F.regexp_extract("e.place", r"^([A-Za-z]{2,4})\s*-", 1), ascii_only=True).alias("team"),
+        F.regexp_extract("e.place", r"([A-Z]+)$", 1).alias("position"),
+        F.col("e.game").alias("game_label"),
         F.element_at("managers", F.col("e.side")).alias("manager"),
         F.col("e.slot").alias("slot"),
         points_cell(F.col("e.cell")).alias("yahoo_projection"),
