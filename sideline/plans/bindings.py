@@ -379,7 +379,7 @@ def roster_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(
             F.concat(F.lit("page_"), F.col("page").cast("string")).alias("source_file"),
             F.concat(
-                F.lit("League shell\nManager "), F.col("page").cast("string"), F.lit(" \n\n"),
+                F.lit("League shell\nManager "), F.col("page").cast("string"), F.lit(" \ue003\n\n"),
                 F.array_join(F.col("e.text"), "\n\n"), F.lit("\nfooter\n"),
             ).alias("value"),
         )
