@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 ACCURACY = 10000  # the sketch's rank error is at most n / ACCURACY
 
 
-def exact_median(df: DataFrame, groups: Sequence[str], value: str, name: str) -> DataFrame:
+def exact_median(
+    df: DataFrame, groups: Sequence[str], value: str, name: str, *, few_groups: bool = False
+) -> DataFrame:
     """Median of ``value`` per group, exact for groups of any size.
 
     1. A sketch (fixed size per group) brackets the middle: with a margin of
@@ -20,7 +22,10 @@ def exact_median(df: DataFrame, groups: Sequence[str], value: str, name: str) ->
     3. Only the bracket, some 6 / ACCURACY of a group, is ranked. Groups no
        larger than ACCURACY are ranked whole.
 
-    The first two steps combine before their shuffles.
+    The first two steps combine before their shuffles. ``few_groups`` is for
+    callers that know the groups to be a fixed short list (model names, or no
+    grouping at all): the brackets, one row per group, are then broadcast, so
+    that the rows are not shuffled by a handful of keys.
     """
     keys = list(groups) or ["_all"]
     data = df if groups else df.withColumn("_all", F.lit(0))
@@ -34,6 +39,8 @@ def exact_median(df: DataFrame, groups: Sequence[str], value: str, name: str) ->
     bracket = sketch.select(
         *keys, "_n", F.when(large, F.col("_q")[0]).alias("_low"), F.when(large, F.col("_q")[1]).alias("_high")
     )
+    if few_groups or not groups:
+        bracket = F.broadcast(bracket)
     inside = ~F.coalesce(F.col("_v") < F.col("_low"), F.lit(False))
     # Values below the bracket share the null key, which sorts first.
     counted = (

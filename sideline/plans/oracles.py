@@ -645,7 +645,7 @@ _LABELLED = "CASE key % 4 WHEN 0 THEN 'Video ForecastNew Player Note' WHEN 1 THE
 O["parse_rosters"] = _sql(f"""
 SELECT source_file, source_order, manager, CASE WHEN yahoo_status IN ('O', 'Q') AND upper(glued) LIKE '%' || yahoo_status THEN glued[:-2] ELSE glued END AS player, 'ABC' AS team, position, slot,
   yahoo_status, {name_key_sql("CASE WHEN yahoo_status IN ('O', 'Q') AND upper(glued) LIKE '%' || yahoo_status THEN glued[:-2] ELSE glued END")} AS player_normalized
-FROM (SELECT 'page_' || (key // 12) AS source_file, 100000 + key % 12 AS source_order, 'Manager ' || (key // 12) AS manager, CASE WHEN key % 4 = 1 THEN full_name || 'O' ELSE full_name END AS glued,
+FROM (SELECT 'page_' || (key // 12) AS source_file, 1000000000 + key % 12 AS source_order, 'Manager ' || (key // 12) AS manager, CASE WHEN key % 4 = 1 THEN full_name || 'O' ELSE full_name END AS glued,
   position, CASE WHEN key % 3 = 0 THEN 'BN' ELSE position END AS slot,
   upper(regexp_extract(full_name || {_LABELLED}, '(?i)^.*?(IR-R|PUP-R|IR|O|Q|D|P)(?:Video Forecast|New Player Note|Player Note|No new player Notes|$)', 1)) AS yahoo_status FROM people)""", "people")
 O["parse_matchups"] = _sql(f"""

@@ -65,7 +65,7 @@ def show(df: DataFrame, *columns: str) -> DataFrame:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder for what a query writes, in the cluster's shared place."""
-    return f"{shared_dir(spark).rstrip('/')}/sideline/{name}_{new_id()}"
+    return f"{shared_dir(spark)}/sideline/{name}_{new_id()}"
 
 
 # ------------------------------------------------------------ shared stages

@@ -28,18 +28,22 @@ def build_session(app: str = "sideline", cores: str = "*", shuffle_partitions: i
     )
 
 
+_STAND_IN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder for checkpoints and intermediate tables.
 
     The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (local tests) does a fresh temporary folder stand in.
+    (local tests) does a fresh temporary folder stand in, one per application.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return named
-    local = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+        return named.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _STAND_IN:
+        _STAND_IN[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _STAND_IN[app]
 
 
 def ensure_checkpointing(spark: SparkSession) -> str:

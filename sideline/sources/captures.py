@@ -129,7 +129,7 @@ def parse_roster_pages(captures: DataFrame, *, ascii_only: bool = False) -> Data
     upper_slot = F.upper("b.slot")
     rows = df.select(
         "source_file",
-        (F.col("section") * 100000 + F.col("at")).alias("source_order"),
+        (F.col("section").cast("long") * 1000000000 + F.col("at")).alias("source_order"),
         "manager",
         F.when(glued, F.trim(F.col("player").substr(F.lit(1), F.length("player") - 1))).otherwise(F.col("player")).alias("player"),
         F.regexp_extract(team_line, r"^([A-Za-z]+)", 1).alias("team"),

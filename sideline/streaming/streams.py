@@ -13,7 +13,7 @@ from sideline.session import shared_dir
 
 def checkpoint_location(spark: SparkSession, name: str) -> str:
     """A query's checkpoint folder in the shared place."""
-    return f"{shared_dir(spark).rstrip('/')}/streams/{name}"
+    return f"{shared_dir(spark)}/streams/{name}"
 
 
 def stream_event_rollup(plays: DataFrame, *, time_column: str = "ts", window: str = "1 day", delay: str = "1 day") -> DataFrame:
