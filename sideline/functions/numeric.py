@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Sums come back in any order on a cluster, so a threshold is decided on the
-# value rounded to this many places; a rerun then cannot flip a label.
-DECISION_PLACES = 9
+# Sums come back in any order on a cluster, so their last bits vary. Thresholds
+# are therefore decided as if the value were rounded to nine places; a rerun
+# then cannot flip a label. Comparing with half a unit of slack does the same
+# as rounding, without its cost.
+SLACK = 5e-10
 
 
 def as_double(c: Column) -> Column:
@@ -54,9 +56,20 @@ def zero_if_null(c: Column) -> Column:
     return F.coalesce(c, F.lit(0.0))
 
 
-def settled(c: Column) -> Column:
-    """Value used to decide a threshold."""
-    return F.round(c, DECISION_PLACES)
+def above(c: Column, limit: float) -> Column:
+    return c >= limit + SLACK
+
+
+def at_least(c: Column, limit: float) -> Column:
+    return c >= limit - SLACK
+
+
+def below(c: Column, limit: float) -> Column:
+    return c < limit - SLACK
+
+
+def at_most(c: Column, limit: float) -> Column:
+    return c < limit + SLACK
 
 
 def row_std(values: Sequence[Column], fallback: float) -> Column:

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sideline.functions.numeric import as_double
+from sideline.functions.numeric import as_double, at_most
 from sideline.functions.text import blank_to_null
 from sideline.operators.quantiles import exact_median
 from sideline.operators.schema import assert_unique, one_row_per_key, require
@@ -186,7 +186,7 @@ def head_to_head(
         F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("rmse"),
         F.avg("error").alias("bias"),
         *[
-            F.avg(F.when(F.round("absolute", 9) <= n, 1.0).otherwise(0.0)).alias(f"within_{n}_points")
+            F.avg(F.when(at_most(F.col("absolute"), n), 1.0).otherwise(0.0)).alias(f"within_{n}_points")
             for n in (2, 3, 5)
         ],
     )

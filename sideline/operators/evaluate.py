@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sideline.functions.numeric import as_double, settled
+from sideline.functions.numeric import as_double, at_most
 from sideline.operators.forecast import project
 from sideline.operators.quantiles import exact_median
 from sideline.operators.temporal import walk_forward
@@ -32,7 +32,7 @@ def backtest(stats: DataFrame, *, seasons: Sequence[int] | None = None, dense=DE
         "season", "target_week", "player_id", "baseline_projection",
         F.col("target_next_week").alias("fantasy_points_std_actual"),
         error.alias("error"), F.abs(error).alias("abs_error"),
-        (settled(F.abs(error)) <= 3).alias("within_3"), (settled(F.abs(error)) <= 5).alias("within_5"),
+        at_most(F.abs(error), 3).alias("within_3"), at_most(F.abs(error), 5).alias("within_5"),
     )
 
 
@@ -80,7 +80,7 @@ def forecast_metrics(
     absolute = F.abs("error")
 
     def share(limit):
-        return F.avg(F.when(F.col("error").isNotNull(), F.when(settled(absolute) <= limit, 1.0).otherwise(0.0)))
+        return F.avg(F.when(F.col("error").isNotNull(), F.when(at_most(absolute, limit), 1.0).otherwise(0.0)))
 
     measured = long.groupBy(*by, "position", "model").agg(
         F.count("error").alias("examples"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sideline.functions.numeric import (
-    clip, finite_or_zero, floor_zero, row_std, settled, zero_if_null,
+    above, at_least, at_most, below, clip, finite_or_zero, floor_zero, row_std, zero_if_null,
 )
 
 # fixed values
@@ -26,7 +26,7 @@ SIGNAL_TEXT = {
 
 def _level(name: str) -> Column:
     """Value a threshold is applied to: missing counts 0."""
-    return settled(zero_if_null(F.col(name)))
+    return zero_if_null(F.col(name))
 
 
 def baseline(df: DataFrame) -> DataFrame:
@@ -69,11 +69,11 @@ def classify(df: DataFrame) -> DataFrame:
     opp, prod = _level("opportunity_momentum"), _level("production_momentum")
     dep, gap = _level("td_dependency"), _level("trend_gap")
     label = (
-        F.when((opp > 2) & (gap > 1), "Emerging opportunity")
-        .when((dep > 0.55) & (prod > 0), "TD-dependent production")
-        .when((prod < -1) & (opp < -1), "Downtrend confirmed")
-        .when((prod > 1) & (opp > 1), "Momentum confirmed")
-        .when((prod > 1) & (opp < -1), "Efficiency / regression watch")
+        F.when(above(opp, 2) & above(gap, 1), "Emerging opportunity")
+        .when(above(dep, 0.55) & above(prod, 0), "TD-dependent production")
+        .when(below(prod, -1) & below(opp, -1), "Downtrend confirmed")
+        .when(above(prod, 1) & above(opp, 1), "Momentum confirmed")
+        .when(above(prod, 1) & below(opp, -1), "Efficiency / regression watch")
         .otherwise("Stable")
     )
     return df.withColumn("classification", label)
@@ -90,15 +90,15 @@ def explain(df: DataFrame) -> DataFrame:
     prod, dep, gap = _level("production_momentum"), _level("td_dependency"), _level("trend_gap")
     reasons = F.array_compact(
         F.array(
-            F.when(score >= 12, "Strong recent opportunity")
-            .when(score >= 7, "Healthy recent opportunity")
-            .when(score < 3, "Limited recent opportunity"),
-            F.when(opp >= 2, "Role is trending upward").when(opp <= -2, "Role is trending downward"),
-            F.when(gap >= 2, "Opportunity rising faster than production"),
-            F.when(prod >= 2, "Recent production is improving").when(
-                prod <= -2, "Recent production is declining"
+            F.when(at_least(score, 12), "Strong recent opportunity")
+            .when(at_least(score, 7), "Healthy recent opportunity")
+            .when(below(score, 3), "Limited recent opportunity"),
+            F.when(at_least(opp, 2), "Role is trending upward").when(at_most(opp, -2), "Role is trending downward"),
+            F.when(at_least(gap, 2), "Opportunity rising faster than production"),
+            F.when(at_least(prod, 2), "Recent production is improving").when(
+                at_most(prod, -2), "Recent production is declining"
             ),
-            F.when(dep >= 0.55, "Production has significant TD dependence"),
+            F.when(at_least(dep, 0.55), "Production has significant TD dependence"),
         )
     )
     return df.withColumn(
@@ -112,9 +112,9 @@ def signal_chips(df: DataFrame) -> DataFrame:
     opp, prod, dep = _level("opportunity_momentum"), _level("production_momentum"), _level("td_dependency")
     chips = F.array_compact(
         F.array(
-            F.when(prod > 1, "Production rising").when(prod < -1, "Production falling"),
-            F.when(opp > 1, "Usage rising").when(opp < -1, "Usage falling"),
-            F.when(dep > 0.55, "TD risk"),
+            F.when(above(prod, 1), "Production rising").when(below(prod, -1), "Production falling"),
+            F.when(above(opp, 1), "Usage rising").when(below(opp, -1), "Usage falling"),
+            F.when(above(dep, 0.55), "TD risk"),
         )
     )
     return df.withColumn("signals", F.when(F.size(chips) == 0, F.array(F.lit("Stable"))).otherwise(chips))
@@ -133,8 +133,8 @@ def explanation_columns(df: DataFrame) -> DataFrame:
             "consistency_part": clip(12 - F.col("volatility"), -10, 10),
             "opportunity_part": clip(zero_if_null(F.col("opportunity_score")), 0, 15),
             "raw_confidence": raw,
-            "confidence_bound": F.when(settled(raw) > 90, "Bound at 90%.")
-            .when(settled(raw) < 20, "Bound at 20%.")
+            "confidence_bound": F.when(above(raw, 90), "Bound at 90%.")
+            .when(below(raw, 20), "Bound at 20%.")
             .otherwise(""),
         }
     )

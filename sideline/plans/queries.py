@@ -44,7 +44,7 @@ def query(fn: Query) -> Query:
 
 def r6(c: Column | str) -> Column:
     c = F.col(c) if isinstance(c, str) else c
-    return F.round(c + 1e-9, 6) + F.lit(0.0)
+    return F.rint((c + 1e-9) * 1e6) / 1e6 + F.lit(0.0)
 
 
 def show(df: DataFrame, *columns: str) -> DataFrame:
