@@ -712,6 +712,10 @@ O["report_archive"] = _sql("""
 SELECT position, model, examples, mae, h AS holdout_season, s AS training_seasons, x AS experiment, 'computed' AS source, 'full' AS precision, n AS review_status FROM base_metrics,
 (VALUES (1998, '1996,1997', 'defensive_matchup_opponent_v2', 'Research only; not approved for production'), (1997, '1996', 'defensive_matchup_candidate', 'INVALID matchup evidence: own-team join')) v(h, s, x, n)""", "base_metrics")
 
+O["project_report"] = _sql("""
+SELECT model, examples AS n, mae AS value FROM base_metrics WHERE position = 'Offense (QB/RB/WR/TE)'
+UNION ALL SELECT 'snapshot', (SELECT count(*) FROM customer), NULL UNION ALL SELECT 'PENDING', 0, NULL""", "base_metrics")
+
 cte("taken", "SELECT 'S' || s_suppkey AS player_id FROM supplier WHERE s_suppkey % 3 = 0")
 cte("waiver", f"""
 SELECT player_id, position, {r6(f"projection + {clip(z('opportunity_momentum'), -3, 5)} + {clip(z('trend_gap'), -2, 5)}", 'waiver_discovery_score')}

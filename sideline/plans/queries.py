@@ -748,6 +748,19 @@ def report_archive(spark, sf_dir):
     )
 
 
+@query
+def project_report(spark, sf_dir):
+    root = scratch(spark, "project")
+    report = show(evaluate.forecast_metrics(forecast.project(pairs(spark, sf_dir))))
+    snapshots.save_report(report, root, [1996, 1997], 1998)
+    snapshots.save_snapshot(league(spark, sf_dir), root, season=SEASON, target_week=WEEK, metadata=METADATA)
+    parts = snapshots.project_report(spark, root, root, root)
+    holdout = parts["holdout"].select("model", F.col("examples").alias("n"), r6("mae").alias("value"))
+    latest = parts["snapshots"].select(F.lit("snapshot").alias("model"), F.col("row_count").alias("n"), F.lit(None).cast("double").alias("value"))
+    ready = parts["status"].select(F.col("coverage").alias("model"), F.col("imports").alias("n"), F.lit(None).cast("double").alias("value"))
+    return holdout.unionByName(latest).unionByName(ready)
+
+
 # ------------------------------------------------------------------- views
 
 
