@@ -266,32 +266,40 @@ def match_ladder(
 # ------------------------------------------------------------------ spelling
 
 
-def _pieces(length: int) -> int:
-    """Number of pieces a master name is cut into: at least two survive the most edits allowed."""
-    return length * 2 // 9 + 2
+# Names up to this length are looked up by two pieces at once. For longer ones
+# the places two pieces can take are too many, while one piece at one place of
+# one long name is already a narrow bucket.
+TWO_PIECES_UP_TO = 40
 
 
-def _probe_lengths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For each probe length: which two pieces of which name length may stand where."""
+def _piece_places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For a probe and a name length: which pieces of the name may stand where in the probe."""
     for batch in batches:
-        for lp in batch["lp"]:
-            found = set()
-            for ln in range(max(1, -(-lp * 9 // 11)), lp * 11 // 9 + 1):
-                gap, k = lp - ln, _pieces(ln)
-                edits = (lp + ln) // 10
-                edits -= (edits - gap) % 2  # insertions and deletions differ by the gap
-                cuts = [ln * i // k for i in range(k + 1)]
-                for s1 in range(-edits, edits + 1):
-                    for s2 in range(-edits, edits + 1):
+        found = []
+        for lp, ln in zip(batch["lp"].tolist(), batch["ln"].tolist()):
+            gap, two = lp - ln, ln <= TWO_PIECES_UP_TO
+            k = ln * 2 // 9 + (2 if two else 1)
+            edits = (lp + ln) // 10
+            edits -= (edits - gap) % 2  # insertions and deletions differ by the gap
+            cuts = [ln * i // k for i in range(k + 1)]
+            shifts = [s for s in range(-edits, edits + 1) if abs(s) + abs(gap - s) <= edits]
+            for i in range(k):
+                n = cuts[i + 1] - cuts[i]
+                for s1 in shifts:
+                    a = cuts[i] + s1
+                    if a < 0 or a + n > lp:
+                        continue
+                    if not two:
+                        found.append((lp, ln, i, i, a + 1, n, 1, 0))
+                        continue
+                    for s2 in shifts:
                         if abs(s1) + abs(s2 - s1) + abs(gap - s2) > edits:
                             continue
-                        for i in range(k - 1):
-                            for j in range(i + 1, k):
-                                a, b = cuts[i] + s1, cuts[j] + s2
-                                n, m = cuts[i + 1] - cuts[i], cuts[j + 1] - cuts[j]
-                                if a >= 0 and b >= 0 and a + n <= lp and b + m <= lp:
-                                    found.add((lp, ln, i, j, a + 1, n, b + 1, m))
-            yield pd.DataFrame(sorted(found), columns=["lp", "ln", "i", "j", "a", "n", "b", "m"], dtype="int32")
+                        for j in range(i + 1, k):
+                            b, m = cuts[j] + s2, cuts[j + 1] - cuts[j]
+                            if b >= 0 and b + m <= lp:
+                                found.append((lp, ln, i, j, a + 1, n, b + 1, m))
+        yield pd.DataFrame(found, columns=["lp", "ln", "i", "j", "a", "n", "b", "m"], dtype="int32")
 
 
 def _bucket(text: str) -> Column:
@@ -310,37 +318,43 @@ def fuzzy_candidates(probes: DataFrame, names: DataFrame) -> DataFrame:
     unharmed, and each of those stands in the probe, shifted by at most as many
     places as there are edits to spend: |s1| + |s2 - s1| + |gap - s2| <= D for
     the shifts s1, s2 and the length difference gap. So the join key is (length,
-    two piece numbers, the two pieces), a much narrower bucket than one n-gram.
+    two piece numbers, the two pieces), a much narrower bucket than one n-gram;
+    very long names are cut into D + 1 pieces, one of which survives.
     Where pieces may stand depends on lengths only and is worked out once per
-    distinct probe length. The edit-distance test is part of the join
+    pair of lengths that occurs. The edit-distance test is part of the join
     condition, so a bucket never emits pairs that fail it.
     """
     ln = F.length("name")
-    k = F.floor(ln * 2 / 9).cast("int") + 2
+    two = F.col("ln") <= TWO_PIECES_UP_TO
+    k = F.floor(ln * 2 / 9).cast("int") + F.when(ln <= TWO_PIECES_UP_TO, 2).otherwise(1)
 
     def cut(i: Column) -> Column:
         return F.floor(F.col("ln") * i / F.col("k")).cast("int")
 
+    last = F.col("k") - 1
     indexed = (
         names.select("name", ln.alias("ln"), k.alias("k"))
-        .select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 2)).alias("i"))
-        .select("*", F.explode(F.sequence(F.col("i") + 1, F.col("k") - 1)).alias("j"))
+        .select("*", F.explode(F.sequence(F.lit(0), F.when(two, last - 1).otherwise(last))).alias("i"))
+        .select("*", F.explode(F.when(two, F.sequence(F.col("i") + 1, F.greatest(last, F.col("i") + 1))).otherwise(F.array("i"))).alias("j"))
         .withColumns(
             {
                 "a": cut(F.col("i")) + 1, "n": cut(F.col("i") + 1) - cut(F.col("i")),
-                "b": cut(F.col("j")) + 1, "m": cut(F.col("j") + 1) - cut(F.col("j")),
+                "b": F.when(two, cut(F.col("j")) + 1).otherwise(1),
+                "m": F.when(two, cut(F.col("j") + 1) - cut(F.col("j"))).otherwise(0),
             }
         )
         .select("name", _bucket("name").alias("bucket"))
     )
-    lengths = probes.select(F.length("probe").alias("lp")).distinct()
-    places = lengths.mapInPandas(
-        _probe_lengths, "lp int, ln int, i int, j int, a int, n int, b int, m int"
+    lp = F.length("probe")
+    lengths = (
+        probes.select(lp.alias("lp")).distinct()
+        .select("lp", F.explode(F.sequence(F.greatest(F.ceil(F.col("lp") * 9 / 11).cast("int"), F.lit(1)), F.greatest(F.floor(F.col("lp") * 11 / 9).cast("int"), F.lit(1)))).alias("ln"))
+        .join(names.select(ln.alias("ln")).distinct(), "ln", "left_semi")
+        .select("lp", "ln")
     )
-    # Only name lengths that occur; most of a long probe's places drop out here.
-    places = places.join(names.select(ln.alias("ln")).distinct(), "ln", "left_semi")
+    places = lengths.mapInPandas(_piece_places, "lp int, ln int, i int, j int, a int, n int, b int, m int")
     asked = (
-        probes.withColumn("lp", F.length("probe"))
+        probes.withColumn("lp", lp)
         .join(places, "lp")
         .select("probe", _bucket("probe").alias("bucket"))
         .distinct()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -77,11 +78,16 @@ def holdout(
         pairs = add_matchup_feature(pairs, stats.where(F.col("season").isin(seasons)), schedule)
     pairs = project(pairs).persist()
     try:
-        return holdout_report(pairs, training_seasons, holdout_season, tree_settings=tree_settings)
+        return _stored(holdout_report(pairs, training_seasons, holdout_season, tree_settings=tree_settings))
     finally:
         pairs.unpersist()
 
 
+def _stored(report: DataFrame) -> DataFrame:
+    """A report as data of its own: models x groups rows, so that the cached pairs can go."""
+    return report.sparkSession.createDataFrame(report.collect(), report.schema)
+
+
 def holdout_report(
     pairs: DataFrame, training_seasons: Sequence[int], holdout_season: int, *, tree_settings: dict | None = TREE_SETTINGS
 ) -> DataFrame:
@@ -110,8 +116,11 @@ def multi_fold(
     if schedule is not None:
         pairs = add_matchup_feature(pairs, stats.where(F.col("season").isin(seasons)), schedule)
     pairs = project(pairs).persist()
-    reports = None
-    for train, h in folds:
-        report = holdout_report(pairs, train, h, tree_settings=tree_settings).withColumn("holdout_season", F.lit(h))
-        reports = report if reports is None else reports.unionByName(report, allowMissingColumns=True)
-    return reports
+    try:
+        reports = [
+            _stored(holdout_report(pairs, train, h, tree_settings=tree_settings).withColumn("holdout_season", F.lit(h)))
+            for train, h in folds
+        ]
+    finally:
+        pairs.unpersist()
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), reports)

@@ -92,15 +92,16 @@ def test_similarity(spark):
         assert r.r == pytest.approx(ratio(r.a, r.b))
 
 
-def test_fuzzy_candidates_miss_nothing(spark):
+@pytest.mark.parametrize("shortest,longest", [(3, 24), (30, 60)])
+def test_fuzzy_candidates_miss_nothing(spark, shortest, longest):
     """Brute force over every pair: the filter may add candidates, never lose one."""
     rng = random.Random(5)
     letters = "abcde "
-    names = {"".join(rng.choice(letters) for _ in range(rng.randint(3, 24))).strip() or "a" for _ in range(120)}
+    names = {"".join(rng.choice(letters) for _ in range(rng.randint(shortest, longest))).strip() or "a" for _ in range(120)}
     probes = set()
     for n in sorted(names)[:100]:
         text = list(n)
-        for _ in range(rng.randint(0, 3)):
+        for _ in range(rng.randint(0, 3 + longest // 20)):
             at = rng.randrange(len(text) + 1)
             if rng.random() < 0.5 and text:
                 del text[min(at, len(text) - 1)]
