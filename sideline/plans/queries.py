@@ -909,7 +909,7 @@ def multi_fold_report(spark, sf_dir):
 # --------------------------------------------------------------- streaming
 
 
-def _stream(spark, sf_dir, df: DataFrame, name: str, columns: str = "*") -> DataFrame:
+def _stream(spark, df: DataFrame, name: str) -> DataFrame:
     """The rows as a file stream: written once, then read as they arrive."""
     path = scratch(spark, name)
     df.write.parquet(path)
@@ -929,10 +929,10 @@ def stream_events(spark, sf_dir):
     timed = B.plays(spark, sf_dir).withColumn(
         "ts", F.make_timestamp("season", "week", F.lit(15), F.lit(0), F.lit(0), F.lit(0))
     )
-    # One late marker row far in the future closes every real window.
-    closing = timed.groupBy().agg(*[F.lit(None).cast(t).alias(c) if c not in ("season", "week", "ts", "kicker_player_id", "extra_point_result", "season_type") else F.max(c).alias(c) for c, t in timed.dtypes])
-    closing = closing.withColumns({"ts": F.col("ts") + F.expr("INTERVAL 400 DAYS"), "extra_point_result": F.lit("none"), "season_type": F.lit("REG")})
-    stream = _stream(spark, sf_dir, timed.unionByName(closing), "plays")
+    # One play without any event, far in the future, closes every real window.
+    last = timed.agg(F.max("season").alias("season"), F.max("week").alias("week"), F.max("ts").alias("ts"))
+    closing = last.withColumns({"ts": F.col("ts") + F.expr("INTERVAL 400 DAYS"), "season_type": F.lit("REG"), "kicker_player_id": F.lit("none")})
+    stream = _stream(spark, timed.unionByName(closing, allowMissingColumns=True), "plays")
     rolled = streams.stream_event_rollup(stream, delay="1 day")
     return show(_drain(spark, rolled, "events"), "season", "week", "player_id", *EVENT_COLUMNS)
 
@@ -941,7 +941,7 @@ def stream_events(spark, sf_dir):
 def stream_status(spark, sf_dir):
     injuries = status.standardize_injuries(B.raw_injuries(spark, sf_dir), ascii_only=True)
     path = scratch(spark, "status")
-    streams.stream_latest_status(_stream(spark, sf_dir, injuries, "injuries"), path, f"status_{new_id()}").awaitTermination()
+    streams.stream_latest_status(_stream(spark, injuries, "injuries"), path, f"status_{new_id()}").awaitTermination()
     versions = spark.read.parquet(path)
     newest = versions.agg(F.max("version").alias("version"))
     return versions.join(newest, "version", "left_semi").select("player_id", "week", "status", "injury_flag")
@@ -949,6 +949,6 @@ def stream_status(spark, sf_dir):
 
 @query
 def stream_gate(spark, sf_dir):
-    stream = _stream(spark, sf_dir, B.rival_forecasts(spark, sf_dir), "captures")
+    stream = _stream(spark, B.rival_forecasts(spark, sf_dir), "captures")
     gated = streams.stream_pregame_gate(stream, kickoffs(spark, sf_dir)).drop("kickoff_utc", "capture_time", "kickoff_time")
     return _drain(spark, gated, "gate").select("player_id", "season", "target_week", "team", "kickoff_status")

@@ -12,7 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sideline.functions.numeric import is_points_cell, points_cell
+from sideline.functions.numeric import points_cell
 from sideline.functions.text import (
     clean_text, compact_key, inline_status, name_key, strip_labels, strip_labels_and_status, team_code,
 )
@@ -482,9 +482,3 @@ def import_captures(
         table.withColumn("batch_id", F.lit(batch_id)).write.mode("append").partitionBy("batch_id").parquet(f"{root}/{name}")
     return spark.read.parquet(f"{root}/summary").where(F.col("batch_id") == batch_id)
 
-
-__all__ = [
-    "read_captures", "is_roster_capture", "is_matchup_capture", "parse_roster_pages", "standardize_roster",
-    "read_tabular_roster", "html_table_cells", "html_rosters", "parse_matchups", "read_capture_batch",
-    "import_captures", "is_points_cell",
-]
