@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from sideline.llm import chat, mixing, secrets, sharding
+from sideline.llm import bpe, chat, mixing, secrets, sharding
 from sideline.llm.common import table
 
 
@@ -27,4 +28,8 @@ def op4_chat_prefix_targets(spark, sf_dir):
     return chat.read_back(chat.format_prefix_targets(chat.planted(table(spark, sf_dir, "conversations"))))
 
 
-REGISTRY = {f.__name__: f for f in (op1_secret_scan, op2_mixing, op3_sharding, op4_chat_prefix_targets)}
+def op5_byte_bpe(spark, sf_dir):
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+REGISTRY = {f.__name__: f for f in (op1_secret_scan, op2_mixing, op3_sharding, op4_chat_prefix_targets, op5_byte_bpe)}
