@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from sideline.llm import bpe, chat, jaccard, mixing, secrets, sharding
+from sideline.llm import bpe, chat, jaccard, mixing, quality_rules, secrets, sharding, topk
 from sideline.llm.common import table
 
 
@@ -32,8 +32,16 @@ def op5_byte_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op6_threshold_top_k(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=20, every=20, scale=64)
+
+
+def op7_quality_divergence(spark, sf_dir):
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op8_ngram_jaccard(spark, sf_dir):
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
-REGISTRY = {f.__name__: f for f in (op1_secret_scan, op2_mixing, op3_sharding, op4_chat_prefix_targets, op5_byte_bpe, op8_ngram_jaccard)}
+REGISTRY = {f.__name__: f for f in (op1_secret_scan, op2_mixing, op3_sharding, op4_chat_prefix_targets, op5_byte_bpe, op6_threshold_top_k, op7_quality_divergence, op8_ngram_jaccard)}
