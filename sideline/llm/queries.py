@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from sideline.llm import bpe, chat, jaccard, mixing, quality_rules, secrets, sharding, token_counts, topk
+from sideline.llm import bpe, chat, cotraining, jaccard, mixing, quality_rules, secrets, sharding, token_counts, topk
 from sideline.llm.common import table
 
 
@@ -48,4 +48,8 @@ def op9_token_counts(spark, sf_dir):
     return token_counts.document_counts(table(spark, sf_dir, "documents"))
 
 
-REGISTRY = {f.__name__: f for f in (op1_secret_scan, op2_mixing, op3_sharding, op4_chat_prefix_targets, op5_byte_bpe, op6_threshold_top_k, op7_quality_divergence, op8_ngram_jaccard, op9_token_counts)}
+def op10_cotraining_quality(spark, sf_dir):
+    return cotraining.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+REGISTRY = {f.__name__: f for f in (op1_secret_scan, op2_mixing, op3_sharding, op4_chat_prefix_targets, op5_byte_bpe, op6_threshold_top_k, op7_quality_divergence, op8_ngram_jaccard, op9_token_counts, op10_cotraining_quality)}
