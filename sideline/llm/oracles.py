@@ -1,5 +1,132 @@
-"""DuckDB SQL of the corpus queries, for those that SQL can express."""
+"""DuckDB SQL of the corpus queries, for those that SQL can express.
+
+Byte-pair merges (op5), CRC-32 (op3) and the trained classifier (op10, and with it the pipeline) are held against brute-force
+versions in the tests instead.
+"""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+WORD = r"[^\x20\x09-\x0D]+"
+ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def _spans(kind: str, order: int, pattern: str, good: str) -> str:
+    """Matches with their places: the pieces between matches and the matches themselves, in turn."""
+    return f"""
+    SELECT doc_id, '{kind}' AS kind, {order} AS ord, m, start, start + len(m) AS stop FROM (
+      SELECT doc_id, unnest(ms) AS m,
+        unnest(list_transform(range(1, len(ms) + 1), lambda i: list_sum(list_transform(ps[1:i], lambda p: len(p))) + coalesce(list_sum(list_transform(ms[1:i-1], lambda p: len(p))), 0))) AS start
+      FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS ms, string_split_regex(t, '{pattern}') AS ps FROM texts)
+    ) WHERE {good}"""
+
+
+_OP1 = f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+spans AS (
+  {_spans("assign", 0, ASSIGN, f"len(regexp_extract(m, '{ASSIGN}', 2)) >= 12")}
+  UNION ALL {_spans("access", 1, "AKIA[A-Z0-9]+", "len(m) >= 18")}
+  UNION ALL {_spans("hex", 2, "[0-9a-f]+", "len(m) >= 16")}
+),
+told AS (
+  SELECT doc_id, string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start, ord) AS spans,
+    count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS c, count(*) FILTER (kind = 'hex') AS h
+  FROM spans GROUP BY doc_id
+)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(h, 0) AS n_hex,
+  sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN told USING (doc_id)
+"""
+
+_OP2 = f"""
+WITH sized AS (
+  SELECT doc_id, coalesce(source, '') AS src, source IS NULL AS nosrc, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size,
+    md5(concat_ws(':', coalesce(CAST(doc_id AS VARCHAR), '-'), coalesce(source, '-'), md5(coalesce(text, '')))) [1:15] AS place
+  FROM documents
+),
+sources AS (
+  SELECT src, nosrc, CAST(sum(size) AS BIGINT) AS source_size, 2 * CAST(sum(size) AS BIGINT) AS cap, row_number() OVER (ORDER BY nosrc, src) - 1 AS ord
+  FROM sized GROUP BY src, nosrc
+),
+weighed AS (SELECT *, [3, 1, 2][ord % 3 + 1] AS weight, 1.5::DOUBLE * sum(source_size) OVER () AS total FROM sources),
+filled AS (
+  SELECT *, total - coalesce(sum(cap) OVER (ORDER BY cap / weight, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spare,
+    sum(weight) OVER (ORDER BY cap / weight, ord ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest, row_number() OVER (ORDER BY cap / weight, ord) AS fills
+  FROM weighed
+),
+level AS (SELECT arg_min(spare, fills) AS spare, arg_min(rest, fills) AS rest FROM filled WHERE NOT spare * weight > cap * rest),
+targets AS (
+  SELECT f.src, f.nosrc, f.source_size, f.ord,
+    CASE WHEN f.spare * f.weight > f.cap * f.rest THEN f.cap::DOUBLE ELSE least(l.spare * f.weight / l.rest, f.cap::DOUBLE) END AS target
+  FROM filled f, level l
+),
+placed AS (
+  SELECT s.doc_id, s.size, t.source_size, t.target, t.ord,
+    coalesce(sum(s.size) OVER (PARTITION BY s.nosrc, s.src ORDER BY s.place, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + s.size / 2 AS middle
+  FROM sized s JOIN targets t USING (src, nosrc)
+),
+used AS (SELECT *, (middle < target)::INT + (source_size + middle < target)::INT AS copies, middle / target AS u FROM placed)
+SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken,
+  round(CASE WHEN copies = 0 THEN NULL
+    WHEN ord % 3 = 0 THEN 2 * u / (1.5 + sqrt(2.25 - 2 * u))
+    WHEN ord % 3 = 1 THEN CASE WHEN u < 0.375 THEN 2 * u / (0.5 + sqrt(0.25 + 2 * u)) ELSE 0.5 + 2 * (u - 0.375) / (1 + sqrt(1 + 2 * (u - 0.375))) END
+    ELSE u END, 6) AS first_position
+FROM used
+"""
+
+_CONTROLS = ("<|im_start|", "<|im_end|", "<|endoftext|", "<s>", "</s>")
+_MARKED = " + ".join(f"(len(t) - len(replace(t, '{c}', ''))) // {len(c)}" for c in _CONTROLS)
+_BRACKETED = " + ".join(f"(len(t) - len(replace(t, '{c}', ''))) // {len(c)}" for c in ("[INST]", "[/INST]"))
+
+_OP4 = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+),
+numbered AS (
+  SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n,
+    sum(len('<|im_start|>') + len(r) + 1 + len(t) + 4 * (len(t) - len(replace(t, '&', ''))) + 3 * ({_MARKED}) + 4 * ({_BRACKETED}) + len('<|im_end|>') + 1) OVER w AS upto
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn, r, t)
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY i)) AS turns_sha256,
+  CAST(coalesce(sum(len(t)) FILTER (r = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(t, '' ORDER BY i) FILTER (r = 'assistant'), '')) AS loss_sha256,
+  CAST(coalesce(sum(upto) FILTER (r = 'assistant' OR i = n), 0) AS BIGINT) AS formatted_chars
+FROM numbered GROUP BY conv_id
+"""
+
+_OP6 = """
+WITH vecs AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM vecs q JOIN vecs c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 20
+"""
+
+_OP8 = f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents
+),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' ')) END) AS s FROM words
+),
+each AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM each a JOIN each b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+),
+reach(doc_id, r) AS (SELECT doc_id, doc_id FROM sets UNION SELECT p.a, reach.r FROM reach JOIN pairs p ON p.b = reach.doc_id)
+SELECT sets.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM sets JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)
+"""
+
+_OP9 = f"SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS n_tokens FROM documents"
+
+ORACLES: dict[str, str] = {
+    "op1_secret_scan": _OP1, "op2_mixing": _OP2, "op4_chat_prefix_targets": _OP4, "op6_threshold_top_k": _OP6,
+    "op8_ngram_jaccard": _OP8, "op9_token_counts": _OP9,
+}

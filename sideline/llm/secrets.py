@@ -57,14 +57,16 @@ def _hex_spans(text: str) -> list[tuple[int, int]]:
     """Runs of 16 or more hexadecimal digits. Every such run covers four neighbours among each fourth character."""
     found, done = [], 0
     for four in _HEX_FOURS.finditer(text[::4]):
-        start = 4 * four.start()
-        if start < done:
-            continue
-        while start > 0 and text[start - 1] in _HEX_DIGITS:
-            start -= 1
-        done = _HEX_RUN.match(text, start).end()
-        if done - start >= 16:
-            found.append((start, done))
+        at, last = 4 * four.start(), 4 * (four.end() - 1)
+        while at > done and text[at - 1] in _HEX_DIGITS:
+            at -= 1
+        at = max(at, done)
+        # The sampled digits may belong to several runs.
+        while at <= last:
+            run = _HEX_RUN.search(text, at)
+            at = done = run.end()
+            if run.end() - run.start() >= 16:
+                found.append(run.span())
     return found
 
 
