@@ -23,15 +23,17 @@ SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 0.5), (0.5, 1.0), (1.0, 1.5)), ((0
 
 
 def _place(key: str, source: str, text: str) -> Column:
-    """A document's place in the order of its source, as a hash; equal for rows of equal key, source and text."""
-    return F.xxhash64(F.col(key), F.col(source), F.crc32(F.col(text).cast("binary")))
+    """A document's place in the order of its source: 60 bits of a hash; equal for rows of equal key, source and text."""
+    told = lambda c: F.coalesce(c.cast("string"), F.lit("-"))
+    name = F.concat_ws(":", told(F.col(key)), told(F.col(source)), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    return F.conv(F.substring(F.md5(name.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def _sized(docs: DataFrame, key: str, source: str, text: str) -> DataFrame:
     place = _place(key, source, text)
     return docs.select(
         F.col(key).alias("key"), F.col(source).isNull().alias("nosrc"), F.coalesce(source, F.lit("")).alias("src"),
-        word_count(text).alias("size"), place.alias("place"), F.shiftrightunsigned(place, 64 - RANGES_LOG2).alias("range"),
+        word_count(text).alias("size"), place.alias("place"), F.shiftright(place, 60 - RANGES_LOG2).alias("range"),
     )
 
 

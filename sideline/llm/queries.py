@@ -16,7 +16,7 @@ def op1_secret_scan(spark, sf_dir):
 
 def op2_mixing(spark, sf_dir):
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("first_position"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.round(F.get("positions", F.lit(0)), 6).alias("first_position"))
 
 
 def op3_sharding(spark, sf_dir):
