@@ -5,15 +5,16 @@ Jaccard distance is a metric, and two documents link when it is at most ``r = 1
 1. Documents with equal shingle sets become one class (a hash aggregate that combines before its shuffle).
 2. Classes that cannot link are dropped exactly: of the shingles of A at most ``e = |A| - ceil(percent |A| / 100)`` are missing
    in a partner, so of any part of the hash space that both report, all but ``e`` of A's shingles must occur in some other
-   class. Large sets report a quarter of the space, small ones all of it.
+   class. Large sets report the lowest part of the space (``1.4 (1 - percent / 100)`` of it), small ones all of it.
 3. Regions. A first layer of pivots are single shingles: their Jaccard distance to A is 1 - 1/|A| if A holds them, else 1.
    A document lies in the cell of its first shingle in hash order, and within reach of a link in the cells of its first
    ``e + 1``: it is replicated to those boundary regions, and linked documents meet in at least one.
-4. In each region the next pivots are documents. Every member is compared with its region's pivot; links join components;
-   the nearest pivot so far is a document's home (its Voronoi cell). The pivot then leaves the region, and the region is
-   joined again, recursively, while it holds documents of several components. Two documents of one home cell are compared
-   only inside the triangle-inequality window: ``|d(x, p) - d(y, p)| <= r``. Before each recursion step 2 is repeated on whole
-   sets with components for classes, so regions that have grown together vanish.
+4. A region of up to ``LEAF`` documents is joined as a whole. In a larger one the next pivots are documents: every member is
+   compared with its region's pivot, links join components, and the nearest pivot so far is a document's home (its Voronoi
+   cell). The pivot then leaves the region, and the region is joined again, recursively, while it holds documents of several
+   components. Two documents of one home cell are compared only inside the triangle-inequality window:
+   ``|d(x, p) - d(y, p)| <= r``. Before each recursion step 2 is repeated on whole sets with components for classes, so regions
+   that have grown together vanish.
 
 A large group of near copies therefore costs one comparison per member and pivot, not all pairs; pivots come from
 aggregates, members meet them in joins that skew handling can split, and nothing is gathered by group. Shingles are told
@@ -39,7 +40,8 @@ from pyspark.sql import types as T
 
 from sideline.llm.common import stored
 
-SMALL = 200  # sets below this size report all their shingles, others the quarter of lowest unsigned hash
+SMALL = 128  # sets below this size report all their shingles
+LEAF = 64  # documents of a region that is joined as a whole; doubled with each turn, as regions that stay mixed get few
 SKETCH = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("sample", T.ArrayType(T.LongType())),
 ])
@@ -84,12 +86,18 @@ def _slices(batches: Iterator[pa.RecordBatch], chars: int = 8_000_000) -> Iterat
             at = end
 
 
-def _sketcher(words: int):
+def _reported(percent: int) -> int:
+    """Hashes below this (unsigned) are those that large sets report."""
+    return min(2**64 - 1, int(2**64 * 1.4 * (1 - percent / 100)))
+
+
+def _sketcher(words: int, percent: int):
+    top = np.uint64(_reported(percent))
+
     def run(batches):
         for batch in _slices(batches):
             sets = [shingle_hashes(t.as_py(), words) for t in batch.column(1)]
-            # Unsigned order: the lowest quarter are those without the two highest bits.
-            samples = [s if len(s) < SMALL else s[: np.searchsorted(s, np.uint64(1 << 62))] for s in sets]
+            samples = [s if len(s) < SMALL else s[: np.searchsorted(s, top)] for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()), _lists(samples)], names=SKETCH.names
             )
@@ -131,20 +139,28 @@ def _missing(n: Column, percent: int) -> Column:
     return n - F.ceil(n * percent / 100)
 
 
-def _can_link(sets: DataFrame, percent: int, sampled: bool) -> DataFrame:
+def _could_link(sketch: DataFrame, percent: int) -> DataFrame:
+    """Digests of classes of which enough reported shingles occur in another class too; classes by 64 bits of their digest."""
+    named = sketch.select(F.xxhash64("digest").alias("class"), "digest", "n", F.col("sample").alias("shingles"))
+    # A partner may be larger and report a part only: where it could, count no more than that part.
+    low = lambda s: F.shiftrightunsigned(s, 1) < _reported(percent) >> 1
+    whole = F.ceil(F.col("n") * 100 / percent) < SMALL
+    own = F.when(whole, F.col("n")).otherwise(F.size(F.filter("shingles", low)))
+    named = named.withColumn("need", own - _missing(F.col("n"), percent))
+    rows = named.select("class", whole.alias("whole"), F.explode("shingles").alias("s"))
+    shared = rows.groupBy("s").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("s")
+    hits = rows.where(F.col("whole") | low(F.col("s"))).select("class", "s").join(shared, "s").groupBy("class").agg(F.count("*").alias("hits"))
+    # Copies report alike, so each one's share of the hits is what one copy has.
+    classes = named.groupBy("class", "digest", "n", "need").agg(F.count("*").alias("copies"))
+    return classes.join(hits, "class", "left").where(F.coalesce("hits", F.lit(0)) >= F.col("need") * F.col("copies")).select("digest", "n")
+
+
+def _can_link(sets: DataFrame, percent: int) -> DataFrame:
     """Rows of ``sets`` (vid, comp, n, shingles) of which enough shingles occur in another component too."""
-    rows = sets.select("vid", "comp", "n", F.explode("shingles").alias("s"))
+    rows = sets.select("vid", "comp", F.explode("shingles").alias("s"))
     shared = rows.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("s")
-    if sampled:
-        # Partners may be larger and report a quarter only: count no more than that where they could.
-        low = F.shiftrightunsigned(F.col("s"), 62) == 0
-        counted = low | (F.ceil(F.col("n") * 100 / percent) < SMALL)
-        own = F.when(F.ceil(F.col("n") * 100 / percent) < SMALL, F.col("n")).otherwise(F.size(F.filter("shingles", lambda s: F.shiftrightunsigned(s, 62) == 0)))
-    else:
-        counted, own = F.lit(True), F.col("n")
-    hits = rows.where(counted).join(shared, "s").groupBy("vid").agg(F.count("*").alias("hits"))
-    need = own - _missing(F.col("n"), percent)
-    return sets.join(hits, "vid", "left").where(F.coalesce("hits", F.lit(0)) >= need).drop("hits")
+    hits = rows.select("vid", "s").join(shared, "s").groupBy("vid").agg(F.count("*").alias("hits"))
+    return sets.join(hits, "vid").where(F.col("hits") >= F.col("n") - _missing(F.col("n"), percent)).drop("hits")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -179,23 +195,29 @@ def _join_regions(sets: DataFrame, percent: int) -> DataFrame:
     """Component (smallest vid) of every set that links with another, from whole sets (vid, n, shingles)."""
     reach = 1 - percent / 100
     comp = sets.select("vid", F.col("vid").alias("comp"))
-    done = home = None
+    rows = home = None
     turn = 0
     while True:
-        live = sets.join(comp, "vid")
-        live = stored(_can_link(live.select("vid", "comp", "n", "shingles"), percent, sampled=False), "live")
-        rows = _regions(live, percent)
-        if done is not None:
-            rows = rows.join(done, ["g", "vid"], "left_anti")
-        rows = stored(rows, "regions")
-        # More pivots a turn, so that regions without links end in few turns.
-        order = [F.xxhash64("vid", F.lit(turn), F.lit(j)) for j in range(min(2**turn, 16))]
-        pivots = rows.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.array_distinct(F.array(*(F.min_by("vid", o) for o in order))).alias("ps")).where("lo < hi")
-        pivots = stored(pivots.select("g", F.explode("ps").alias("p")), "pivots")
-        if pivots.isEmpty():
+        live = stored(_can_link(sets.join(comp, "vid").select("vid", "comp", "n", "shingles"), percent), "live")
+        rows = _regions(live, percent) if rows is None else rows.join(live.select("vid", "comp", "n"), "vid")
+        rows = stored(rows.select("g", "vid", "comp", "n"), "regions")
+        # More pivots a turn, so that large regions without links end in few turns. Of regions with the same members, told by
+        # sums of hashes, one is enough.
+        order = [F.xxhash64("vid", F.lit(turn), F.lit(j)) for j in range(min(4**turn, 16))]
+        pivots = F.array_distinct(F.array(*(F.min_by("vid", o) for o in order))).alias("ps")
+        members = [F.count("*").alias("m"), F.bit_xor(F.xxhash64("vid", F.lit(-1))).alias("m1"), F.bit_xor(F.xxhash64("vid", F.lit(-2))).alias("m2")]
+        mixed = rows.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *members, pivots).where("lo < hi")
+        mixed = mixed.groupBy("m", "m1", "m2").agg(F.min(F.struct("g", "ps")).alias("kept"))
+        mixed = stored(mixed.select("kept.g", (F.col("m") <= LEAF * 2**turn).alias("leaf"), "kept.ps"), "mixed")
+        if mixed.isEmpty():
             return comp
+        inner = rows.join(mixed.where("leaf").select("g"), "g")
+        pivots = mixed.where("NOT leaf").select("g", F.explode("ps").alias("p"))
+        other = inner.select("g", F.col("vid").alias("p"), F.col("comp").alias("other"))
+        near = inner.join(other, "g").where("vid < p AND comp != other").select(F.col("vid").alias("x"), "p", "comp", "n")
+        far = rows.join(pivots, "g").where("vid != p").select(F.col("vid").alias("x"), "p", "comp", "n")
         of_pivot = live.select(F.col("vid").alias("p"), F.col("comp").alias("comp_p"), F.col("n").alias("n_p"))
-        pairs = rows.join(pivots, "g").where("vid != p").select(F.col("vid").alias("x"), "p", "comp", "n").distinct().join(of_pivot, "p")
+        pairs = near.union(far).distinct().join(of_pivot, "p")
         pairs = pairs.where("comp != comp_p").where((F.least("n", "n_p") * 100 >= F.greatest("n", "n_p") * percent))
         if home is not None:
             cell = lambda k: home.select(F.col("vid").alias(k), F.col("near.p").alias(f"home_{k}"), F.col("near.d").alias(f"d_{k}"))  # noqa: B023, E731
@@ -207,14 +229,15 @@ def _join_regions(sets: DataFrame, percent: int) -> DataFrame:
         if home is not None:
             seen = home.union(seen).groupBy("vid").agg(F.min("near").alias("near"))
         home = stored(seen, "homes")
-        gone = pivots.select("g", F.col("p").alias("vid"))
-        done = gone if done is None else done.union(gone)
+        rows = rows.join(mixed.where("NOT leaf").select("g"), "g").join(pivots.select("g", F.col("p").alias("vid")), ["g", "vid"], "left_anti").select("g", "vid")
         linked = found.where("linked")
         if not linked.isEmpty():
             of = lambda k, name: comp.select(F.col("vid").alias(k), F.col("comp").alias(name))  # noqa: B023, E731
             merged = components(linked.join(of("x", "a"), "x").join(of("p", "b"), "p").select("a", "b"))
             comp = comp.join(merged, comp["comp"] == merged["v"], "left").select("vid", F.coalesce("label", "comp").alias("comp"))
             comp = stored(comp, "components")
+        if mixed.where("NOT leaf").isEmpty():
+            return comp
         turn += 1
 
 
@@ -222,18 +245,17 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, key:
     """Per document: key, n_shingles, component_id (smallest key reachable by links of at least ``percent`` similarity)."""
     lowest = -(2**63)
     texts = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(lowest)).alias("id"), F.col(text).alias("text"))
-    sketch = stored(texts.mapInArrow(_sketcher(words), SKETCH), "sketch")
-    classes = sketch.where("n > 0").groupBy("digest").agg(F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("sample").alias("shingles"))
-    classes = stored(classes.withColumn("vid", F.monotonically_increasing_id()), "classes")
-    left = _can_link(classes.select("vid", F.col("vid").alias("comp"), "n", "shingles"), percent, sampled=True)
-    left = stored(left.select("vid", "n").join(classes.select("vid", "digest"), "vid"), "candidates")
+    sketch = stored(texts.mapInArrow(_sketcher(words, percent), SKETCH), "sketch")
+    left = stored(_could_link(sketch.where("n > 0"), percent).withColumn("vid", F.monotonically_increasing_id()), "candidates")
     bits = docs.sparkSession.sparkContext.broadcast(_filter_bits(left))
     found = texts.select("id", "text").mapInArrow(_finder(words, bits), SETS).groupBy("digest").agg(F.first("shingles").alias("shingles"))
     sets = stored(left.join(found, "digest").select("vid", "n", "shingles"), "sets")
     comp = _join_regions(sets, percent)
-    named = classes.select("vid", "digest", "first_id").join(comp, "vid", "left").withColumn("comp", F.coalesce("comp", "vid"))
-    smallest = named.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    named = named.join(smallest, "comp").select("digest", "component_id")
+    # Only classes that met a candidate test have a component of their own name; all others are alone with their copies.
+    first = sketch.where("n > 0").groupBy("digest").agg(F.min("id").alias("first_id"))
+    named = first.join(left.select("digest", "vid").join(comp, "vid").select("digest", "comp"), "digest", "left")
+    smallest = named.where("comp IS NOT NULL").groupBy("comp").agg(F.min("first_id").alias("smallest"))
+    named = named.join(smallest, "comp", "left").select("digest", F.coalesce("smallest", "first_id").alias("component_id"))
     out = sketch.select("id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(named, "digest", "left")
     real = lambda c: F.when(F.col(c) != lowest, F.col(c))
     out = out.select(real("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
@@ -241,7 +263,9 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, key:
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with one of each component kept: the row of its smallest key. Columns stay; null keys are kept once."""
+    """The documents with one of each component kept: the row of its smallest key. Columns stay; repeated rows count once."""
     found = jaccard_components(docs, words, percent, key, text)
-    keep = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_keep")).distinct()
-    return docs.join(keep, F.col(key).eqNullSafe(F.col("_keep")), "left_semi")
+    keep = found.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(F.col(key).alias("_keep")).agg(F.count("*").alias("_rows"))
+    rows = docs.join(keep, F.col(key).eqNullSafe(F.col("_keep")))
+    repeated = rows.where("_rows > 1").dropDuplicates([key, text])
+    return rows.where("_rows = 1").union(repeated).select(*docs.columns)
