@@ -8,7 +8,6 @@ that contain a non-ASCII character, and ``ascii_only=True`` leaves it out.
 from __future__ import annotations
 
 import unicodedata
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -25,13 +24,17 @@ def _fold_compatibility(values: pd.Series) -> pd.Series:
     return values.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
 
 
+def fold_compatibility(c: Column) -> Column:
+    """Compatibility folding of a whole value, for callers that take it apart in lambdas, where no UDF can stand."""
+    text = c.cast("string")
+    return F.coalesce(_fold_compatibility(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+
+
 def clean_text(c: Column, *, ascii_only: bool = False) -> Column:
     """Null to "", compatibility folding, straight apostrophes, single spaces, trimmed."""
     text = F.coalesce(c.cast("string"), F.lit(""))
     if not ascii_only:
-        text = F.coalesce(
-            _fold_compatibility(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text
-        )
+        text = fold_compatibility(text)
     text = F.translate(text, " ’`", " ''")
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
@@ -45,29 +48,23 @@ def name_key(c: Column, *, ascii_only: bool = False) -> Column:
     return F.trim(n)
 
 
-@lru_cache(maxsize=1)
-def _ascii_fold() -> tuple[str, str, tuple[tuple[str, str], ...]]:
-    """Accent table by rule: every BMP letter whose compatibility form has an ASCII base."""
-    single_from, single_to, longer = [], [], []
-    for code in range(0x80, 0x10000):
-        if 0xD800 <= code <= 0xF8FF:
-            continue
-        base = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
-        if len(base) == 1:
-            single_from.append(chr(code))
-            single_to.append(base)
-        elif len(base) > 1 and unicodedata.category(chr(code)).startswith("L") and base.isalpha() and code < 0x2000 or 0xFB00 <= code <= 0xFB06:
-            longer.append((chr(code), base))
-    return "".join(single_from), "".join(single_to), tuple(longer)
-
-
-def compact_key(c: Column) -> Column:
-    """Alternative name key: accents folded, suffix words dropped, letters and digits only."""
-    src, dst, longer = _ascii_fold()
+@F.pandas_udf(T.StringType())
+def _ascii_base(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: unicodedata.normalize("NFKD", v).encode("ascii", "ignore").decode(), na_action="ignore")
+
+
+def fold_ascii(c: Column) -> Column:
+    """Compatibility forms and accents to their ASCII base; only values with a non-ASCII character enter the step."""
     n = F.coalesce(c.cast("string"), F.lit(""))
-    for old, new in longer:
-        n = F.replace(n, F.lit(old), F.lit(new))
-    n = F.lower(F.regexp_replace(F.translate(n, src, dst), r"[^\x00-\x7F]", ""))
+    return F.coalesce(_ascii_base(F.when(n.rlike(r"[^\x00-\x7F]"), n)), n)
+
+
+def compact_key(c: Column, *, folded: bool = False) -> Column:
+    """Alternative name key: ASCII base, suffix words dropped, letters and digits only.
+
+    ``folded`` is for values that have been through :func:`fold_ascii`, as inside lambdas, where no UDF can stand.
+    """
+    n = F.lower(c if folded else fold_ascii(c))
     n = F.regexp_replace(n, r"\b(?:jr|sr|ii|iii|iv|v)\.?\b", "")
     return F.regexp_replace(n, "[^a-z0-9]", "")
 

@@ -110,7 +110,8 @@ def comparison(
 ) -> DataFrame:
     """Same-player forecasts side by side, both captured before kickoff.
 
-    Columns both sides share get the suffixes ``_ours`` and ``_rival``.
+    Rows that may not enter are left out; :func:`refused` returns them with the
+    reason. Columns both sides share get the suffixes ``_ours`` and ``_rival``.
     """
     require(ours, [*KEYS, "player_name", "final_projection", "captured_at_utc"], "Own forecasts")
     require(rival, [*KEYS, "player_name", "yahoo_projection", "captured_at_utc"], "Rival forecasts")
@@ -132,6 +133,16 @@ def comparison(
     )
 
 
+def refused(records: DataFrame, kickoffs: DataFrame) -> DataFrame:
+    """The rows of one side that `comparison` leaves out: kickoff_status post_kickoff, missing_kickoff or missing_identity."""
+    blank = F.lit(False)
+    for c in KEYS:
+        blank = blank | blank_to_null(F.col(c)).isNull()
+    gated = pregame_gate(records, kickoffs)
+    status = F.when(blank, "missing_identity").otherwise(F.col("kickoff_status"))
+    return gated.withColumn("kickoff_status", status).where("kickoff_status <> 'pregame'").select(*records.columns, "kickoff_status")
+
+
 def with_errors(df: DataFrame) -> DataFrame:
     """Signed (actual minus forecast) and absolute errors; null without an actual."""
     actual = F.col("actual_points") if "actual_points" in df.columns else F.lit(None).cast("double")

@@ -11,7 +11,7 @@ from sideline.functions.numeric import as_double, at_most
 from sideline.operators.forecast import project
 from sideline.operators.quantiles import exact_median
 from sideline.operators.temporal import walk_forward
-from sideline.schemas import DENSE_METRICS, OFFENSE
+from sideline.schemas import OFFENSE
 
 ALL_RECORDS = "All player records"
 OFFENSE_LABEL = "Offense (QB/RB/WR/TE)"
@@ -24,7 +24,7 @@ FORECAST_LABELS = {
 }
 
 
-def backtest(stats: DataFrame, *, seasons: Sequence[int] | None = None, dense=DENSE_METRICS) -> DataFrame:
+def backtest(stats: DataFrame, *, seasons: Sequence[int] | None = None, dense=()) -> DataFrame:
     """Baseline forecast against the outcome for every player-week, without carry-over."""
     pairs = project(walk_forward(stats, carry=False, dense=dense, seasons=seasons))
     error = F.col("baseline_projection") - F.col("target_next_week")

@@ -133,14 +133,13 @@ def explanation_columns(df: DataFrame) -> DataFrame:
             "consistency_part": clip(12 - F.col("volatility"), -10, 10),
             "opportunity_part": clip(zero_if_null(F.col("opportunity_score")), 0, 15),
             "raw_confidence": raw,
-            "confidence_bound": F.when(above(raw, 90), "Bound at 90%.")
-            .when(below(raw, 20), "Bound at 20%.")
+            "confidence_bound": F.when(above(raw, 90), "Held at 90%.")
+            .when(below(raw, 20), "Held at 20%.")
             .otherwise(""),
         }
     )
     signal = F.format_string(
-        "%s: %s Opportunity momentum = %.1f; production momentum = %.1f; trend gap (opportunity minus"
-        " production) = %.1f; TD dependence = %.0f%%.",
+        "%s: %s Momentum of use %.1f and of points %.1f, gap %.1f, touchdown share %.0f%%.",
         label,
         F.coalesce(F.try_element_at(texts, label), F.lit(SIGNAL_TEXT["Stable"])),
         zero_if_null(F.col("opportunity_momentum")),
@@ -149,12 +148,12 @@ def explanation_columns(df: DataFrame) -> DataFrame:
         zero_if_null(F.col("td_dependency")) * 100,
     )
     early = F.format_string(
-        "Early season: only %d included games. Confidence is withheld until at least three games are available.",
+        "%d games so far; a confidence needs three.",
         F.col("games_played").cast("long"),
     )
     full = F.format_string(
-        "Raw confidence calculation: 50 + consistency (%.1f) + opportunity (%.1f) = %.1f%%. %s"
-        " Volatility is %.1f; opportunity score is %.1f; %d games are included.",
+        "50%% and %.1f for consistency and %.1f for opportunity make %.1f%%.%s"
+        " Based on a volatility of %.1f, an opportunity score of %.1f and %d games.",
         F.col("consistency_part"), F.col("opportunity_part"), F.col("raw_confidence"),
         F.when(F.col("confidence_bound") != "", F.concat(F.lit(" "), F.col("confidence_bound"))).otherwise(""),
         F.col("volatility"), zero_if_null(F.col("opportunity_score")), F.col("games_played").cast("long"),

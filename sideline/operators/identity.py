@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from sideline.functions.similarity import indel_ratio
 from sideline.functions.text import clean_text, name_key, team_code
-from sideline.operators.schema import resolve_aliases
-from sideline.schemas import DEFENSE_ALIASES, IDENTITY_OVERRIDES, MASTER_ALIASES
+from sideline.operators.schema import one_row_per_key, resolve_aliases
+from sideline.schemas import DEFENSE_ALIASES, MASTER_ALIASES
 from sideline.session import ensure_checkpointing
 
 # fixed values
@@ -163,18 +163,7 @@ def _wanted_keys(df: DataFrame) -> DataFrame:
     )
 
 
-def _override_map() -> Column:
-    entries = []
-    for key, (player_id, display, team, position) in IDENTITY_OVERRIDES.items():
-        entries += [
-            F.lit(key),
-            F.struct(
-                F.lit(player_id).alias("player_id"), F.lit(display).alias("display_name"),
-                F.lit(team).alias("team"), F.lit(position).alias("position"),
-                F.lit(key).alias("name_normalized"),
-            ),
-        ]
-    return F.create_map(*entries)
+_OVERRIDE = "struct<player_id:string,display_name:string,team:string,position:string,name_normalized:string>"
 
 
 def match_ladder(
@@ -185,20 +174,25 @@ def match_ladder(
     fuzzy: bool = True,
     master_order: str = "player_id",
     ascii_only: bool = False,
+    overrides: DataFrame | None = None,
 ) -> DataFrame:
     """Roster rows with id, name, team, position, method and confidence of their match.
 
+    ``overrides`` are audited identities that no rule resolves, one row per name key: name_normalized, player_id,
+    display_name, team, position.
+
     ``row_id`` names a unique roster column; without one the row's content is its id.
     ``master_order`` settles equal best scores in the spelling rung.
     """
     df = _prepare(roster, row_id, ascii_only=ascii_only)
-    override = F.try_element_at(_override_map(), F.col("player_normalized"))
-    df = df.withColumns(
-        {
-            "_defense": F.col("_position").isin(*DEFENSE_ALIASES),
-            "_override": override,
-        }
-    )
+    df = df.withColumn("_defense", F.col("_position").isin(*DEFENSE_ALIASES))
+    if overrides is None:
+        df = df.withColumn("_override", F.lit(None).cast(_OVERRIDE))
+    else:
+        fields = ("player_id", "display_name", "team", "position", "name_normalized")
+        audited = one_row_per_key(overrides.select(*fields), ["name_normalized"], "Identity overrides")
+        audited = audited.select(F.col("name_normalized").alias("_audited"), F.struct(*fields).alias("_override"))
+        df = df.join(audited, F.col("player_normalized") == F.col("_audited"), "left").drop("_audited")
     open_rows = df.where(~F.col("_defense") & F.col("_override").isNull())
     dictionary = master_keys(master).where(F.col("candidates") == 1)
     hits = (

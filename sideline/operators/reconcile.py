@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sideline.functions.text import compact_key, strip_labels_and_status, team_code
@@ -10,7 +10,7 @@ from sideline.operators.schema import assert_unique, require
 
 
 def _identity(name: Column, position: Column, team: Column) -> Column:
-    own = F.when(position == "DEF", team_code(team, ascii_only=True)).otherwise(
+    own = F.when(position == "DEF", team_code(team)).otherwise(
         compact_key(strip_labels_and_status(name))
     )
     return F.concat_ws("|", position, own)
@@ -33,8 +33,9 @@ def reconcile(
     A captured row fits a roster row when position and name key (club for a
     team defence) agree, by the displayed or the resolved name, and the
     manager does too. With ``strict`` ambiguous identities, repeated captures
-    and mixed weeks or leagues raise; without it the first capture by slot is
-    kept.
+    and mixed weeks or leagues raise; without it the first capture by slot,
+    name and source is kept, and the others of its roster row are returned with
+    those that fit nowhere. Their ``reason`` is "duplicate" or "unmatched".
     """
     require(roster, ["manager", "player", "position", "team", "slot", "nflverse_player_id"], "Roster mapping")
     extra = [c for c in ("source_file", "captured_at_utc") if c in captured.columns]
@@ -67,16 +68,15 @@ def reconcile(
     if strict:
         assert_unique(fits.where(F.col("_row").isNotNull()), ["_row"], "Captured rows")
 
+    ties = [c for c in ("source_file", "captured_at_utc", "yahoo_projection") if c in captured.columns]
+    first = Window.partitionBy("_row").orderBy("slot", "player_name", *ties)
+    held = fits.where(F.col("_row").isNotNull()).withColumn("_nth", F.row_number().over(first))
     record = F.struct(
         F.lit(True).alias("captured"), "yahoo_projection", F.col("slot").alias("yahoo_slot"),
         F.col("team").alias("_captured_team"), *extra,
     )
-    found = (
-        fits.where(F.col("_row").isNotNull())
-        .groupBy("_row")
-        .agg(F.min_by(record, F.struct("slot", "player_name")).alias("r"))
-    )
-    team = team_code(F.col("team"), ascii_only=True)
+    found = held.where("_nth = 1").select("_row", record.alias("r"))
+    team = team_code(F.col("team"))
     player_id = F.when(F.col("position") == "DEF", F.concat(F.lit("DEF:"), team)).otherwise(
         F.col("nflverse_player_id")
     )
@@ -97,8 +97,9 @@ def reconcile(
         F.coalesce(F.col("r._captured_team") != team, F.lit(False)).alias("team_mismatch"),
         *[F.col(f"r.{c}").alias(c) for c in extra],
     )
-    unexpected = fits.where(F.col("_row").isNull()).select(*captured.columns)
-    return coverage, unexpected
+    unmatched = fits.where(F.col("_row").isNull()).select(*captured.columns, F.lit("unmatched").alias("reason"))
+    repeated = held.where("_nth > 1").select(*captured.columns, F.lit("duplicate").alias("reason"))
+    return coverage, unmatched.union(repeated)
 
 
 def coverage_summary(coverage: DataFrame, captured: DataFrame, unexpected: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sideline.functions.numeric import number_or_zero, zero_if_null
 from sideline.functions.text import team_code
-from sideline.operators.schema import require, resolve_aliases
+from sideline.operators.schema import one_row_per_key, require, resolve_aliases
 from sideline.schemas import (
     EVENT_COLUMNS, SCORING_VERSION, STAT_ALIASES, STAT_DEFAULTS,
 )
@@ -136,12 +136,13 @@ def score_defense(
 def attach_events(stats: DataFrame, events: DataFrame) -> DataFrame:
     """Left-join event counts on (season, week, player_id); no event means 0.
 
-    ``events`` must hold one row per key, as `operators.events.event_rollup` returns it.
+    ``events`` must hold one row per key, as `operators.events.event_rollup` returns it; a repeated key fails the query
+    instead of multiplying stat lines. The check groups by the join's own keys and so needs no shuffle of its own.
     """
     keys = ["season", "week", "player_id"]
     require(events, keys, "Scoring-event table")
     require(events, EVENT_COLUMNS, "Scoring-event table")
-    payload = events.select(*keys, *EVENT_COLUMNS)
+    payload = one_row_per_key(events.select(*keys, *EVENT_COLUMNS), keys, "Scoring-event table")
     joined = stats.drop(*EVENT_COLUMNS).join(payload, keys, "left")
     return joined.withColumns({c: zero_if_null(F.col(c).try_cast("double")) for c in EVENT_COLUMNS})
 

@@ -22,7 +22,7 @@ from sideline.functions.numeric import as_double, number_or_null, safe_ratio, ze
 from sideline.functions.text import team_code
 from sideline.operators.schema import require, resolve_aliases
 from sideline.schemas import (
-    DENSE_METRICS, FEATURE_METRICS, MOMENTUM_METRICS, SNAP_ALIASES,
+    FEATURE_METRICS, MOMENTUM_METRICS, SNAP_ALIASES,
 )
 
 # fixed values
@@ -292,7 +292,7 @@ def walk_forward(
     stats: DataFrame,
     *,
     carry: bool = True,
-    dense: Collection[str] = DENSE_METRICS,
+    dense: Collection[str] = (),
     seasons: Collection[int] | None = None,
 ) -> DataFrame:
     """Every (features before W, points at W) pair of every season, W > 1, in one pass.

@@ -17,7 +17,6 @@ from sideline.operators.models import (
 )
 from sideline.operators.status import apply_depth
 from sideline.operators.temporal import latest_per_history, player_features, walk_forward, with_carryover
-from sideline.schemas import DENSE_METRICS
 
 
 def live_history(stats: DataFrame, season: int, target_week: int) -> DataFrame:
@@ -36,7 +35,7 @@ def current_projections(
     ridge: RidgeModel | None = None,
     trees: TreeModel | None = None,
     depth: DataFrame | None = None,
-    dense=DENSE_METRICS,
+    dense=(),
 ) -> DataFrame:
     """Live forecasts for one week: features, projection, opponent, reasons, master data, models, depth."""
     df = project(latest_per_history(player_features(live_history(stats, season, target_week), dense=dense)))
@@ -66,6 +65,7 @@ def holdout(
     holdout_season: int,
     *,
     tree_settings: dict | None = TREE_SETTINGS,
+    dense=(),
 ) -> DataFrame:
     """Fit on earlier seasons, score the later one; a report of three forecasts by six groups.
 
@@ -73,7 +73,7 @@ def holdout(
     on them. ``tree_settings=None`` leaves the trees out.
     """
     seasons = sorted({*training_seasons, holdout_season})
-    pairs = walk_forward(stats, seasons=seasons)
+    pairs = walk_forward(stats, seasons=seasons, dense=dense)
     if schedule is not None:
         pairs = add_matchup_feature(pairs, stats.where(F.col("season").isin(seasons)), schedule)
     pairs = project(pairs).persist()
@@ -101,18 +101,18 @@ def holdout_report(
     return forecast_metrics(test)
 
 
-def fold_table(holdout_seasons: Sequence[int], span: int = 7, earliest: int = 1999) -> list[tuple[list[int], int]]:
-    """(training seasons, holdout season) per fold: the seasons before each holdout."""
-    return [(list(range(max(earliest, h - span), h)), h) for h in holdout_seasons]
+def fold_table(holdout_seasons: Sequence[int], span: int = 7, earliest: int | None = None) -> list[tuple[list[int], int]]:
+    """(training seasons, holdout season) per fold: the ``span`` seasons before each holdout, none before ``earliest``."""
+    return [(list(range(h - span if earliest is None else max(earliest, h - span), h)), h) for h in holdout_seasons]
 
 
 def multi_fold(
-    stats: DataFrame, schedule: DataFrame | None, holdout_seasons: Sequence[int], *, tree_settings: dict | None = TREE_SETTINGS
+    stats: DataFrame, schedule: DataFrame | None, holdout_seasons: Sequence[int], *, tree_settings: dict | None = TREE_SETTINGS, dense=()
 ) -> DataFrame:
     """Holdout reports of several folds over one cached set of pairs."""
     folds = fold_table(holdout_seasons)
     seasons = sorted({s for train, h in folds for s in (*train, h)})
-    pairs = walk_forward(stats, seasons=seasons)
+    pairs = walk_forward(stats, seasons=seasons, dense=dense)
     if schedule is not None:
         pairs = add_matchup_feature(pairs, stats.where(F.col("season").isin(seasons)), schedule)
     pairs = project(pairs).persist()

@@ -367,11 +367,11 @@ cte("depth_ctx", """
 SELECT player_id, depth_rank, CASE WHEN out THEN 'unavailable' WHEN depth_rank > 1 AND out_above > 0 AND healthy_above = 0
     THEN CASE WHEN ended_above > 0 THEN 'replacement' ELSE 'temporary_surge' END
   WHEN depth_rank <= 1 THEN 'starter' ELSE 'backup' END AS depth_role,
-  'Depth chart: ' || position || depth_rank::INT || '.' || CASE WHEN out THEN ' Player is currently ' || injury_flag || '.'
+  position || depth_rank::INT || ' on the depth chart.' || CASE WHEN out THEN ' Listed as ' || injury_flag || '.'
     WHEN depth_rank > 1 AND out_above > 0 AND healthy_above = 0 THEN CASE WHEN ended_above > 0
-      THEN ' Higher-ranked teammate is explicitly reported out for the season.'
-      ELSE ' Temporary starter while a higher-ranked teammate is O/IR.' END
-    WHEN depth_rank > 1 AND healthy_above > 0 THEN ' Higher-ranked teammate is active; recent usage is not treated as a starting role.'
+      THEN ' Moves up: a player ahead is out for the season.'
+      ELSE ' Fills in for a player ahead who is O or IR.' END
+    WHEN depth_rank > 1 AND healthy_above > 0 THEN ' A player ahead is active, so recent use is no sign of a starting role.'
     ELSE '' END AS depth_note,
   CASE WHEN NOT out AND depth_rank > 1 AND healthy_above > 0 THEN 'healthy_backup' ELSE '' END AS depth_adjustment
 FROM (SELECT *, count(*) FILTER (WHERE out) OVER above AS out_above, count(*) FILTER (WHERE NOT out) OVER above AS healthy_above,
@@ -649,7 +649,7 @@ FROM (SELECT 'page_' || (key // 12) AS source_file, 1000000000 + key % 12 AS sou
   position, CASE WHEN key % 3 = 0 THEN 'BN' ELSE position END AS slot,
   upper(regexp_extract(full_name || {_LABELLED}, '(?i)^.*?(IR-R|PUP-R|IR|O|Q|D|P)(?:Video Forecast|New Player Note|Player Note|No new player Notes|$)', 1)) AS yahoo_status FROM people)""", "people")
 O["parse_matchups"] = _sql(f"""
-SELECT player_name, 'DAL' AS team, position, 'Sun 12:00 pm @ Buf' AS game_label, manager, slot, {r6('yahoo_projection', 'yahoo_projection')}, 3 AS week, '893771' AS league_id, "table", source_file FROM captured""", "captured")
+SELECT player_name, 'DAL' AS team, position, 'Sun 12:00 pm @ Buf' AS game_label, manager, slot, {r6('yahoo_projection', 'yahoo_projection')}, 3 AS week, '52040' AS league_id, "table", source_file FROM captured""", "captured")
 O["matchup_rejects"] = _sql("""
 SELECT DISTINCT source_file, CASE WHEN wrong_week THEN 'displayed week differs' ELSE 'starter table has an unexpected layout' END AS error FROM sheet WHERE wrong_week OR started""", "sheet")
 O["capture_filters"] = _sql("""
@@ -660,6 +660,10 @@ SELECT source_file, team_lines::INT AS team_lines, team_lines >= 8 AS roster, sh
 
 O["kickoff_times"] = _sql("SELECT season, week, team, game_id, kickoff_utc FROM kicks", "kicks")
 O["pregame_gate"] = _sql("SELECT player_id, season, target_week, team, kickoff_utc, kickoff_status FROM rival_g", "rival_g")
+_BLANK = " OR ".join(f"coalesce(trim({c}::VARCHAR), '') = ''" for c in ("player_id", "team", "season", "target_week"))
+O["comparison_refused"] = _sql(
+    f"SELECT player_id, season, target_week, team, CASE WHEN {_BLANK} THEN 'missing_identity' ELSE kickoff_status END AS kickoff_status FROM rival_g"
+    f" WHERE kickoff_status <> 'pregame' OR {_BLANK}", "rival_g")
 _C4 = "player_id, team, season, target_week"
 O["comparison"] = _sql(
     f"SELECT {_C4}, player_name_ours, {r6s('final_projection', 'yahoo_projection')}, NULL::DOUBLE AS our_error, kickoff_status, 'benchmark_v1' AS benchmark_schema_version FROM cmp", "cmp")

@@ -76,11 +76,11 @@ def history_features(spark, sf_dir, **kw):
 
 
 def pairs(spark, sf_dir):
-    return temporal.walk_forward(B.usage(spark, sf_dir))
+    return temporal.walk_forward(B.usage(spark, sf_dir), dense=DENSE_METRICS)
 
 
 def live_projections_full(spark, sf_dir, **kw):
-    return live.current_projections(B.usage(spark, sf_dir), SEASON, WEEK, schedule=B.schedule(spark, sf_dir), **kw)
+    return live.current_projections(B.usage(spark, sf_dir), SEASON, WEEK, schedule=B.schedule(spark, sf_dir), dense=DENSE_METRICS, **kw)
 
 
 def contexts(spark, sf_dir):
@@ -667,6 +667,12 @@ def pregame_gate(spark, sf_dir):
     return df.select("player_id", "season", "target_week", "team", "kickoff_utc", "kickoff_status")
 
 
+@query
+def comparison_refused(spark, sf_dir):
+    df = compare.refused(B.rival_forecasts(spark, sf_dir), kickoffs(spark, sf_dir))
+    return df.select("player_id", "season", "target_week", "team", "kickoff_status")
+
+
 @query
 def comparison(spark, sf_dir):
     return show(
@@ -837,18 +843,18 @@ def walk_forward(spark, sf_dir):
 @query
 def walk_forward_matchup(spark, sf_dir):
     stats = B.usage(spark, sf_dir)
-    df = matchup.add_matchup_feature(temporal.walk_forward(stats), stats, B.schedule(spark, sf_dir))
+    df = matchup.add_matchup_feature(temporal.walk_forward(stats, dense=DENSE_METRICS), stats, B.schedule(spark, sf_dir))
     return show(df, "player_id", "season", "target_week", "opponent", "opponent_points_allowed_per_game", "target_next_week")
 
 
 @query
 def backtest_rows(spark, sf_dir):
-    return show(evaluate.backtest(B.usage(spark, sf_dir)))
+    return show(evaluate.backtest(B.usage(spark, sf_dir), dense=DENSE_METRICS))
 
 
 @query
 def backtest_summary(spark, sf_dir):
-    return show(evaluate.backtest_summary(evaluate.backtest(B.usage(spark, sf_dir))))
+    return show(evaluate.backtest_summary(evaluate.backtest(B.usage(spark, sf_dir), dense=DENSE_METRICS)))
 
 
 @query
@@ -880,30 +886,25 @@ def ridge_scores(spark, sf_dir):
 
 @query
 def ridge_weights(spark, sf_dir):
-    model = models.fit_ridge(pairs(spark, sf_dir), min_examples=1)
+    model = models.fit_ridge(pairs(spark, sf_dir))
     return model.report(spark)
 
 
-# The booster runs one job per level of every tree, so the registered query
-# uses a shorter model than the default of 350 trees.
-QUERY_TREES = {**models.TREE_SETTINGS, "maxIter": 12}
-
-
 @query
 def gbt_scores(spark, sf_dir):
     rows = pairs(spark, sf_dir)
-    trees = models.fit_trees(rows, SEASON, settings=QUERY_TREES, min_examples=1)
+    trees = models.fit_trees(rows, SEASON)
     return models.apply_trees(rows, trees).select("player_id", "season", "target_week", "ml_projection")
 
 
 @query
 def holdout_report(spark, sf_dir):
-    return live.holdout(B.usage(spark, sf_dir), B.schedule(spark, sf_dir), range(1995, 2001), 2001, tree_settings=QUERY_TREES)
+    return live.holdout(B.usage(spark, sf_dir), B.schedule(spark, sf_dir), range(1995, 2001), 2001, dense=DENSE_METRICS)
 
 
 @query
 def multi_fold_report(spark, sf_dir):
-    return live.multi_fold(B.usage(spark, sf_dir), None, (2000, 2001), tree_settings=None)
+    return live.multi_fold(B.usage(spark, sf_dir), B.schedule(spark, sf_dir), (2000, 2001), dense=DENSE_METRICS)
 
 
 # --------------------------------------------------------------- streaming

@@ -82,16 +82,8 @@ TEAM_ALIASES = {
     "NWE": "NE", "TAM": "TB", "SFO": "SF", "KAN": "KC", "GNB": "GB", "NOR": "NO",
 }
 
-# Hand-audited identities that no rule resolves: name key -> (id, name, team, position).
-IDENTITY_OVERRIDES = {
-    "justin jefferson": ("00-0036322", "Justin Jefferson", "MIN", "WR"),
-    "marvin harrison": ("00-0039988", "Marvin Harrison Jr.", "ARI", "WR"),
-    "aaron jones": ("00-0033293", "Aaron Jones", "MIN", "RB"),
-    "devonta smith": ("00-0036912", "DeVonta Smith", "PHI", "WR"),
-}
-
 # ------------------------------------------------------------ source aliases
-# logical column -> accepted source names, first one present wins.
+# fixed values: logical column -> accepted source names, first one present wins.
 
 STAT_ALIASES = {
     "player_id": ["player_id", "gsis_id", "id"],

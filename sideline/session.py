@@ -34,12 +34,15 @@ _STAND_IN: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """Folder for checkpoints and intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (local tests) does a fresh temporary folder stand in, one per application.
+    The cluster names it in ``spark.checkpoint.dir``. Only local mode, where
+    driver and executors are one process, may do without: a fresh temporary
+    folder stands in, one per application.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("Set spark.checkpoint.dir to a folder that driver and executors share.")
     app = spark.sparkContext.applicationId
     if app not in _STAND_IN:
         _STAND_IN[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")

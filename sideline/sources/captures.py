@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sideline.functions.numeric import points_cell
 from sideline.functions.text import (
-    clean_text, compact_key, inline_status, name_key, strip_labels, strip_labels_and_status, team_code,
+    clean_text, compact_key, fold_ascii, fold_compatibility, inline_status, name_key, strip_labels, strip_labels_and_status, team_code,
 )
 from sideline.operators.reconcile import coverage_summary, reconcile
 from sideline.operators.schema import resolve_aliases
@@ -88,6 +88,8 @@ def parse_roster_pages(captures: DataFrame, *, ascii_only: bool = False) -> Data
     is cut at headings, each part at slot lines; ``source_order`` keeps the
     page order.
     """
+    # Folded as a whole, so its lines need no folding step of their own below.
+    captures = captures.withColumn("value", fold_compatibility(F.col("value")))
     page = F.concat(F.array_join(F.transform(_lines(F.col("value")), lambda x: clean_text(x, ascii_only=True)), "\n"), F.lit("\n"))
     heading = rf"(?m)^(?:[^\n]*{GLYPH}\s*)$\n?"
     slot = rf"(?i:{SLOTS})"
@@ -212,12 +214,13 @@ def _cell_text(c: Column) -> Column:
     text = F.regexp_replace(c, r"(?s)<[^>]*>", " ")
     for entity, ch in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(ch))
-    return clean_text(text, ascii_only=True)
+    return clean_text(text, ascii_only=True)  # of pages folded as a whole
 
 
 def html_table_cells(pages: DataFrame, *, id_column: str = "page_id", html: str = "html") -> DataFrame:
     """Every cell of every table of a corpus of pages: (page, table, row, column, text)."""
-    tables = pages.select(id_column, F.posexplode(F.regexp_extract_all(html, F.lit(_tag("table")), F.lit(1))).alias("table_no", "t"))
+    pages = pages.select(id_column, fold_compatibility(F.col(html)).alias("html"))
+    tables = pages.select(id_column, F.posexplode(F.regexp_extract_all("html", F.lit(_tag("table")), F.lit(1))).alias("table_no", "t"))
     rows = tables.select(id_column, "table_no", F.posexplode(F.regexp_extract_all("t", F.lit(_tag("tr")), F.lit(1))).alias("row_no", "r"))
     cells = rows.select(
         id_column, "table_no", "row_no",
@@ -240,6 +243,7 @@ def html_rosters(pages: DataFrame, *, id_column: str = "page_id", html: str = "h
     def first_row(t: Column) -> Column:
         return F.lower(F.array_join(cell_list(F.regexp_extract(t, _tag("tr"), 1)), " "))
 
+    pages = pages.withColumn(html, fold_compatibility(F.col(html)))
     found = F.regexp_extract_all(html, F.lit(_tag("table")), F.lit(1))
     telling = F.filter(found, lambda t: first_row(t).rlike("player|name|position"))
     chosen = F.coalesce(F.try_element_at(telling, F.lit(1)), F.try_element_at(found, F.lit(1)))
@@ -323,10 +327,10 @@ def parse_matchups(
             ),
             "top": F.regexp_extract(
                 F.try_element_at("parts", F.lit(2)),
-                rf"\A((?:{_STARTERS}){{0,16}})(?:{_POINTS}\n){{2}}TOTAL\n(?:{_POINTS}\n){{2}}", 1,
+                rf"\A((?:{_STARTERS})*+)(?:{_POINTS}\n){{2}}TOTAL\n(?:{_POINTS}\n){{2}}", 1,
             ),
             "low": F.regexp_extract(
-                F.try_element_at("parts", F.lit(3)), rf"\A((?:{_BENCH}){{0,16}}){_POINTS}\nTOTAL\n{_POINTS}\n", 1
+                F.try_element_at("parts", F.lit(3)), rf"\A((?:{_BENCH})*+){_POINTS}\nTOTAL\n{_POINTS}\n", 1
             ),
         },
     )
@@ -362,11 +366,13 @@ def parse_matchups(
 
     entries = F.filter(F.flatten(F.transform(tables, sides)), lambda e: e["name"] != "(Empty)")
     df = _computed(df, {"entries": entries})
+    # All names of a sheet are folded as one value and parted again.
+    joined = F.array_join(F.transform("entries", lambda e: strip_labels_and_status(e["name"])), "\n")
+    df = _computed(df, {"names": F.split(fold_ascii(joined), "\n")})
     identity = F.transform(
         "entries",
-        lambda e: F.concat_ws(
-            "|", e["side"].cast("string"), F.regexp_extract(e["place"], r"([A-Z]+)$", 1),
-            compact_key(strip_labels_and_status(e["name"])),
+        lambda e, i: F.concat_ws(
+            "|", e["side"].cast("string"), F.regexp_extract(e["place"], r"([A-Z]+)$", 1), compact_key(F.get("names", i), folded=True)
         ),
     )
     slots = F.array_sort(F.transform("starters", lambda p: F.regexp_extract(p, slot_at, 1)))

@@ -198,3 +198,14 @@ def test_import_batch(spark, tmp_path):
             run("b3")
     loose = run("b4", strict=False)
     assert loose.captured_entries == 0
+
+
+def test_reconcile_loses_no_capture(spark):
+    """Two captures of one player: the first by slot is kept, the other comes back with its reason."""
+    captured, _ = parse(spark, sheet())
+    one = ("Red Side", "Left Pa", "QB", "DAL", "QB", "id1", "Left Pa")
+    twice = captured.unionByName(captured)
+    coverage, rest = reconcile.reconcile(twice, mapping(spark, [one]), strict=False)
+    assert coverage.count() == 1 and coverage.first().coverage_status == "matched"
+    reasons = {r.reason: r["count"] for r in rest.groupBy("reason").count().collect()}
+    assert reasons["duplicate"] == 1 and sum(reasons.values()) + 1 == twice.count()

@@ -87,3 +87,10 @@ def test_comparison_batches_append(spark, tmp_path):
     ids = {snapshots.save_comparison(rows, str(tmp_path / "c")) for _ in range(2)}
     stored = spark.read.parquet(str(tmp_path / "c"))
     assert len(ids) == 2 and stored.count() == 2
+
+
+def test_refused_rows_come_back(spark):
+    kickoffs = compare.schedule_kickoffs(schedule(spark), season=2025, week=3)
+    rows = [("a", "A", "BUF", 2025, 3, "2025-09-21T16:59:00Z", 1.0), ("b", "B", "BUF", 2025, 3, "2025-09-21T17:00:00Z", 1.0), (" ", "C", "BUF", 2025, 3, "2025-09-21T16:00:00Z", 1.0), ("d", "D", "ZZZ", 2025, 3, "2025-09-21T16:00:00Z", 1.0)]
+    got = {r.player_name: r.kickoff_status for r in compare.refused(captures(spark, rows, "yahoo_projection"), kickoffs).collect()}
+    assert got == {"B": "post_kickoff", "C": "missing_identity", "D": "missing_kickoff"}

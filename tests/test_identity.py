@@ -51,14 +51,17 @@ MASTER = [
         (("Quentin Vandermer", "BUF", "TE"), ("5", "fuzzy_name_team", 97.1)),
         (("Cristopher Holow", "LAR", "QB"), ("10", "fuzzy_name", 94.1)),
         (("Dolphins", "MIA", "D/ST"), ("", "team_defense", 100.0)),
-        (("Justin Jefferson", "LAR", "QB"), ("00-0036322", "explicit_override", 100.0)),
+        (("Ola Nordmann", "LAR", "QB"), ("A-1", "explicit_override", 100.0)),
         (("Nobody Here", "MIA", "TE"), ("", "unmatched", 0.0)),
         (("Deb Same", "KC", "WR"), ("", "unmatched", 0.0)),
         (("Zed Same", "ATL", "WR"), ("", "unmatched", 0.0)),
     ],
 )
 def test_ladder(spark, row, want):
-    got = identity.match_ladder(roster(spark, [row]), master(spark, MASTER)).first()
+    audited = spark.createDataFrame(
+        [("ola nordmann", "A-1", "Ola Nordmann", "LAR", "QB")], "name_normalized string, player_id string, display_name string, team string, position string"
+    )
+    got = identity.match_ladder(roster(spark, [row]), master(spark, MASTER), overrides=audited).first()
     assert (got.nflverse_player_id, got.match_method, got.match_confidence) == want
 
 
@@ -120,3 +123,11 @@ def test_fuzzy_equal_scores_take_first_master_row(spark):
     rows = [("b", "Abcdefghij Klmnopqrsy", "WR", "X"), ("a", "Abcdefghij Klmnopqrsz", "WR", "Y")]
     got = identity.match_ladder(roster(spark, [("Abcdefghij Klmnopqrsx", "", "")]), master(spark, rows)).first()
     assert (got.nflverse_player_id, got.match_method) == ("a", "fuzzy_name")
+
+
+def test_repeated_override_fails(spark):
+    audited = spark.createDataFrame(
+        [("a b", "A-1", "A B", "LAR", "QB"), ("a b", "A-2", "A B", "LAR", "QB")], "name_normalized string, player_id string, display_name string, team string, position string"
+    )
+    with pytest.raises(Exception, match="duplicate key"):
+        identity.match_ladder(roster(spark, [("A B", "LAR", "QB")]), master(spark, MASTER), overrides=audited, fuzzy=False).collect()

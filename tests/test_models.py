@@ -105,7 +105,8 @@ def test_exact_median(spark, n):
 
 def test_folds():
     assert fold_table([2024])[0] == ([2017, 2018, 2019, 2020, 2021, 2022, 2023], 2024)
-    assert fold_table([2001])[0][0][0] == 1999
+    assert fold_table([2001], earliest=1999)[0][0] == [1999, 2000]
+    assert fold_table([2001])[0][0] == list(range(1994, 2001))
 
 
 def test_backtest_has_no_carryover(spark):

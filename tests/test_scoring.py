@@ -107,3 +107,15 @@ def test_guards(spark):
 def test_audit(spark):
     row = scoring.scoring_audit(weekly(spark), event_rows(spark)).first()
     assert (row.fantasy_points_std_core, row.fantasy_points_std_adjusted, row.pbp_adjustment) == (14.0, 15.0, 1.0)
+
+
+def test_repeated_event_key_fails(spark):
+    from pyspark.sql import functions as F
+
+    from sideline.schemas import EVENT_COLUMNS
+
+    line = spark.createDataFrame([("p", 2024, 1)], "player_id string, season int, week int")
+    events = line.select("season", "week", "player_id", *[F.lit(1.0).alias(c) for c in EVENT_COLUMNS])
+    assert scoring.attach_events(line, events).count() == 1
+    with pytest.raises(Exception, match="duplicate key"):
+        scoring.attach_events(line, events.union(events)).collect()

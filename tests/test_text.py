@@ -42,3 +42,17 @@ def test_math(spark):
         N.row_std([c("a"), c("z"), c("n"), c("i"), c("x")], 4.0), N.row_std([c("a"), c("n")], 4.0),
     ).first()
     assert tuple(row) == (None, 1.0, None, 1.0, None, 0.0, 0.0, 0.0, None, 2.0, 4.0)
+
+
+def test_compact_key_folds_like_nfkd(spark):
+    import unicodedata
+
+    names = ["½", "™", "№", "𝐀", "Ǆ", "José Núñez Jr.", "Straße", "Œuvre", "ﬁn", "Ａｂｃ", "plain", "", None]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string")
+    got = {r.i: r.k for r in df.select("i", X.compact_key(F.col("n")).alias("k")).collect()}
+    import re
+
+    for i, n in enumerate(names):
+        base = unicodedata.normalize("NFKD", n or "").encode("ascii", "ignore").decode().lower()
+        base = re.sub(r"\b(?:jr|sr|ii|iii|iv|v)\.?\b", "", base)
+        assert got[i] == re.sub("[^a-z0-9]", "", base), n
