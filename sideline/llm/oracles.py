@@ -107,6 +107,48 @@ SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 20
 """
 
+_COUNT = lambda p: f"len(t) - len(regexp_replace(t, '{p}', '', 'g'))"
+_SPACES, _MARKS = r"[\x20\x09-\x0D]", r"[.,;:''\"()!?-]"
+_PART = lambda a, b: f"CASE WHEN {a} > 0 THEN {a} * log2(2 * {a} / ({a} + {b})) ELSE 0 END"
+_DISTANCE = f"sqrt(greatest(sum({_PART('p', 'q')} + {_PART('q', 'p')}) / 2, 0))"
+
+_OP7 = f"""
+WITH texts AS (
+  SELECT doc_id, coalesce(lower(regexp_extract(coalesce(lang, ''), '^([A-Za-z]{{2,3}})(?:[^A-Za-z]|$)', 1)), '') AS l, coalesce(text, '') AS t FROM documents
+),
+base AS (
+  SELECT doc_id, l, t, regexp_extract_all(t, '{WORD}') AS ws, len(ws) AS n_words, len(t) - len(regexp_replace(t, '{WORD}', '', 'g')) AS word_chars,
+    {_COUNT("[#*$%&|<>]")} AS n_symbols, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls,
+    {_COUNT("[a-z]")} AS c0, {_COUNT("[A-Z]")} AS c1, {_COUNT("[0-9]")} AS c2, {_COUNT(_SPACES)} AS c3, {_COUNT(_MARKS)} AS c4,
+    len(regexp_replace(t, '[^\\x00-\\x7F]', '', 'g')) - c0 - c1 - c2 - c3 - c4 AS c5, octet_length(encode(t)) - len(regexp_replace(t, '[^\\x00-\\x7F]', '', 'g')) AS c6
+  FROM texts
+),
+windows AS (SELECT doc_id, i, array_to_string(ws[i:i+2], ' ') AS g FROM base, unnest(range(1, len(ws) - 1)) u(i)),
+twice AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+again AS (SELECT doc_id, count(DISTINCT j) AS n FROM twice, unnest([i, i + 1, i + 2]) u(j) GROUP BY doc_id),
+counts AS (SELECT doc_id, l, word, count(*) AS c FROM (SELECT doc_id, l, unnest(ws) AS word FROM base) GROUP BY ALL),
+totals AS (SELECT l, sum(n_words) AS total, [sum(c0), sum(c1), sum(c2), sum(c3), sum(c4), sum(c5), sum(c6)] AS qs FROM base GROUP BY l),
+common AS (SELECT l, word, sum(c) AS c FROM counts GROUP BY l, word HAVING sum(c) >= 0.004 * (SELECT total FROM totals WHERE totals.l = counts.l)),
+judged AS (SELECT doc_id, l, n_words, total FROM base JOIN totals USING (l) WHERE total >= 10000 AND n_words >= 50),
+cells AS (
+  SELECT j.doc_id, j.n_words, j.total, coalesce(k.c, 0) AS a, m.c AS b FROM judged j JOIN common m USING (l) LEFT JOIN counts k ON k.doc_id = j.doc_id AND k.word = m.word
+),
+every AS (
+  SELECT doc_id, a / n_words AS p, b / total AS q FROM cells
+  UNION ALL SELECT doc_id, (any_value(n_words) - sum(a)) / any_value(n_words), (any_value(total) - sum(b)) / any_value(total) FROM cells GROUP BY doc_id
+),
+words AS (SELECT doc_id, {_DISTANCE} AS js FROM every GROUP BY doc_id),
+classes AS (
+  SELECT doc_id, unnest([c0, c1, c2, c3, c4, c5, c6]) / octet_length(encode(t)) AS p, unnest(qs) / list_sum(qs) AS q FROM base JOIN totals USING (l) WHERE total >= 10000 AND word_chars >= 150
+),
+chars AS (SELECT doc_id, {_DISTANCE} AS js FROM classes GROUP BY doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words,
+  n_words < 50 OR 100 * coalesce(again.n, 0) > 50 * n_words AS base_failed, round(words.js, 6) AS js_words, round(chars.js, 6) AS js_chars,
+  NOT (n_words < 50 OR 100 * coalesce(again.n, 0) > 50 * n_words) AND coalesce(words.js * words.js <= 0.055 + 4.0 / n_words, true)
+    AND coalesce(chars.js * chars.js <= 0.07 + 12.0 / word_chars, true) AS kept
+FROM base LEFT JOIN again USING (doc_id) LEFT JOIN words USING (doc_id) LEFT JOIN chars USING (doc_id)
+"""
+
 _OP8 = f"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents
@@ -128,5 +170,5 @@ _OP9 = f"SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}'
 
 ORACLES: dict[str, str] = {
     "op1_secret_scan": _OP1, "op2_mixing": _OP2, "op4_chat_prefix_targets": _OP4, "op6_threshold_top_k": _OP6,
-    "op8_ngram_jaccard": _OP8, "op9_token_counts": _OP9,
+    "op7_quality_divergence": _OP7, "op8_ngram_jaccard": _OP8, "op9_token_counts": _OP9,
 }

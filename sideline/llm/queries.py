@@ -37,7 +37,8 @@ def op6_threshold_top_k(spark, sf_dir):
 
 
 def op7_quality_divergence(spark, sf_dir):
-    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+    judged = quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+    return judged.withColumns({c: F.round(c, 6) for c in ("js_words", "js_chars")})
 
 
 def op8_ngram_jaccard(spark, sf_dir):
