@@ -6,19 +6,20 @@ Jaccard distance is a metric, and two documents link when it is at most ``r = 1
 2. Classes that cannot link are dropped exactly: of the shingles of A at most ``e = |A| - ceil(percent |A| / 100)`` are missing
    in a partner, so of any part of the hash space that both report, all but ``e`` of A's shingles must occur in some other
    class. Large sets report the lowest part of the space (``1.4 (1 - percent / 100)`` of it), small ones all of it.
-3. Regions. A first layer of pivots are single shingles: their Jaccard distance to A is 1 - 1/|A| if A holds them, else 1.
-   A document lies in the cell of its first shingle in hash order, and within reach of a link in the cells of its first
-   ``e + 1``: it is replicated to those boundary regions, and linked documents meet in at least one.
-4. A region of up to ``LEAF`` documents is joined as a whole. In a larger one the next pivots are documents: every member is
-   compared with its region's pivot, links join components, and the nearest pivot so far is a document's home (its Voronoi
-   cell). The pivot then leaves the region, and the region is joined again, recursively, while it holds documents of several
-   components. Two documents of one home cell are compared only inside the triangle-inequality window:
-   ``|d(x, p) - d(y, p)| <= r``. Before each recursion step 2 is repeated on whole sets with components for classes, so regions
-   that have grown together vanish.
-
-A large group of near copies therefore costs one comparison per member and pivot, not all pairs; pivots come from
-aggregates, members meet them in joins that skew handling can split, and nothing is gathered by group. Shingles are told
-apart by 64-bit hashes, shingle sets by 128-bit hashes.
+3. Voronoi cells. For a few turns every set goes to one cell: that of its first shingle in a new hash order (near sets have
+   the same first shingle as often as they are similar). A cell's pivot is one of its documents; all others are compared
+   with it, one comparison a document, and links join components. A document's nearest pivot so far is its home.
+4. Regions, exactly. Step 2 is repeated on whole sets, with components for classes. What is left is put into the regions of
+   its boundary shingles: with shingles ordered by rarity, those without a partner first, a link must have its first common
+   shingle among the first ``e + 1`` of both sets, so each set is replicated to those regions. Two documents of different
+   components are compared once, in the region of their first common shingle, if their sizes, the places of that shingle and
+   the triangle inequality allow a link: two documents of one home ``p`` only if ``|d(x, p) - d(y, p)| <= r``.
+
+Documents as pivots of the whole corpus would not do: nearly all documents are at distance 1 from all of them, so every
+window would hold everything. Hence the cells of single shingles, and document pivots inside them. A large group of near
+copies costs one comparison per member and turn; later only documents that have not joined it are compared with others.
+Pivots come from aggregates, members meet them in joins that skew handling can split, and nothing is gathered by group.
+Shingles are told apart by 64-bit hashes, shingle sets by 128-bit hashes.
 
 Null and empty texts have no shingles, get 0 and their own id and link with nothing. Texts with fewer words than a shingle
 have one, the whole sequence. A null id counts as the smallest and shows as null. Repeated rows give a row each; rows of
@@ -41,7 +42,7 @@ from pyspark.sql import types as T
 from sideline.llm.common import stored
 
 SMALL = 128  # sets below this size report all their shingles
-LEAF = 64  # documents of a region that is joined as a whole; doubled with each turn, as regions that stay mixed get few
+TURNS = 4  # of cells with pivots; more of them leave less to the regions
 SKETCH = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("sample", T.ArrayType(T.LongType())),
 ])
@@ -155,14 +156,6 @@ def _could_link(sketch: DataFrame, percent: int) -> DataFrame:
     return classes.join(hits, "class", "left").where(F.coalesce("hits", F.lit(0)) >= F.col("need") * F.col("copies")).select("digest", "n")
 
 
-def _can_link(sets: DataFrame, percent: int) -> DataFrame:
-    """Rows of ``sets`` (vid, comp, n, shingles) of which enough shingles occur in another component too."""
-    rows = sets.select("vid", "comp", F.explode("shingles").alias("s"))
-    shared = rows.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("s")
-    hits = rows.select("vid", "s").join(shared, "s").groupBy("vid").agg(F.count("*").alias("hits"))
-    return sets.join(hits, "vid").where(F.col("hits") >= F.col("n") - _missing(F.col("n"), percent)).drop("hits")
-
-
 def components(edges: DataFrame) -> DataFrame:
     """Smallest vertex of each vertex's component, from edges (a, b): labels move along edges and then along themselves."""
     both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
@@ -177,11 +170,6 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _regions(live: DataFrame, percent: int) -> DataFrame:
-    """Rows (g, vid, comp, n): each set at its boundary regions."""
-    return live.select("vid", "comp", "n", F.explode(F.slice("shingles", F.lit(1), (_missing(F.col("n"), percent) + 1).cast("int"))).alias("g"))
-
-
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (x, p) with their exact distance and whether they link."""
     side = lambda k: sets.select(F.col("vid").alias(k), F.col("n").alias(f"n_{k}"), F.col("shingles").alias(f"s_{k}"))
@@ -191,54 +179,65 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return common.select("x", "p", (1 - F.col("common") / union).alias("d"), (F.col("common") * 100 >= union * percent).alias("linked"))
 
 
+def _cells(sets: DataFrame, comp: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs (x, p) of a cell's members and its pivot that are in different components and may link by their sizes."""
+    first = F.array_min(F.transform("shingles", lambda s: F.xxhash64(s, F.lit(turn))))
+    rows = sets.select("vid", "n", first.alias("g")).join(comp, "vid")
+    pivot = F.min_by(F.struct("vid", "comp", "n"), F.xxhash64("vid", F.lit(turn))).alias("pivot")
+    pivots = rows.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), pivot).where("lo < hi")
+    pairs = rows.join(pivots.select("g", "pivot.*").toDF("g", "p", "comp_p", "n_p"), "g").where("comp != comp_p")
+    return pairs.where(F.least("n", "n_p") * 100 >= F.greatest("n", "n_p") * percent).select(F.col("vid").alias("x"), "p")
+
+
+def _merged(comp: DataFrame, linked: DataFrame) -> DataFrame:
+    """Components after one step along the links of pivots: each class stays inside one true component."""
+    of = lambda k, name: comp.select(F.col("vid").alias(k), F.col("comp").alias(name))
+    ends = linked.join(of("x", "a"), "x").join(of("p", "b"), "p").select("p", "a", "b")
+    stars = ends.groupBy("p", "b").agg(F.least(F.min("a"), F.col("b")).alias("low"))
+    moves = ends.join(stars.select("p", "low"), "p").select(F.explode(F.array("a", "b")).alias("comp"), "low")
+    moves = moves.groupBy("comp").agg(F.min("low").alias("low"))
+    return comp.join(moves, "comp", "left").select("vid", F.coalesce("low", "comp").alias("comp"))
+
+
+def _boundary(sets: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """Sets that may still link across components: vid, comp, n, alone (shingles of no other component), keys (boundary shingles, rare first)."""
+    rows = sets.select("vid", F.explode("shingles").alias("s")).join(comp, "vid")
+    shared = rows.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("df")).where("lo < hi").select("s", "df")
+    keyed = rows.select("vid", "s").join(shared, "s").groupBy("vid").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("known"))
+    live = sets.select("vid", "n").join(keyed, "vid").withColumn("alone", F.col("n") - F.size("known"))
+    live = live.where(F.col("alone") <= _missing(F.col("n"), percent))
+    keys = F.slice("known", F.lit(1), (_missing(F.col("n"), percent) + 1 - F.col("alone")).cast("int"))
+    return live.select("vid", "n", "alone", F.transform(keys, lambda k: k["s"]).alias("keys")).join(comp, "vid")
+
+
+def _region_pairs(live: DataFrame, home: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, p) of different components at their first common boundary shingle, if bounds allow a link."""
+    live = stored(live.join(home.select("vid", F.col("near.p").alias("home"), F.col("near.d").alias("d")), "vid", "left"), "boundary")
+    side = lambda k: live.select(F.posexplode("keys").alias(f"at_{k}", "g"), *(F.col(c).alias(f"{c}_{k}") for c in live.columns))
+    a, b = side("a"), side("b")
+    most = F.least(F.col("n_a") - F.col("alone_a") - F.col("at_a"), F.col("n_b") - F.col("alone_b") - F.col("at_b"))
+    may = (F.col("vid_a") < F.col("vid_b")) & (F.col("comp_a") != F.col("comp_b")) & (most * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
+    near = ~F.coalesce((F.col("home_a") == F.col("home_b")) & (F.abs(F.col("d_a") - F.col("d_b")) > 1 - percent / 100 + 1e-9), F.lit(False))
+    before = lambda k: F.slice(f"keys_{k}", F.lit(1), F.col(f"at_{k}"))
+    return a.join(b, (a["g"] == b["g"]) & may & near & ~F.arrays_overlap(before("a"), before("b"))).select(F.col("vid_a").alias("x"), F.col("vid_b").alias("p"))
+
+
 def _join_regions(sets: DataFrame, percent: int) -> DataFrame:
     """Component (smallest vid) of every set that links with another, from whole sets (vid, n, shingles)."""
-    reach = 1 - percent / 100
     comp = sets.select("vid", F.col("vid").alias("comp"))
-    rows = home = None
-    turn = 0
-    while True:
-        live = stored(_can_link(sets.join(comp, "vid").select("vid", "comp", "n", "shingles"), percent), "live")
-        rows = _regions(live, percent) if rows is None else rows.join(live.select("vid", "comp", "n"), "vid")
-        rows = stored(rows.select("g", "vid", "comp", "n"), "regions")
-        # More pivots a turn, so that large regions without links end in few turns. Of regions with the same members, told by
-        # sums of hashes, one is enough.
-        order = [F.xxhash64("vid", F.lit(turn), F.lit(j)) for j in range(min(4**turn, 16))]
-        pivots = F.array_distinct(F.array(*(F.min_by("vid", o) for o in order))).alias("ps")
-        members = [F.count("*").alias("m"), F.bit_xor(F.xxhash64("vid", F.lit(-1))).alias("m1"), F.bit_xor(F.xxhash64("vid", F.lit(-2))).alias("m2")]
-        mixed = rows.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *members, pivots).where("lo < hi")
-        mixed = mixed.groupBy("m", "m1", "m2").agg(F.min(F.struct("g", "ps")).alias("kept"))
-        mixed = stored(mixed.select("kept.g", (F.col("m") <= LEAF * 2**turn).alias("leaf"), "kept.ps"), "mixed")
-        if mixed.isEmpty():
-            return comp
-        inner = rows.join(mixed.where("leaf").select("g"), "g")
-        pivots = mixed.where("NOT leaf").select("g", F.explode("ps").alias("p"))
-        other = inner.select("g", F.col("vid").alias("p"), F.col("comp").alias("other"))
-        near = inner.join(other, "g").where("vid < p AND comp != other").select(F.col("vid").alias("x"), "p", "comp", "n")
-        far = rows.join(pivots, "g").where("vid != p").select(F.col("vid").alias("x"), "p", "comp", "n")
-        of_pivot = live.select(F.col("vid").alias("p"), F.col("comp").alias("comp_p"), F.col("n").alias("n_p"))
-        pairs = near.union(far).distinct().join(of_pivot, "p")
-        pairs = pairs.where("comp != comp_p").where((F.least("n", "n_p") * 100 >= F.greatest("n", "n_p") * percent))
-        if home is not None:
-            cell = lambda k: home.select(F.col("vid").alias(k), F.col("near.p").alias(f"home_{k}"), F.col("near.d").alias(f"d_{k}"))  # noqa: B023, E731
-            pairs = pairs.join(cell("x"), "x", "left").join(cell("p"), "p", "left")
-            outside = (F.col("home_x") == F.col("home_p")) & (F.abs(F.col("d_x") - F.col("d_p")) > reach + 1e-9)
-            pairs = pairs.where(~F.coalesce(outside, F.lit(False)))
-        found = stored(_links(pairs.select("x", "p"), live, percent), "distances")
+    links = home = None
+    for turn in range(TURNS):
+        found = stored(_links(_cells(sets, comp, turn, percent), sets, percent), "distances")
+        linked = found.where("linked").select("x", "p")
+        links = linked if links is None else links.union(linked)
         seen = found.groupBy(F.col("x").alias("vid")).agg(F.min(F.struct("d", "p")).alias("near"))
-        if home is not None:
-            seen = home.union(seen).groupBy("vid").agg(F.min("near").alias("near"))
-        home = stored(seen, "homes")
-        rows = rows.join(mixed.where("NOT leaf").select("g"), "g").join(pivots.select("g", F.col("p").alias("vid")), ["g", "vid"], "left_anti").select("g", "vid")
-        linked = found.where("linked")
-        if not linked.isEmpty():
-            of = lambda k, name: comp.select(F.col("vid").alias(k), F.col("comp").alias(name))  # noqa: B023, E731
-            merged = components(linked.join(of("x", "a"), "x").join(of("p", "b"), "p").select("a", "b"))
-            comp = comp.join(merged, comp["comp"] == merged["v"], "left").select("vid", F.coalesce("label", "comp").alias("comp"))
-            comp = stored(comp, "components")
-        if mixed.where("NOT leaf").isEmpty():
-            return comp
-        turn += 1
+        home = seen if home is None else home.union(seen)
+        comp = stored(_merged(comp, linked), "components")
+    home = home.groupBy("vid").agg(F.min("near").alias("near"))
+    pairs = stored(_region_pairs(_boundary(sets, comp, percent), home, percent), "pairs")
+    found = stored(_links(pairs, sets, percent).where("linked").select("x", "p"), "links")
+    named = components(links.union(found).toDF("a", "b"))
+    return named.select(F.col("v").alias("vid"), F.col("label").alias("comp"))
 
 
 def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
