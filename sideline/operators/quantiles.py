@@ -56,5 +56,7 @@ def exact_median(
     def at(rank):
         return F.max(F.when((F.col("_last") >= rank) & (F.col("_last") - F.col("_c") < rank), F.col("_v")))
 
-    result = counted.withColumn("_last", last).groupBy(*keys).agg(((at(lower) + at(upper)) / 2).alias(name))
+    # The sketch's error bound puts both ranks inside the bracket; were it ever broken, the query fails instead of returning null.
+    middle = F.coalesce((at(lower) + at(upper)) / 2, F.raise_error(F.lit("median rank outside its bracket")).cast("double"))
+    result = counted.withColumn("_last", last).groupBy(*keys).agg(middle.alias(name))
     return result if groups else result.drop("_all")
