@@ -7,8 +7,9 @@ Jaccard distance is a metric, and two documents link when it is at most ``r = 1
    in a partner, so of any part of the hash space that both report, all but ``e`` of A's shingles must occur in some other
    class. Large sets report the lowest part of the space (``1.4 (1 - percent / 100)`` of it), small ones all of it.
 3. Voronoi cells. For a few turns every set goes to one cell: that of its first shingle in a new hash order (near sets have
-   the same first shingle as often as they are similar). A cell's pivot is one of its documents; all others are compared
-   with it, one comparison a document, and links join components. A document's nearest pivot so far is its home.
+   the same first shingle as often as they are similar). A cell's pivots are a few of its documents; all others are
+   compared with them, ``PIVOTS`` comparisons a document, and links join components. A document's nearest pivot so far is
+   its home.
 4. Regions, exactly. Step 2 is repeated on whole sets, with components for classes. What is left is put into the regions of
    its boundary shingles: with shingles ordered by rarity, those without a partner first, a link must have its first common
    shingle among the first ``e + 1`` of both sets, so each set is replicated to those regions. Two documents of different
@@ -42,7 +43,7 @@ from pyspark.sql import types as T
 from sideline.llm.common import stored
 
 SMALL = 128  # sets below this size report all their shingles
-TURNS = 4  # of cells with pivots; more of them leave less to the regions
+PIVOTS = (2, 4, 6)  # of a cell in each turn; more of them leave less to the regions
 SKETCH = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("sample", T.ArrayType(T.LongType())),
 ])
@@ -179,13 +180,13 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return common.select("x", "p", (1 - F.col("common") / union).alias("d"), (F.col("common") * 100 >= union * percent).alias("linked"))
 
 
-def _cells(sets: DataFrame, comp: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Pairs (x, p) of a cell's members and its pivot that are in different components and may link by their sizes."""
+def _cells(sets: DataFrame, comp: DataFrame, turn: int, count: int, percent: int) -> DataFrame:
+    """Pairs (x, p) of a cell's members and its pivots that are in different components and may link by their sizes."""
     first = F.array_min(F.transform("shingles", lambda s: F.xxhash64(s, F.lit(turn))))
     rows = sets.select("vid", "n", first.alias("g")).join(comp, "vid")
-    pivot = F.min_by(F.struct("vid", "comp", "n"), F.xxhash64("vid", F.lit(turn))).alias("pivot")
-    pivots = rows.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), pivot).where("lo < hi")
-    pairs = rows.join(pivots.select("g", "pivot.*").toDF("g", "p", "comp_p", "n_p"), "g").where("comp != comp_p")
+    picked = [F.min_by(F.struct("vid", "comp", "n"), F.xxhash64("vid", F.lit(turn), F.lit(i))) for i in range(count)]
+    pivots = rows.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.array_distinct(F.array(*picked)).alias("ps")).where("lo < hi")
+    pairs = rows.join(pivots.select("g", F.inline("ps")).toDF("g", "p", "comp_p", "n_p"), "g").where("comp != comp_p")
     return pairs.where(F.least("n", "n_p") * 100 >= F.greatest("n", "n_p") * percent).select(F.col("vid").alias("x"), "p")
 
 
@@ -226,8 +227,8 @@ def _join_regions(sets: DataFrame, percent: int) -> DataFrame:
     """Component (smallest vid) of every set that links with another, from whole sets (vid, n, shingles)."""
     comp = sets.select("vid", F.col("vid").alias("comp"))
     links = home = None
-    for turn in range(TURNS):
-        found = stored(_links(_cells(sets, comp, turn, percent), sets, percent), "distances")
+    for turn, count in enumerate(PIVOTS):
+        found = stored(_links(_cells(sets, comp, turn, count, percent), sets, percent), "distances")
         linked = found.where("linked").select("x", "p")
         links = linked if links is None else links.union(linked)
         seen = found.groupBy(F.col("x").alias("vid")).agg(F.min(F.struct("d", "p")).alias("near"))

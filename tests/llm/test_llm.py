@@ -378,10 +378,10 @@ def found_components(df, words, percent):
     return Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df, words, percent).collect())
 
 
-@pytest.mark.parametrize("turns", [1, 4])
-def test_jaccard_chains(spark, monkeypatch, turns):
+@pytest.mark.parametrize("pivots", [(1,), (2, 4, 6)])
+def test_jaccard_chains(spark, monkeypatch, pivots):
     """Chains and stars of near copies around the threshold, copies, a common passage; most links left to the regions, or most found in cells."""
-    monkeypatch.setattr(jaccard, "TURNS", turns)
+    monkeypatch.setattr(jaccard, "PIVOTS", pivots)
     rng = np.random.default_rng(5)
     word = lambda: "w" + str(rng.integers(0, 5000))
     passage = [word() for _ in range(60)]
