@@ -49,8 +49,12 @@ def op9_token_counts(spark, sf_dir):
     return token_counts.document_counts(table(spark, sf_dir, "documents"))
 
 
+def op9_bpe_token_counts(spark, sf_dir):
+    return token_counts.document_counts(table(spark, sf_dir, "documents"), vocabulary=public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op10_cotraining_quality(spark, sf_dir):
     return cotraining.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-REGISTRY = {f.__name__: f for f in (op1_secret_scan, op2_mixing, op3_sharding, op4_chat_prefix_targets, op5_byte_bpe, op6_threshold_top_k, op7_quality_divergence, op8_ngram_jaccard, op9_token_counts, op10_cotraining_quality)}
+REGISTRY = {f.__name__: f for f in (op1_secret_scan, op2_mixing, op3_sharding, op4_chat_prefix_targets, op5_byte_bpe, op6_threshold_top_k, op7_quality_divergence, op8_ngram_jaccard, op9_bpe_token_counts, op9_token_counts, op10_cotraining_quality)}

@@ -16,11 +16,13 @@ import uuid
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sideline.llm import bpe
 from sideline.session import shared_dir
 
 EOD = 0
@@ -34,45 +36,66 @@ BLOCKS = T.StructType(
 
 
 def word_ids(text: str | None) -> bytes:
-    """Ids of a text's words: a hash into 1 to 65535. A stand-in for a vocabulary of two-byte ids that leaves EOD free."""
+    """Ids of a text's words, for counts of words: a hash into 1 to 65535, which leaves EOD free."""
     words = (text or "").encode().split()
     return (np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % 65535 + 1).astype(WIDTH).tobytes()
 
 
-@F.pandas_udf(T.BinaryType())
-def _word_ids(texts):
-    return texts.map(word_ids)
+def encoder(spark: SparkSession, vocabulary: str | None):
+    """A function from texts to the bytes of their ids, and the id that ends a document.
+
+    Ids are byte pairs of the rank file ``vocabulary``, with the first id past its ranks as end of document; without a file,
+    hashes of words.
+    """
+    if vocabulary is None:
+        return lambda texts: list(map(word_ids, texts)), EOD
+    eod = len(bpe.load(vocabulary).tokens)
+    if eod > np.iinfo(WIDTH).max:
+        raise ValueError(f"{vocabulary} leaves no two-byte id free for the end of a document")
+    shared = bpe.Codec(spark, vocabulary).shared
+    return lambda texts: [ids.astype(WIDTH).tobytes() for ids in shared.value.encode(texts)], eod
 
 
-def write_flat(docs: DataFrame, path: str, text: str = "text") -> None:
-    """One flat token file per partition: every document's ids, each followed by EOD, and nothing else.
+def write_flat(docs: DataFrame, path: str, text: str = "text", vocabulary: str | None = None) -> int:
+    """One flat token file per partition: every document's ids, each followed by the returned end-of-document id.
 
-    Spark's text writer puts raw bytes and a line separator, which here is the end-of-document id.
+    Spark's text writer puts raw bytes and a line separator, which here is the end-of-document id, a character a byte.
     """
-    ids = _word_ids(F.coalesce(text, F.lit("")))
-    docs.select(ids.cast("string").alias("value")).write.option("lineSep", "\0" * WIDTH.itemsize).text(path)
-
-
-def _scan(batches):
-    for batch in batches:
-        for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            tokens = np.frombuffer(content.as_buffer(), WIDTH)
-            rows = []
-            for block, at in enumerate(range(0, len(tokens), BLOCK_TOKENS)):
-                part = tokens[at : at + BLOCK_TOKENS]
-                ends = np.flatnonzero(part == EOD)
-                if len(ends):
-                    rows.append((path, block, int(ends[0]), int(len(part) - 1 - ends[-1]), len(ends), np.diff(ends) - 1))
-                else:
-                    rows.append((path, block, None, len(part), 0, np.zeros(0, np.int64)))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(columns, (pa.string(), *[pa.int64()] * 4, pa.list_(pa.int64())), strict=True)], names=BLOCKS.names)
-
-
-def scan_files(spark: SparkSession, path: str) -> DataFrame:
+    encode, eod = encoder(docs.sparkSession, vocabulary)
+
+    @F.pandas_udf(T.BinaryType())
+    def coded(texts: pd.Series) -> pd.Series:
+        return pd.Series(encode(texts.tolist()), dtype=object, index=texts.index)
+
+    ids = coded(F.coalesce(text, F.lit("")))
+    end = np.array([eod], WIDTH).tobytes().decode("latin-1")
+    docs.select(ids.cast("string").alias("value")).write.options(encoding="ISO-8859-1", lineSep=end).text(path)
+    return eod
+
+
+def _scanner(eod: int, size: int):
+    def scan(batches):
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                tokens = np.frombuffer(content.as_buffer(), WIDTH)
+                rows = []
+                for block, at in enumerate(range(0, len(tokens), size)):
+                    part = tokens[at : at + size]
+                    ends = np.flatnonzero(part == eod)
+                    if len(ends):
+                        rows.append((path, block, int(ends[0]), int(len(part) - 1 - ends[-1]), len(ends), np.diff(ends) - 1))
+                    else:
+                        rows.append((path, block, None, len(part), 0, np.zeros(0, np.int64)))
+                columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(columns, (pa.string(), *[pa.int64()] * 4, pa.list_(pa.int64())), strict=True)], names=BLOCKS.names)
+
+    return scan
+
+
+def scan_files(spark: SparkSession, path: str, eod: int = EOD) -> DataFrame:
     """Per document of the flat files under ``path``: path, ordinal (from 0, in file order) and n_tokens."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    blocks = files.mapInArrow(_scan, BLOCKS)
+    blocks = files.mapInArrow(_scanner(eod, BLOCK_TOKENS), BLOCKS)
     in_file = Window.partitionBy("path").orderBy("block")
     before = in_file.rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("ordinal", F.coalesce(F.sum("separators").over(before), F.lit(0)))
@@ -89,16 +112,16 @@ def scan_files(spark: SparkSession, path: str) -> DataFrame:
     return counted.select("path", (F.col("ordinal") + F.col("nth")).alias("ordinal"), "n_tokens")
 
 
-def document_counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: key and n_tokens, by way of flat files in the shared folder.
+def document_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
+    """Per document: key and n_tokens, by way of flat files in the shared folder; words are counted without a vocabulary.
 
     A flat file has no ids. A document is known by its place: file part-NNNNN holds the rows of partition N in order, so the
     keys, read with the same partitions, are numbered alike.
     """
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/flat-{uuid.uuid4().hex}"
-    write_flat(docs, path, text)
-    counts = scan_files(spark, path).withColumn("part", F.regexp_extract("path", r"part-(\d+)", 1).cast("int"))
+    eod = write_flat(docs, path, text, vocabulary)
+    counts = scan_files(spark, path, eod).withColumn("part", F.regexp_extract("path", r"part-(\d+)", 1).cast("int"))
     places = docs.select(F.col(key), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("_id"))
     places = places.withColumn("ordinal", F.expr("_id & 8589934591"))  # the lower 33 bits count the rows of a partition
     return places.join(counts, ["part", "ordinal"], "left").select(key, "n_tokens")

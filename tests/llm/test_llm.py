@@ -439,6 +439,16 @@ def test_document_counts(spark):
     assert token_counts.document_counts(empty_docs(spark)).collect() == []
 
 
+def test_byte_pair_counts(spark):
+    """The registered query counts what operator 5 encodes; odd texts are held against tiktoken."""
+    got = Counter(map(tuple, REGISTRY["op9_bpe_token_counts"](spark, SF).collect()))
+    assert got == Counter((r.doc_id, r.n_tokens) for r in REGISTRY["op5_byte_bpe"](spark, SF).collect())
+    docs = odd_docs(spark)
+    want = tiktoken_of(vocabulary())
+    got = Counter((r.doc_id, r.n_tokens) for r in token_counts.document_counts(docs, vocabulary=vocabulary()).collect())
+    assert got == Counter((r.doc_id, len(want.encode_ordinary(r.text or ""))) for r in texts_of(docs))
+
+
 # 10
 
 
