@@ -449,6 +449,35 @@ def test_byte_pair_counts(spark):
     assert got == Counter((r.doc_id, len(want.encode_ordinary(r.text or ""))) for r in texts_of(docs))
 
 
+def test_counts_keep_to_their_documents(spark, tmp_path, monkeypatch):
+    """Other splits after the flat files are written, as after the loss of an executor, move no count to another document."""
+    monkeypatch.setattr(token_counts, "FILE_BYTES", 200, raising=False)
+    rows = [(i, "w " * (i % 37), "x" * 50) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string, pad string").repartition(8).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    spark.conf.set("spark.sql.files.openCostInBytes", 1 << 27)
+    try:
+        counted = token_counts.document_counts(docs)
+        spark.conf.set("spark.sql.files.openCostInBytes", 1)
+        got = sorted(map(tuple, counted.collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == [(i, i % 37) for i in range(400)]
+
+
+@pytest.mark.parametrize("change", [lambda b: b + b"\1\0\0\0", lambda b: b[:2] if len(b) > 2 else b""])
+def test_counts_without_their_keys_fail(spark, tmp_path, change):
+    docs = odd_docs(spark).coalesce(1)
+    eod = token_counts.write_flat(docs, str(tmp_path / "flat"))
+    read = lambda: token_counts.read_counts(spark, str(tmp_path / "flat"), docs.schema["doc_id"], eod).collect()
+    assert len(read()) == docs.count()
+    at = next((tmp_path / "flat" / "kind=ids").rglob("part-*.txt"))
+    at.write_bytes(change(at.read_bytes()))
+    (at.parent / f".{at.name}.crc").unlink(missing_ok=True)
+    with pytest.raises(Exception, match="as many documents as keys"):
+        read()
+
+
 # 10
 
 
