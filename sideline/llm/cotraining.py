@@ -5,9 +5,10 @@ source, length, lines, word and line lengths, typography). A classifier of each
 rounds each one labels the unlabelled rows it is surest of for the other one, and both are fitted anew. Rows set aside
 calibrate each view, and weigh both views against each other for the score of every document.
 
-Fitting uses at most ``MAX_LABELLED`` labelled rows and ``MAX_POOL`` unlabelled ones, those with the lowest hashes of their id;
-these are the only bounds, and the fit runs on the driver over that sample's numbers. Scoring is one pass over all whole
-texts, without a shuffle.
+Fitting uses at most ``MAX_LABELLED`` labelled ids, those with the lowest hashes, and in each round the surest of all unlabelled
+ids, in number ``PER_ROUND`` of them or of ``MAX_POOL`` if they are more. The numbers of all documents are stored once, a row per
+id; a round is a pass over them, and only the rows it picks reach the driver, where the fit runs. Scoring is one pass over all
+whole texts, without a shuffle.
 
 Null texts count as empty, null languages and sources as a value of their own, a null n_chars as 0. A null id is never in
 the sample but is scored. Repeated labels of an id count once, as the lowest. Without labels of both classes every document
@@ -16,15 +17,18 @@ is kept, with null scores. Repeated rows get a row each; an empty table gives an
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sideline.llm.common import stored
+
 MAX_LABELLED, MAX_POOL = 12_000, 8_000
 ROUNDS, SURE, PER_ROUND = 4, 0.995, 0.05  # rounds, least confidence, largest share of the pool given over per round and view
 HELD_OUT = 5  # every fifth labelled row calibrates
@@ -107,38 +111,68 @@ def _two_classes(y: np.ndarray) -> bool:
     return len(np.unique(y)) == 2
 
 
-def co_train(views: list[np.ndarray], y: np.ndarray, pools: list[np.ndarray]):
+PICKED = T.StructType([T.StructField("view", T.IntegerType()), T.StructField("label", T.IntegerType()), T.StructField("depth", T.DoubleType()), T.StructField("id", T.LongType()), T.StructField("content", T.BinaryType()), T.StructField("meta", T.BinaryType())])
+
+
+def _views(content: list[bytes], meta: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(b"".join(c), np.float32).reshape(len(c), dims).astype(np.float64) for c, dims in ((content, TEXT_DIMS), (meta, META_DIMS))]
+
+
+def _picker(shared):
+    def run(batches):
+        models, given, most = shared.value
+        best: dict[tuple[int, int], list] = {(ours, label): [] for ours in (0, 1) for label in (0, 1)}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, content, meta = (batch.column(i).to_pylist() for i in range(3))
+            for ours, view in enumerate(_views(content, meta)):
+                odds = models[ours].odds(view)
+                for i in np.flatnonzero(np.abs(odds) > np.log(SURE / (1 - SURE))).tolist():
+                    if ids[i] not in given[1 - ours]:
+                        best[ours, int(odds[i] > 0)].append((-abs(odds[i]), ids[i], content[i], meta[i]))
+            best = {k: heapq.nsmallest(most[k[1]], rows) for k, rows in best.items()}
+        rows = [(*k, *row) for k, kept in best.items() for row in kept]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 6, (pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=PICKED.names)
+
+    return run
+
+
+def surest(pool: DataFrame, models: list[Logistic], given: list[dict[int, float]], most: dict[int, int]):
+    """The ``most`` documents of each label that a view's model is surest of, by view, if the other view has not been given them."""
+    shared = pool.sparkSession.sparkContext.broadcast((models, given, most))
+    rows = pool.select("id", "content", "meta").mapInArrow(_picker(shared), PICKED)
+    place = F.row_number().over(Window.partitionBy("view", "label").orderBy("depth", "id"))
+    limit = F.when(F.col("label") == 1, most[1]).otherwise(most[0])
+    return rows.withColumn("place", place).where(F.col("place") <= limit).toPandas()
+
+
+def co_train(views: list[np.ndarray], y: np.ndarray, pool: DataFrame):
     """Classifier and calibration of each view, and of both together, from labelled rows and a pool without labels."""
     held = np.arange(len(y)) % HELD_OUT == 0
     if not (_two_classes(y[held]) and _two_classes(y[~held])):
         held = np.zeros(len(y), bool)
     given: list[dict[int, float]] = [{}, {}]  # pseudo-labels that each view has received
+    taken: list[dict[int, np.ndarray]] = [{}, {}]  # and the numbers of these documents in it
     models = [Logistic(v[~held], y[~held]) for v in views]
-    for _ in range(ROUNDS):
-        if not len(pools[0]):
-            break
-        fresh = False
-        for ours, other in ((0, 1), (1, 0)):
-            odds = models[ours].odds(pools[ours])
-            sure = np.abs(odds) > np.log(SURE / (1 - SURE))
-            for label in (0.0, 1.0):
-                share = (y[~held] == label).mean()
-                at = np.flatnonzero(sure & ((odds > 0) == bool(label)))
-                at = at[np.argsort(-np.abs(odds[at]), kind="stable")]
-                new = [i for i in at.tolist() if i not in given[other]][: max(1, int(PER_ROUND * share * len(odds)))]
-                given[other].update(dict.fromkeys(new, label))
-                fresh |= bool(new)
+    unlabelled = pool.count()
+    for _ in range(ROUNDS if unlabelled else 0):
+        most = {label: max(1, int(PER_ROUND * (y[~held] == label).mean() * min(unlabelled, MAX_POOL))) for label in (0, 1)}
+        new = surest(pool, models, given, most)
+        both = _views(new["content"].tolist(), new["meta"].tolist())
+        for i, (ours, label, key) in enumerate(zip(new["view"].tolist(), new["label"].tolist(), new["id"].tolist(), strict=True)):
+            given[1 - ours][key], taken[1 - ours][key] = float(label), both[1 - ours][i]
         for k in (0, 1):
             rows = sorted(given[k])
-            models[k] = Logistic(np.vstack([views[k][~held], pools[k][rows]]), np.concatenate([y[~held], [given[k][i] for i in rows]]))
-        if not fresh:
+            models[k] = Logistic(np.vstack([views[k][~held], *(taken[k][i] for i in rows)]), np.concatenate([y[~held], [given[k][i] for i in rows]]))
+        if not len(new):
             break
     check = held if held.any() else ~held
     odds = np.stack([m.odds(v[check]) for m, v in zip(models, views, strict=True)], axis=1)
     return models, [Logistic(odds[:, [k]], y[check]) for k in (0, 1)], Logistic(odds, y[check])
 
 
-SAMPLE = T.StructType([T.StructField("id", T.LongType()), T.StructField("label", T.IntegerType()), T.StructField("content", T.BinaryType()), T.StructField("meta", T.BinaryType())])
+SAMPLE = T.StructType([T.StructField("id", T.LongType()), T.StructField("content", T.BinaryType()), T.StructField("meta", T.BinaryType())])
 
 
 def _rows_of(batch, first: int):
@@ -147,9 +181,9 @@ def _rows_of(batch, first: int):
 
 def _sampled(batches):
     for batch in batches:
-        both = [features(t.as_py(), lang, source, n) for t, lang, source, n in _rows_of(batch, 2)]
+        both = [features(t.as_py(), lang, source, n) for t, lang, source, n in _rows_of(batch, 1)]
         binary = lambda k: pa.array([b[k].astype(np.float32).tobytes() for b in both], pa.binary())  # noqa: B023, E731
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), binary(0), binary(1)], names=SAMPLE.names)
+        yield pa.RecordBatch.from_arrays([batch.column(0), binary(0), binary(1)], names=SAMPLE.names)
 
 
 SCORED = T.StructType([T.StructField("key", T.LongType())] + [T.StructField(c, T.DoubleType()) for c in ("text_score", "meta_score", "score")])
@@ -179,21 +213,19 @@ def _columns() -> list:
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality"):
     """Both classifiers with their calibrations, or None without labels of both classes."""
-    lowest = F.xxhash64("id")
-    ids = docs.select(F.col(key).cast("long").alias("id")).where("id IS NOT NULL")
     marked = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).cast("long").alias("id")).agg(F.min(F.col(label).cast("int")).alias("label"))
-    known = ids.join(marked, "id").orderBy(lowest, "id").limit(MAX_LABELLED)
-    pool = ids.join(marked, "id", "left_anti").orderBy(lowest, "id").limit(MAX_POOL).withColumn("label", F.lit(-1))
-    chosen = known.union(pool).dropDuplicates(["id"]).withColumnRenamed("id", "chosen_id")
-    # At most MAX_LABELLED + MAX_POOL pairs of numbers go to the tasks, and as many rows of features come back.
-    rows = docs.join(F.broadcast(chosen), F.col(key) == F.col("chosen_id")).select(F.col("chosen_id").alias("id"), "label", *_columns())
-    got = rows.mapInArrow(_sampled, SAMPLE).toPandas().sort_values(["id", "content"], kind="stable").drop_duplicates("id")
-    got = got.iloc[np.argsort([zlib.crc32(int(i).to_bytes(8, "little", signed=True)) for i in got["id"]], kind="stable")]
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), *_columns()).mapInArrow(_sampled, SAMPLE)
+    # Repeated rows of an id are reduced to the lowest before anything is counted or collected, in the tasks that read them first.
+    distinct = rows.groupBy("id").agg(F.min(F.struct("content", "meta")).alias("row")).select("id", "row.*")
+    numbers = stored(distinct.join(marked, "id", "left"), "co-training")
+    known = numbers.where("label IS NOT NULL")
+    chosen = known.select("id").orderBy(F.xxhash64("id"), "id").limit(MAX_LABELLED)
+    got = known.join(F.broadcast(chosen), "id", "left_semi").toPandas()
+    got = got.sort_values("id").iloc[np.argsort([zlib.crc32(int(i).to_bytes(8, "little", signed=True)) for i in sorted(got["id"])], kind="stable")]
     y = got["label"].to_numpy()
-    if not _two_classes(y[y >= 0]):
+    if not _two_classes(y):
         return None
-    views = [np.frombuffer(b"".join(got[c]), np.float32).reshape(len(got), dims).astype(np.float64) for c, dims in (("content", TEXT_DIMS), ("meta", META_DIMS))]
-    return co_train([v[y >= 0] for v in views], y[y >= 0].astype(float), [v[y < 0] for v in views])
+    return co_train(_views(got["content"].tolist(), got["meta"].tolist()), y.astype(float), numbers.where("label IS NULL"))
 
 
 def score(docs: DataFrame, fitted, key: str = "doc_id") -> DataFrame:

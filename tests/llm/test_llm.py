@@ -499,6 +499,33 @@ def test_co_training_odd(spark):
     assert cotraining.classify(empty_docs(spark), labels).collect() == []
 
 
+def test_co_training_hot_id(spark, monkeypatch):
+    """The copies of one labelled id, whatever their number, take one place among the labelled rows."""
+    monkeypatch.setattr(cotraining, "MAX_LABELLED", 60)
+    first = spark.range(60).orderBy(F.xxhash64("id"), "id").first().id
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "a good plain text").otherwise("@@ ## $$").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(9).alias("n_chars"))
+    labels = docs.select("doc_id", (1 - F.col("doc_id") % 2).cast("int").alias("quality"))
+    docs = docs.union(docs.where(F.col("doc_id") == first).crossJoin(spark.range(200)).drop("id"))
+    got = cotraining.classify(docs, labels).collect()
+    assert len(got) == 260 and all(r.score is not None and r.kept == (r.doc_id % 2 == 0) for r in got)
+
+
+def test_co_training_pool(spark):
+    """Pseudo-labels go to the surest of all unlabelled documents, as a plain sort of all of them finds them."""
+    rng = np.random.default_rng(3)
+    content, meta = rng.normal(size=(900, cotraining.TEXT_DIMS)).astype(np.float32), rng.normal(size=(900, cotraining.META_DIMS)).astype(np.float32)
+    models = [cotraining.Logistic(v[:300].astype(float), (v[:300, 0] > 0).astype(float)) for v in (content, meta)]
+    pool = spark.createDataFrame([(i, bytearray(content[i].tobytes()), bytearray(meta[i].tobytes())) for i in range(900)], "id long, content binary, meta binary").repartition(7)
+    given, most = [{5: 1.0}, {i: 0.0 for i in range(0, 900, 3)}], {0: 9, 1: 4}
+    got = cotraining.surest(pool, models, given, most)
+    for ours, view in enumerate((content, meta)):
+        odds = models[ours].odds(view.astype(float))
+        for label in (0, 1):
+            sure = [i for i in range(900) if abs(odds[i]) > np.log(0.995 / 0.005) and (odds[i] > 0) == bool(label) and i not in given[1 - ours]]
+            want = sorted(sure, key=lambda i: -abs(odds[i]))[: most[label]]
+            assert want and sorted(got.id[(got["view"] == ours) & (got.label == label)]) == sorted(want)
+
+
 # The pipeline
 
 
