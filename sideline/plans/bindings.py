@@ -90,8 +90,8 @@ def raw_snaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def plays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One play per line item."""
+def plays(spark: SparkSession, sf_dir: str, *extra: Column) -> DataFrame:
+    """One play per line item; ``extra`` columns are over the line items."""
     q, n = F.col("l_quantity"), F.col("l_linenumber")
     ret, status = F.col("l_returnflag"), F.col("l_linestatus")
     supplier = F.concat(F.lit("S"), F.col("l_suppkey").cast("string"))
@@ -121,6 +121,7 @@ def plays(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(n == 4, "good").when(n == 5, "failed").alias("extra_point_result"),
         F.when((n == 5) & (q >= 20), "made").when(n == 5, "missed").alias("field_goal_result"),
         q.alias("kick_distance"),
+        *extra,
     )
 
 

@@ -927,14 +927,13 @@ def _drain(spark, stream: DataFrame, name: str) -> DataFrame:
 
 @query
 def stream_events(spark, sf_dir):
-    timed = B.plays(spark, sf_dir).withColumn(
-        "ts", F.make_timestamp("season", "week", F.lit(15), F.lit(0), F.lit(0), F.lit(0))
-    )
-    # One play without any event, far in the future, closes every real window.
+    timed = B.plays(spark, sf_dir, F.col("l_shipdate").cast("timestamp").alias("ts"))
+    # One play without any event, far in the future, closes every real week.
     last = timed.agg(F.max("season").alias("season"), F.max("week").alias("week"), F.max("ts").alias("ts"))
     closing = last.withColumns({"ts": F.col("ts") + F.expr("INTERVAL 400 DAYS"), "season_type": F.lit("REG"), "kicker_player_id": F.lit("none")})
     stream = _stream(spark, timed.unionByName(closing, allowMissingColumns=True), "plays")
-    rolled = streams.stream_event_rollup(stream, delay="1 day")
+    month_end = F.add_months(F.make_date("season", "week", F.lit(1)), 1).cast("timestamp")
+    rolled = streams.stream_event_rollup(stream, week_end=month_end, delay="1 day")
     return show(_drain(spark, rolled, "events"), "season", "week", "player_id", *EVENT_COLUMNS)
 
 

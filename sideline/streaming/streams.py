@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -16,13 +16,18 @@ def checkpoint_location(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/streams/{name}"
 
 
-def stream_event_rollup(plays: DataFrame, *, time_column: str = "ts", window: str = "1 day", delay: str = "1 day") -> DataFrame:
-    """Plays to player-week events per event-time window; later plays than the delay are dropped.
+# The key by which Spark knows a column whose groups close once the watermark has passed it.
+_CLOSES = "spark.watermarkDelayMs"
 
-    The batch roll-up itself, with the window as one more grouping column.
+
+def stream_event_rollup(plays: DataFrame, *, week_end: Column, time_column: str = "ts", delay: str = "1 day") -> DataFrame:
+    """Plays to one row per player-week, once the watermark of the plays' times has passed ``week_end``.
+
+    ``week_end`` is the time at which a play's week is over, the same for all plays of one season and week. A play that comes
+    after its week was closed is dropped. The batch roll-up itself, with the end of the week as one more grouping column.
     """
     return event_rollup(
-        plays.withWatermark(time_column, delay), time_keys=[F.window(time_column, window).alias("window")]
+        plays.withWatermark(time_column, delay), time_keys=[week_end.alias("week_end", metadata={_CLOSES: 0})]
     )
 
 
