@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+import weakref
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sideline.session import shared_dir
@@ -13,11 +14,24 @@ from sideline.session import shared_dir
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def stored(df: DataFrame, tag: str, by: str | None = None, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later steps neither recompute it nor depend on its executors."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.parquet(path, partitionBy=by, compression=compression)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def drop_stored(spark: SparkSession, *tables: DataFrame | str) -> None:
+    """Delete work tables (or folders of the shared folder) that nothing will read again."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for each in tables:
+        path = jvm.org.apache.hadoop.fs.Path(each if isinstance(each, str) else _PATHS.pop(each))
+        path.getFileSystem(conf).delete(path, True)
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:

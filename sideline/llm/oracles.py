@@ -168,7 +168,90 @@ SELECT sets.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM sets
 
 _OP9 = f"SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS n_tokens FROM documents"
 
+_KEY = r"translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP11 = f"""
+WITH lines AS (
+  SELECT doc_id, i, ls[i] AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), unnest(range(1, len(ls) + 1)) u(i)
+),
+keyed AS (SELECT doc_id, i, line, {_KEY} AS k FROM lines),
+common AS (SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
+judged AS (SELECT doc_id, i, line, coalesce(keeper <> doc_id, false) AS gone FROM keyed LEFT JOIN common USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+
+def _way(cost: int, letters: str, ok: str, states: tuple[str, ...], text: str) -> list[str]:
+    """Ways out of any of ``states`` by one edit: cost, audit, repaired text."""
+    return [f"CASE WHEN {ok} AND {s}.c IS NOT NULL THEN {{'c': {s}.c + {cost} + {'0' if letters == 'D' else 'tr'}, 'a': {s}.a || '{letters}', 't': {s}.t || {text}}} END" for s in states]
+
+
+def _best(ways: list[str]) -> str:
+    return f"list_min(list_filter([{', '.join(ways)}], lambda w: w IS NOT NULL))"
+
+
+def _insert(role: str, frm: str, to: str) -> str:
+    """State ``to`` before a row, reached as it was or by an insert after ``frm``."""
+    return f"list_min(list_filter([{to}, CASE WHEN {frm}.c IS NOT NULL THEN {{'c': {frm}.c + 2, 'a': {frm}.a || 'I', 't': {frm}.t || '{role}:' || chr(10)}} END], lambda w: w IS NOT NULL))"
+
+
+_STAYS = "(fault IN (0, 3))"
+_LINE = lambda role: f"{role} || ':' || text || chr(10)"
+_STATE = "STRUCT(c BIGINT, a VARCHAR, t VARCHAR)"
+
+# States: b at the start, s after system, u after user, a after assistant. Inserts come first, in two steps, then the row's edit.
+_OP12 = f"""
+WITH RECURSIVE crc AS (
+  SELECT *, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, len(p) + 1), lambda i: ord(p[i])::BIGINT)), lambda c, o:
+    list_reduce([xor(c, o), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 20 AS kind
+  FROM (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS p FROM conversations)
+),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM crc, unnest(CASE WHEN kind = 3 THEN [1, 2] WHEN kind = 0 THEN [] ELSE [1] END)
+),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM damaged),
+told_apart AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth, regexp_extract(text, '({WORD})[\x20\x09-\x0D]*$', 1) AS tail
+  FROM placed
+),
+rows AS (
+  SELECT *, CASE WHEN tail = '' THEN 1 WHEN nth > 1 THEN 2 WHEN right(tail, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault, CASE WHEN fault = 3 THEN 1 ELSE 0 END AS tr,
+    left(role, 1) AS k, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before
+  FROM told_apart
+),
+walk AS (
+  SELECT conv_id, 0::BIGINT AS i, {{'c': 0, 'a': '', 't': ''}}::{_STATE} AS b, NULL::{_STATE} AS s, NULL::{_STATE} AS u, NULL::{_STATE} AS a FROM (SELECT DISTINCT conv_id FROM rows)
+  UNION ALL
+  SELECT conv_id, i, {_best(_way(3, 'D', 'true', ('b0',), "''"))} AS b,
+    {_best(_way(3, 'D', 'true', ('s0',), "''") + _way(0, 'K', f"{_STAYS} AND k = 's'", ('b0',), _LINE('role')))} AS s,
+    {_best(_way(3, 'D', 'true', ('u2',), "''") + _way(0, 'K', f"{_STAYS} AND k = 'u'", ('b0', 's0', 'a2'), _LINE('role')) + _way(2, 'R', _STAYS, ('b0', 's0', 'a2'), _LINE("'user'")))} AS u,
+    {_best(_way(3, 'D', 'true', ('a2',), "''") + _way(0, 'K', f"{_STAYS} AND k = 'a'", ('u2',), _LINE('role')) + _way(2, 'R', _STAYS, ('u2',), _LINE("'assistant'")))} AS a
+  FROM (
+    SELECT *, {_insert('user', 'a1', 'u1')} AS u2, {_insert('assistant', 'u1', 'a1')} AS a2 FROM (
+      SELECT *, {_insert('assistant', 'u0', 'a0')} AS a1,
+        list_min(list_filter([u0] || list_transform(list_filter([b0, s0, a0], lambda w: w IS NOT NULL), lambda w: {{'c': w.c + 2, 'a': w.a || 'I', 't': w.t || 'user:' || chr(10)}}), lambda w: w IS NOT NULL)) AS u1
+      FROM (SELECT r.*, w.b AS b0, w.s AS s0, w.u AS u0, w.a AS a0 FROM walk w JOIN rows r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1)
+    )
+  )
+),
+ends AS (
+  SELECT conv_id, list_min(list_filter([b, a, CASE WHEN u IS NOT NULL THEN {{'c': u.c + 2, 'a': u.a || 'I', 't': u.t || 'assistant:' || chr(10)}} END,
+    CASE WHEN s IS NOT NULL THEN {{'c': s.c + 4, 'a': s.a || 'II', 't': s.t || 'user:' || chr(10) || 'assistant:' || chr(10)}} END], lambda w: w IS NOT NULL)) AS e
+  FROM walk QUALIFY i = max(i) OVER (PARTITION BY conv_id)
+),
+told AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+    count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (before IS NOT NULL AND before || k NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM rows GROUP BY conv_id
+)
+SELECT d.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(e.c, 0) AS cost, coalesce(e.a, '') AS audit, sha256(CASE WHEN coalesce(e.t, '') = '' THEN '' ELSE e.t[:-2] END) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) d LEFT JOIN told ON told.conv_id IS NOT DISTINCT FROM d.conv_id LEFT JOIN ends ON ends.conv_id IS NOT DISTINCT FROM d.conv_id
+"""
+
 ORACLES: dict[str, str] = {
     "op1_secret_scan": _OP1, "op2_mixing": _OP2, "op4_chat_prefix_targets": _OP4, "op6_threshold_top_k": _OP6,
-    "op7_quality_divergence": _OP7, "op8_ngram_jaccard": _OP8, "op9_token_counts": _OP9,
+    "op7_quality_divergence": _OP7, "op8_ngram_jaccard": _OP8, "op9_token_counts": _OP9, "op11_line_dedup": _OP11, "op12_turn_repair": _OP12,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from sideline.llm import bpe, chat, cotraining, jaccard, mixing, quality_rules, secrets, sharding, token_counts, topk
+from sideline.llm import bpe, chat, cotraining, jaccard, line_dedup, mixing, quality_rules, secrets, sharding, token_counts, topk, turn_repair
 from sideline.llm.common import table
 
 
@@ -57,4 +57,14 @@ def op10_cotraining_quality(spark, sf_dir):
     return cotraining.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-REGISTRY = {f.__name__: f for f in (op1_secret_scan, op2_mixing, op3_sharding, op4_chat_prefix_targets, op5_byte_bpe, op6_threshold_top_k, op7_quality_divergence, op8_ngram_jaccard, op9_bpe_token_counts, op9_token_counts, op10_cotraining_quality)}
+def op11_line_dedup(spark, sf_dir):
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), min_chars=40, min_docs=5)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_turn_repair(spark, sf_dir):
+    rows = turn_repair.damage(turn_repair.conversation_rows(table(spark, sf_dir, "conversations")))
+    return turn_repair.repair(rows).withColumnRenamed("conv", "conv_id")
+
+
+REGISTRY = {f.__name__: f for f in (op1_secret_scan, op2_mixing, op3_sharding, op4_chat_prefix_targets, op5_byte_bpe, op6_threshold_top_k, op7_quality_divergence, op8_ngram_jaccard, op9_bpe_token_counts, op9_token_counts, op10_cotraining_quality, op11_line_dedup, op12_turn_repair)}
