@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from sideline.llm import bpe, chat, cotraining, jaccard, line_dedup, mixing, quality_rules, secrets, sharding, token_counts, topk, turn_repair
+from sideline.llm import alignment, bpe, chat, cotraining, jaccard, line_dedup, mixing, quality_rules, secrets, sharding, token_counts, topk, turn_repair
 from sideline.llm.common import table
 
 
@@ -67,4 +67,9 @@ def op12_turn_repair(spark, sf_dir):
     return turn_repair.repair(rows).withColumnRenamed("conv", "conv_id")
 
 
-REGISTRY = {f.__name__: f for f in (op1_secret_scan, op2_mixing, op3_sharding, op4_chat_prefix_targets, op5_byte_bpe, op6_threshold_top_k, op7_quality_divergence, op8_ngram_jaccard, op9_bpe_token_counts, op9_token_counts, op10_cotraining_quality, op11_line_dedup, op12_turn_repair)}
+def op13_alignment(spark, sf_dir):
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return alignment.align_documents(table(spark, sf_dir, "documents"), *paths, digest=True).withColumnRenamed("groups", "groups_sha256")
+
+
+REGISTRY = {f.__name__: f for f in (op1_secret_scan, op2_mixing, op3_sharding, op4_chat_prefix_targets, op5_byte_bpe, op6_threshold_top_k, op7_quality_divergence, op8_ngram_jaccard, op9_bpe_token_counts, op9_token_counts, op10_cotraining_quality, op11_line_dedup, op12_turn_repair, op13_alignment)}
