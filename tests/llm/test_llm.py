@@ -54,7 +54,7 @@ def test_against_sql(spark, con, name):
 def test_names():
     import __spark_entry__ as entry
 
-    assert {n.split("_")[0] for n in REGISTRY} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in REGISTRY} == {f"op{i}" for i in range(1, 14)}
     assert {*REGISTRY, "pipeline"} <= set(entry.queries())
 
 
