@@ -60,14 +60,16 @@ def forecast_metrics(
     forecasts: Mapping[str, str] = FORECAST_LABELS,
     *,
     actual: str = "target_next_week",
-    by: Sequence[str] = (),
+    by: Mapping[str, Sequence] | None = None,
 ) -> DataFrame:
     """n, MAE, RMSE, bias (forecast minus actual) and shares within 3 and 5, per model and group.
 
     Every row lands in each of its groups; all models and groups come out of a
     single aggregation whose partial results are a few dozen rows per task.
-    Pairs without a usable row stay in the result with 0 examples.
+    Pairs without a usable row stay in the result with 0 examples. ``by`` splits
+    the report by further columns, each with the list of its values.
     """
+    by = by or {}
     present = {c: label for c, label in forecasts.items() if c in rows.columns}
     target = as_double(F.col(actual))
     cells = F.array(*[F.struct(F.lit(label).alias("model"), as_double(F.col(c)).alias("forecast")) for c, label in present.items()])
@@ -90,14 +92,9 @@ def forecast_metrics(
         share(3).alias("within_3_points"),
         share(5).alias("within_5_points"),
     )
-    if by:
-        return measured
-    spark = rows.sparkSession
-    skeleton = (
-        spark.range(1)
-        .select(F.explode(F.array(*[F.lit(g) for g in GROUPS])).alias("position"))
-        .select("position", F.explode(F.array(*[F.lit(m) for m in present.values()])).alias("model"))
-    )
-    return skeleton.join(measured, ["position", "model"], "left").withColumn(
+    skeleton = rows.sparkSession.range(1).select(F.explode(F.array(*[F.lit(g) for g in GROUPS])).alias("position"))
+    for name, values in {"model": list(present.values()), **by}.items():
+        skeleton = skeleton.select("*", F.explode(F.array(*[F.lit(v) for v in values])).alias(name))
+    return skeleton.join(measured, ["position", "model", *by], "left").withColumn(
         "examples", F.coalesce("examples", F.lit(0))
     )

@@ -1,19 +1,21 @@
-"""Learned forecasts: an auditable ridge regression and boosted trees, both on spark.ml."""
+"""Learned forecasts: an auditable ridge regression from season sums, and boosted trees."""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sideline.functions.numeric import as_double, finite_or_zero
+from sideline.operators.boosting import Trees, fit_boosted, nodes_table, trees_of
+from sideline.operators.statistics import SeasonSums, season_sums, solve_ridge
 from sideline.schemas import MODEL_FEATURES, OFFENSE, SCORING_VERSION
-from sideline.session import ensure_checkpointing
+from sideline.session import stored
 
 # fixed values
 RIDGE_PENALTY = 12.0
@@ -125,55 +127,35 @@ def fit_ridge(
     train: DataFrame, *, target: str = "target_next_week", penalty: float = RIDGE_PENALTY,
     min_examples: int = MIN_EXAMPLES,
 ) -> RidgeModel | None:
-    """Ridge with an unpenalised intercept; null when there is too little to learn from.
+    """Ridge with an unpenalised intercept; null when there is too little to learn from. One pass over the data."""
+    return ridge_of_seasons(season_products(train, target=target, by=None), [None], penalty=penalty, min_examples=min_examples)
 
-    Two passes over the data, both plain aggregations: means, deviations and
-    the positions seen, then the normal equations. Only their size (features
-    squared) reaches the driver. spark.ml scales its penalty by the row count
-    and the label's deviation, hence the conversion.
-    """
-    features = [f for f in MODEL_FEATURES if f in train.columns]
-    if len(features) < MIN_FEATURES:
-        return None
-    rows = train.where(F.col(target).isNotNull())
-    inputs = rows.select(
-        F.col(target).cast("double").alias("_y"), _position(rows).alias("_p"), *[_clean(rows, f).alias(f) for f in features]
-    ).persist()
-    try:
-        return _fit_ridge(inputs, features, penalty, min_examples)
-    finally:
-        inputs.unpersist()
-
-
-def _fit_ridge(inputs: DataFrame, features: list[str], penalty: float, min_examples: int) -> RidgeModel | None:
-    summary = inputs.agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.stddev_pop("_y").alias("_sy"),
-        F.collect_set(F.when(F.col("_p").isin(*OFFENSE), F.col("_p"))).alias("_positions"),
-        *[F.avg(f).alias(f"mean_{f}") for f in features],
-        *[F.stddev_pop(f).alias(f"std_{f}") for f in features],
-    ).first()
-    n = summary["_n"]
-    if n < min_examples:
+
+def season_products(rows: DataFrame, *, target: str = "target_next_week", by: str | None = "season") -> SeasonSums:
+    """The products that every ridge over some of the seasons needs: inputs, position flags and target, per season."""
+    rows = rows.where(F.col(target).isNotNull())
+    columns = {f: _clean(rows, f) for f in MODEL_FEATURES if f in rows.columns}
+    columns |= {name: F.when(_position(rows) == p, 1.0).otherwise(0.0) for name, p in POSITION_FEATURES.items()}
+    columns["_y"] = F.col(target).cast("double")
+    keep = [by] if by else []
+    return season_sums(rows.select(*keep, *[c.alias(n) for n, c in columns.items()]), list(columns), by)
+
+
+def ridge_of_seasons(
+    sums: SeasonSums, seasons: Iterable[int | None], *, penalty: float = RIDGE_PENALTY, min_examples: int = MIN_EXAMPLES
+) -> RidgeModel | None:
+    """The ridge over some seasons: their matrices added and solved, without another pass over the rows."""
+    features = [n for n in sums.names if n not in POSITION_FEATURES and n != "_y"]
+    total = sums.add(seasons)
+    if len(features) < MIN_FEATURES or total[0, 0] < max(min_examples, 1):
         return None
-    means = {f: float(summary[f"mean_{f}"]) for f in features}
-    stds = {f: float(summary[f"std_{f}"] or 0.0) or 1.0 for f in features}
-    positions = sorted(summary["_positions"]) or sorted(OFFENSE)
-    # A column without any variation carries no weight and would make the
-    # solver's scaling divide by zero, so it is left out of the fit.
-    columns = {f: (F.col(f) - means[f]) / stds[f] for f in features if (summary[f"std_{f}"] or 0.0) > 0}
-    columns |= {f"is_{p}": F.when(F.col("_p") == p, 1.0).otherwise(0.0) for p in positions}
-    design = inputs.select("_y", *[c.alias(name) for name, c in columns.items()])
-    vector = VectorAssembler(inputCols=list(columns), outputCol="_x").transform(design).select("_x", "_y")
-    fit = LinearRegression(
-        featuresCol="_x", labelCol="_y", solver="normal", elasticNetParam=0.0, standardization=False,
-        regParam=penalty / n * float(summary["_sy"] or 1.0),
-    ).fit(vector)
-    found = dict(zip(columns, (float(c) for c in fit.coefficients)))
-    return RidgeModel(
-        features, means, stds, {f: found.get(f, 0.0) for f in features}, float(fit.intercept),
-        {p: found[f"is_{p}"] for p in positions}, int(n),
-    )
+    flags = {p: 1 + sums.names.index(name) for name, p in POSITION_FEATURES.items()}
+    seen = sorted(p for p, at in flags.items() if total[0, at] > 0) or sorted(flags)
+    fit = solve_ridge(total, len(features), [flags[p] for p in seen], penalty)
+    by_name = lambda values: dict(zip(features, map(float, values), strict=False))
+    stds = np.where(fit.stds > 0, fit.stds, 1.0)
+    positions = dict(zip(seen, map(float, fit.weights[len(features) :]), strict=True))
+    return RidgeModel(features, by_name(fit.means), by_name(stds), by_name(fit.weights), fit.intercept, positions, fit.n)
 
 
 def apply_ridge(df: DataFrame, model: RidgeModel | None, *, scoring_version: str = SCORING_VERSION) -> DataFrame:
@@ -188,9 +170,26 @@ def apply_ridge(df: DataFrame, model: RidgeModel | None, *, scoring_version: str
     return df.withColumn("learned_weight_projection", F.greatest(F.lit(0.0), score))
 
 
+def apply_fold_ridges(df: DataFrame, ridges: Mapping[int, RidgeModel], *, by: str = "season") -> DataFrame:
+    """Add ``learned_weight_projection`` with the model of each row's ``by``; null where there is none. One pass, whatever the folds."""
+    if not ridges:
+        return df
+    names = sorted({f for m in ridges.values() for f in m.features})
+    rows = []
+    for season, m in ridges.items():
+        scaled = {f: m.weights[f] / max(m.stds[f], 1e-9) for f in m.features}
+        start = m.intercept - sum(m.means[f] * w for f, w in scaled.items())
+        rows.append((int(season), [start, *(scaled.get(f, 0.0) for f in names), *(m.position_weights.get(p, 0.0) for p in OFFENSE)]))
+    weights = F.broadcast(df.sparkSession.createDataFrame(rows, "_fold long, _weights array<double>"))  # a row a fold
+    inputs = F.array(F.lit(1.0), *(_clean(df, f) for f in names), *(F.when(_position(df) == p, 1.0).otherwise(0.0) for p in OFFENSE))
+    both = df.withColumn("_inputs", inputs).join(weights, F.col(by).cast("long") == F.col("_fold"), "left")
+    score = F.aggregate(F.zip_with("_inputs", "_weights", lambda x, w: x * w), F.lit(0.0), lambda a, v: a + v)
+    return both.withColumn("learned_weight_projection", F.when(F.col("_fold").isNotNull(), F.greatest(F.lit(0.0), score))).drop("_inputs", "_fold", "_weights")
+
+
 @dataclass(frozen=True)
 class TreeModel:
-    model: GBTRegressionModel
+    model: Trees
     features: list[str]
     training_examples: int
     trained_for_season: int
@@ -204,7 +203,8 @@ class TreeModel:
         }
 
     def save(self, spark: SparkSession, path: str) -> None:
-        self.model.write().overwrite().save(f"{path}/model")
+        """The nodes as a table and one row of metadata, which is written last: a model without it is not seen."""
+        nodes_table(spark, self.model, self.features).coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
         spark.createDataFrame([(json.dumps(self.metadata()),)], "value string").coalesce(1).write.mode(
             "overwrite"
         ).text(f"{path}/metadata")
@@ -221,50 +221,61 @@ class TreeModel:
         if meta.get("scoring_version") != scoring_version or not meta.get("features"):
             return None
         return cls(
-            GBTRegressionModel.load(f"{path}/model"), meta["features"], meta["training_examples"],
+            trees_of(spark.read.parquet(f"{path}/model"), meta["features"]), meta["features"], meta["training_examples"],
             meta["trained_for_season"], meta["scoring_version"],
         )
 
 
+def fit_fold_trees(
+    rows: DataFrame, folds: Mapping[int, Sequence[int] | None], *, target: str = "target_next_week", by: str = "season",
+    settings: Mapping[str, object] = TREE_SETTINGS, min_examples: int = MIN_EXAMPLES,
+) -> dict[int, TreeModel]:
+    """Boosted trees of every fold (holdout season -> training seasons, null for all rows), grown together, a job a level.
+
+    Squared error on the same inputs as the ridge. A fold with too little to learn from has no model.
+    """
+    rows = rows.where(F.col(target).isNotNull())
+    columns, names = design_columns(rows)
+    if len(names) < MIN_FEATURES:
+        return {}
+    uses = F.array_compact(F.array(*[F.when(F.lit(True) if seasons is None else F.col(by).isin(list(seasons)), F.lit(int(h))) for h, seasons in folds.items()]))
+    matrix = stored(rows.select(F.explode(uses).alias("fold"), F.col(target).cast("double").alias("y"), *[columns[n].alias(n) for n in names]), "folds")
+    sizes = {r["fold"]: r["n"] for r in matrix.groupBy("fold").agg(F.count("*").alias("n")).collect() if r["n"] >= min_examples}
+    if not sizes:
+        return {}
+    grown = fit_boosted(matrix.where(F.col("fold").isin(list(sizes))), names, settings)
+    return {h: TreeModel(trees, names, sizes[h], h) for h, trees in grown.items()}
+
+
 def fit_trees(
     train: DataFrame, season: int, *, target: str = "target_next_week",
     settings: Mapping[str, object] = TREE_SETTINGS, min_examples: int = MIN_EXAMPLES,
 ) -> TreeModel | None:
-    """Boosted trees on the same inputs; squared error; null when there is too little to learn from."""
-    rows = train.where(F.col(target).isNotNull())
-    matrix = design_matrix(rows, keep=[target])
-    names = [c for c in matrix.columns if c != target]
-    # Boosting passes over the matrix once per level of every tree. It is
-    # cached (recomputed from lineage if an executor goes), and the booster's
-    # own running predictions are checkpointed to the shared folder.
-    ensure_checkpointing(train.sparkSession)
-    vector = (
-        VectorAssembler(inputCols=names, outputCol="_x")
-        .transform(matrix)
-        .select("_x", F.col(target).cast("double").alias("_y"))
-        .persist()
-    )
-    try:
-        n = vector.count()
-        if n < min_examples or len(names) < MIN_FEATURES:
-            return None
-        booster = GBTRegressor(
-            featuresCol="_x", labelCol="_y", predictionCol="_score", lossType="squared", checkpointInterval=10,
-            **dict(settings),
-        )
-        return TreeModel(booster.fit(vector), names, n, int(season))
-    finally:
-        vector.unpersist()
+    """Boosted trees on all rows, for one season to come; null when there is too little to learn from."""
+    return fit_fold_trees(train, {season: None}, target=target, settings=settings, min_examples=min_examples).get(season)
+
+
+def apply_fold_trees(df: DataFrame, trees: Mapping[int, TreeModel], *, by: str | None = "season") -> DataFrame:
+    """Add ``ml_projection`` with the trees of each row's ``by`` (or of the only fold); null where there are none. One pass."""
+    spark = df.sparkSession
+    names = list(next(iter(trees.values())).features)
+    columns, _ = design_columns(df, names)
+    shared = spark.sparkContext.broadcast({h: m.model for h, m in trees.items()})  # nodes of the trees: a size set by the settings
+
+    @F.pandas_udf("double")
+    def score(fold: pd.Series, x: pd.DataFrame) -> pd.Series:
+        values, out = x.to_numpy(float), np.full(len(x), np.nan)
+        for h, model in shared.value.items():
+            mine = np.flatnonzero(fold.to_numpy() == h)
+            out[mine] = np.maximum(model.score(values[mine]), 0)
+        return pd.Series(out).astype(object).where(~np.isnan(out), None)
+
+    fold = F.coalesce(F.col(by).cast("int"), F.lit(-1)) if by else F.lit(next(iter(trees)))
+    return df.withColumn("ml_projection", score(fold, F.struct(*[columns[n].alias(n) for n in names])))
 
 
 def apply_trees(df: DataFrame, trees: TreeModel | None, *, scoring_version: str = SCORING_VERSION) -> DataFrame:
     """Add ``ml_projection`` (floored at 0), or null where no valid model exists."""
     if trees is None or trees.scoring_version != scoring_version:
         return df.withColumn("ml_projection", F.lit(None).cast("double"))
-    columns, names = design_columns(df, trees.features)
-    staged = df.withColumns({f"_in_{n}": columns[n] for n in names})
-    vector = VectorAssembler(inputCols=[f"_in_{n}" for n in names], outputCol="_x").transform(staged)
-    scored = trees.model.setFeaturesCol("_x").setPredictionCol("_score").transform(vector)
-    return scored.withColumn("ml_projection", F.greatest(F.lit(0.0), F.col("_score"))).select(
-        *[c for c in df.columns if c != "ml_projection"], "ml_projection"
-    )
+    return apply_fold_trees(df, {trees.trained_for_season: trees}, by=None)

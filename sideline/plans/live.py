@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,10 +12,12 @@ from sideline.operators.forecast import explain, final_projection, project
 from sideline.operators.identity import first_per_player
 from sideline.operators.matchup import add_matchup_feature, attach_opponent
 from sideline.operators.models import (
-    TREE_SETTINGS, RidgeModel, TreeModel, apply_ridge, apply_trees, fit_ridge, fit_trees,
+    TREE_SETTINGS, RidgeModel, TreeModel, apply_fold_ridges, apply_fold_trees, apply_ridge, apply_trees, fit_fold_trees, ridge_of_seasons,
+    season_products,
 )
 from sideline.operators.status import apply_depth
 from sideline.operators.temporal import latest_per_history, player_features, walk_forward, with_carryover
+from sideline.session import stored
 
 
 def live_history(stats: DataFrame, season: int, target_week: int) -> DataFrame:
@@ -58,6 +59,38 @@ def current_projections(
     return apply_depth(df, depth)
 
 
+def fold_pairs(stats: DataFrame, schedule: DataFrame | None, folds: Mapping[int, Sequence[int]], *, dense=()) -> DataFrame:
+    """The walk-forward pairs of all folds' seasons from one pass, with the baseline forecast and, given a schedule, the matchup."""
+    seasons = sorted({s for h, train in folds.items() for s in (*train, h)})
+    pairs = walk_forward(stats, seasons=seasons, dense=dense)
+    if schedule is not None:
+        pairs = add_matchup_feature(pairs, stats.where(F.col("season").isin(seasons)), schedule)
+    return project(pairs)
+
+
+def fold_forecasts(pairs: DataFrame, folds: Mapping[int, Sequence[int]], *, tree_settings: dict | None = TREE_SETTINGS) -> DataFrame:
+    """The holdout rows of all folds with the forecasts of models fitted on each fold's own training seasons.
+
+    Ridges come from one pass of season sums, trees of all folds grow together, and one pass scores all holdouts.
+    """
+    test = pairs.where(F.col("season").isin(list(folds)))
+    sums = season_products(pairs)
+    ridges = {h: m for h, train in folds.items() if (m := ridge_of_seasons(sums, train)) is not None}
+    test = apply_fold_ridges(test, ridges)
+    if tree_settings is not None:
+        trees = fit_fold_trees(pairs, folds, settings=tree_settings)
+        if trees:
+            test = apply_fold_trees(test, trees)
+    return test
+
+
+def fold_reports(pairs: DataFrame, folds: Mapping[int, Sequence[int]], *, tree_settings: dict | None = TREE_SETTINGS) -> DataFrame:
+    """Reports of forecasts by groups for every fold, with ``holdout_season``; groups without rows have 0 examples."""
+    pairs = stored(pairs, "fold-pairs")  # read by the season sums, the matrix of the trees, and the scoring
+    test = fold_forecasts(pairs, folds, tree_settings=tree_settings).withColumn("holdout_season", F.col("season").cast("int"))
+    return forecast_metrics(test, by={"holdout_season": sorted(folds)})
+
+
 def holdout(
     stats: DataFrame,
     schedule: DataFrame | None,
@@ -69,36 +102,10 @@ def holdout(
 ) -> DataFrame:
     """Fit on earlier seasons, score the later one; a report of three forecasts by six groups.
 
-    The pairs of all seasons come from one pass; fold membership is a filter
-    on them. ``tree_settings=None`` leaves the trees out.
+    ``tree_settings=None`` leaves the trees out.
     """
-    seasons = sorted({*training_seasons, holdout_season})
-    pairs = walk_forward(stats, seasons=seasons, dense=dense)
-    if schedule is not None:
-        pairs = add_matchup_feature(pairs, stats.where(F.col("season").isin(seasons)), schedule)
-    pairs = project(pairs).persist()
-    try:
-        return _stored(holdout_report(pairs, training_seasons, holdout_season, tree_settings=tree_settings))
-    finally:
-        pairs.unpersist()
-
-
-def _stored(report: DataFrame) -> DataFrame:
-    """A report as data of its own: models x groups rows, so that the cached pairs can go."""
-    return report.sparkSession.createDataFrame(report.collect(), report.schema)
-
-
-def holdout_report(
-    pairs: DataFrame, training_seasons: Sequence[int], holdout_season: int, *, tree_settings: dict | None = TREE_SETTINGS
-) -> DataFrame:
-    train = pairs.where(F.col("season").isin(list(training_seasons)))
-    test = pairs.where(F.col("season") == holdout_season)
-    test = apply_ridge(test, fit_ridge(train))
-    if tree_settings is not None:
-        trees = fit_trees(train, holdout_season, settings=tree_settings)
-        if trees is not None:
-            test = apply_trees(test, trees)
-    return forecast_metrics(test)
+    folds = {holdout_season: list(training_seasons)}
+    return fold_reports(fold_pairs(stats, schedule, folds, dense=dense), folds, tree_settings=tree_settings).drop("holdout_season")
 
 
 def fold_table(holdout_seasons: Sequence[int], span: int = 7, earliest: int | None = None) -> list[tuple[list[int], int]]:
@@ -109,18 +116,6 @@ def fold_table(holdout_seasons: Sequence[int], span: int = 7, earliest: int | No
 def multi_fold(
     stats: DataFrame, schedule: DataFrame | None, holdout_seasons: Sequence[int], *, tree_settings: dict | None = TREE_SETTINGS, dense=()
 ) -> DataFrame:
-    """Holdout reports of several folds over one cached set of pairs."""
-    folds = fold_table(holdout_seasons)
-    seasons = sorted({s for train, h in folds for s in (*train, h)})
-    pairs = walk_forward(stats, seasons=seasons, dense=dense)
-    if schedule is not None:
-        pairs = add_matchup_feature(pairs, stats.where(F.col("season").isin(seasons)), schedule)
-    pairs = project(pairs).persist()
-    try:
-        reports = [
-            _stored(holdout_report(pairs, train, h, tree_settings=tree_settings).withColumn("holdout_season", F.lit(h)))
-            for train, h in folds
-        ]
-    finally:
-        pairs.unpersist()
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), reports)
+    """Holdout reports of several folds over one stored set of pairs."""
+    folds = {h: train for train, h in fold_table(holdout_seasons)}
+    return fold_reports(fold_pairs(stats, schedule, folds, dense=dense), folds, tree_settings=tree_settings)

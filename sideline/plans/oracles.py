@@ -700,13 +700,13 @@ SELECT 'prediction_snapshot_v2' AS schema_version, 2001 AS season, unnest([7, 8]
 GROUPS = ["Offense (QB/RB/WR/TE)", *OFFENSE, "All player records"]
 
 
-def _metrics(source: str, forecasts: dict[str, str]) -> str:
+def _metrics(source: str, forecasts: dict[str, str], by: str = "") -> str:
     labels = "[" + ", ".join(f"'{m}'" for m in forecasts) + "]"
     values = "[" + ", ".join(forecasts.values()) + "]"
     groups = "CASE WHEN position IN ('QB','RB','WR','TE') THEN ['Offense (QB/RB/WR/TE)', position, 'All player records'] ELSE ['All player records'] END"
-    return f"""SELECT position, model, count(*) AS examples, {r6('avg(abs(e))', 'mae')}, {r6('sqrt(avg(e * e))', 'rmse')}, {r6('avg(e)', 'bias')},
+    return f"""SELECT {by}position, model, count(*) AS examples, {r6('avg(abs(e))', 'mae')}, {r6('sqrt(avg(e * e))', 'rmse')}, {r6('avg(e)', 'bias')},
   {", ".join(r6(f"avg(CASE WHEN round(abs(e), 9) <= {n} THEN 1.0::DOUBLE ELSE 0.0 END)", f"within_{n}_points") for n in (3, 5))}
-FROM (SELECT g AS position, unnest({labels}) AS model, unnest({values}) - target_next_week AS e FROM (SELECT * EXCLUDE (position), unnest({groups}) AS g FROM {source})) GROUP BY ALL"""
+FROM (SELECT {by}g AS position, unnest({labels}) AS model, unnest({values}) - target_next_week AS e FROM (SELECT * EXCLUDE (position), unnest({groups}) AS g FROM {source})) WHERE e IS NOT NULL GROUP BY ALL"""
 
 
 cte("ridged", f"SELECT *, {RIDGE} AS ridge FROM pairs", "pairs")
@@ -759,6 +759,40 @@ O["feature_moments"] = _sql(
     " UNION ALL ".join(
         f"SELECT '{n}__{k}' AS statistic, {r6(f'{fn}({n})', 'value')} FROM design" for n in _NAMES for k, fn in (("mean", "avg"), ("std", "stddev_pop"))), "design")
 O["ridge_scores"] = _sql(f"SELECT {_P3}, {r6('ridge', 'learned_weight_projection')} FROM ridged", "ridged")
+# Ridges in SQL: sums of products of standardised columns per fold, then Gauss-Jordan steps over the list of its rows.
+_N = len(RIDGE_FEATURES)
+cte("folds", "SELECT 0 AS h, -9999 AS a, 9999 AS b UNION ALL SELECT unnest(range(1996, 2002)), 1995, unnest(range(1995, 2001))")
+cte("fit_rows", f"""
+SELECT row_number() OVER () AS rid, season, target_next_week AS y, [{", ".join(z(f) for f in RIDGE_FEATURES)}] AS x, [{", ".join(f"(position = '{p}')::INT::DOUBLE" for p in OFFENSE)}] AS q
+FROM pairs WHERE target_next_week IS NOT NULL""", "pairs")
+cte("fold_cells", f"SELECT h, rid, y, q, i, x[i] AS v FROM fit_rows JOIN folds ON season BETWEEN a AND b, unnest(range(1, {_N + 1})) u(i)", "fit_rows", "folds")
+cte("fold_moments", "SELECT h, i, avg(v) AS m, stddev_pop(v) AS s FROM fold_cells GROUP BY h, i HAVING count(*) >= 500", "fold_cells")
+cte("fold_z", f"""
+SELECT h, rid, i, CASE WHEN s > 0 THEN (v - m) / s ELSE 0.0::DOUBLE END AS v FROM fold_cells JOIN fold_moments USING (h, i)
+UNION ALL SELECT h, rid, {_N} + k, q[k] FROM fold_cells JOIN fold_moments USING (h, i), unnest(range(1, 5)) u(k) WHERE i = 1
+UNION ALL SELECT h, rid, 0, 1.0 FROM fold_cells JOIN fold_moments USING (h, i) WHERE i = 1
+UNION ALL SELECT h, rid, {_N + 5}, y FROM fold_cells JOIN fold_moments USING (h, i) WHERE i = 1""", "fold_cells", "fold_moments")
+cte("fold_matrix", f"""
+SELECT h, list(r ORDER BY i) AS m FROM (
+  SELECT h, i, list(v ORDER BY j) AS r FROM (
+    SELECT a.h, a.i, b.i AS j, sum(a.v * b.v) + CASE WHEN a.i = b.i AND a.i > 0 THEN 12 ELSE 0 END AS v FROM fold_z a JOIN fold_z b ON a.h = b.h AND a.rid = b.rid WHERE a.i < {_N + 5} GROUP BY a.h, a.i, b.i
+  ) GROUP BY h, i
+) GROUP BY h""", "fold_z")
+cte("fold_steps", f"""
+SELECT h, 1 AS k, m FROM fold_matrix UNION ALL
+SELECT h, k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda v: v / m[k][k]) ELSE list_transform(r, lambda v, j: v - r[k] / m[k][k] * m[k][j]) END)
+FROM fold_steps WHERE k <= {_N + 5}""", "fold_matrix")
+cte("fold_weights", f"SELECT h, list_transform(m, lambda r: r[{_N + 6}]) AS w FROM fold_steps WHERE k = {_N + 6}", "fold_steps")
+O["ridge_weights"] = _sql(f"""
+SELECT CASE WHEN i <= {_N} THEN 'metric' ELSE 'position_adjustment' END AS kind, names[i] AS name, {r6('w[i + 1]', 'learned_standardized_weight')}, {r6('abs(w[i + 1])', 'absolute_weight')},
+  CASE WHEN w[i + 1] >= 0 THEN 'raises projection' ELSE 'lowers projection' END AS direction
+FROM (SELECT w, [{", ".join(f"'{n}'" for n in [*RIDGE_FEATURES, *OFFENSE])}] AS names FROM fold_weights WHERE h = 0), unnest(range(1, {_N + 5})) u(i)
+WHERE i <= {_N} OR EXISTS (SELECT 1 FROM pairs WHERE position = names[i])""", "fold_weights", "pairs").replace("WITH ", "WITH RECURSIVE ", 1)
+cte("fold_scored", f"""
+SELECT p.*, greatest(0.0::DOUBLE, w[1] + list_sum(list_transform(range(1, {_N + 1}), lambda i: CASE WHEN s[i] > 0 THEN (x[i] - m[i]) / s[i] * w[i + 1] ELSE 0 END)) + list_sum(list_transform(range(1, 5), lambda k: q[k] * w[{_N} + 1 + k]))) AS ridge
+FROM (SELECT *, [{", ".join(z(f) for f in RIDGE_FEATURES)}] AS x, [{", ".join(f"(position = '{p}')::INT::DOUBLE" for p in OFFENSE)}] AS q FROM pairs WHERE season > 1995) p
+LEFT JOIN (SELECT h, list(m ORDER BY i) AS m, list(s ORDER BY i) AS s FROM fold_moments GROUP BY h) f ON f.h = p.season LEFT JOIN fold_weights USING (h)""", "pairs", "fold_moments", "fold_weights")
+O["fold_ridge_metrics"] = _sql(_metrics("fold_scored", {"Baseline projection": "baseline_projection", "Machine Learned Weight Values": "ridge"}, "season, "), "fold_scored").replace("WITH ", "WITH RECURSIVE ", 1)
 cte("timed_events", "SELECT * FROM events_t", "events_t")
 O["stream_events"] = O["event_rollup"]
 O["stream_status"] = _sql("""

@@ -21,7 +21,7 @@ from sideline.plans import live
 from sideline.schemas import (
     DENSE_METRICS, EVENT_COLUMNS, FEATURE_METRICS, MODEL_FEATURES, MOMENTUM_METRICS,
 )
-from sideline.session import shared_dir
+from sideline.session import shared_dir, stored
 from sideline.sources import captures, snapshots, tables
 from sideline.sources.snapshots import new_id
 from sideline.streaming import streams
@@ -886,8 +886,17 @@ def ridge_scores(spark, sf_dir):
 
 @query
 def ridge_weights(spark, sf_dir):
-    model = models.fit_ridge(pairs(spark, sf_dir))
-    return model.report(spark)
+    return show(models.fit_ridge(pairs(spark, sf_dir)).report(spark))
+
+
+@query
+def fold_ridge_metrics(spark, sf_dir):
+    """Every season but the first as the holdout of a ridge on all seasons before it."""
+    seasons = range(1996, 2002)
+    folds = {h: train for train, h in live.fold_table(seasons, earliest=1995)}
+    rows = stored(forecast.project(pairs(spark, sf_dir)), "fold-rows")
+    report = evaluate.forecast_metrics(live.fold_forecasts(rows, folds, tree_settings=None), by={"season": list(seasons)})
+    return show(report.where("examples > 0"))
 
 
 @query

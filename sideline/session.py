@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "sideline", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -54,3 +55,10 @@ def ensure_checkpointing(spark: SparkSession) -> str:
     folder = shared_dir(spark)
     spark.sparkContext.setCheckpointDir(folder)
     return folder
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """The rows, written to the shared folder and read back: later jobs neither recompute them nor depend on their executors."""
+    path = f"{shared_dir(df.sparkSession)}/sideline/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

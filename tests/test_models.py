@@ -3,7 +3,9 @@ import json
 import numpy as np
 import pytest
 
-from sideline.operators import evaluate, models
+from pyspark.sql import functions as F
+
+from sideline.operators import boosting, evaluate, models, statistics
 from sideline.operators.quantiles import exact_median
 from sideline.schemas import MODEL_FEATURES
 from sideline.plans.live import fold_table
@@ -51,6 +53,101 @@ def test_ridge_store_and_version(spark, examples, tmp_path):
     assert "learned_weight_projection" not in models.apply_ridge(df, model, scoring_version="other").columns
 
 
+def test_season_sums(spark):
+    """Matrices per season, a null season among them, over several tasks; folds add them."""
+    rng = np.random.default_rng(8)
+    seasons = [None if s == 3 else int(s) for s in rng.integers(0, 4, 300)]
+    x = rng.normal(size=(300, 3)) * [1, 50, 1e-3] + [0, 100, 5]
+    df = spark.createDataFrame([(s, *map(float, r)) for s, r in zip(seasons, x)], "season long, a double, b double, c double").repartition(5)
+    got = statistics.season_sums(df, ["a", "b", "c"], "season")
+    full = np.column_stack([np.ones(300), x])
+    assert set(got.of) == {0, 1, 2, None}
+    for s in got.of:
+        rows = full[[t == s for t in seasons]]
+        np.testing.assert_allclose(got.of[s], rows.T @ rows, rtol=1e-10)
+    both = full[[t in (0, 2) for t in seasons]]
+    np.testing.assert_allclose(got.add([0, 2, 99]), both.T @ both, rtol=1e-10)
+    assert statistics.season_sums(df.limit(0), ["a", "b", "c"], "season").of == {}
+
+
+def test_ridge_of_seasons_equals_refit(spark, examples):
+    """Adding seasons gives the model of a fit on their rows; a constant column has no weight."""
+    df = examples[0].withColumns({"season": (F.monotonically_increasing_id() % 3).cast("int"), MODEL_FEATURES[0]: F.lit(7.25)})
+    sums = models.season_products(df)
+    added, again = models.ridge_of_seasons(sums, [0, 2]), models.fit_ridge(df.where("season <> 1"))
+    assert added.training_examples == again.training_examples and added.weights[MODEL_FEATURES[0]] == 0 and added.stds[MODEL_FEATURES[0]] == 1
+    for name in ("means", "stds", "weights", "position_weights"):
+        ours, theirs = getattr(added, name), getattr(again, name)
+        assert ours.keys() == theirs.keys()
+        np.testing.assert_allclose(list(ours.values()), list(theirs.values()), atol=1e-9)
+    two = models.apply_fold_ridges(df, {0: added, 1: models.ridge_of_seasons(sums, [1], min_examples=10)})
+    for season, model in ((0, added), (1, models.ridge_of_seasons(sums, [1], min_examples=10))):
+        want = models.apply_ridge(df, model).where(F.col("season") == season).select("learned_weight_projection").toPandas()
+        got = two.where(F.col("season") == season).select("learned_weight_projection").toPandas()
+        np.testing.assert_allclose(got, want, atol=1e-8)
+    assert two.where("season = 2 AND learned_weight_projection IS NOT NULL").count() == 0
+
+
+def plain_boosting(x, y, trees, depth, rate):
+    """Exact greedy trees on all rows and columns, splitting at every value."""
+    base, f = y.mean(), np.full(len(y), y.mean())
+
+    def grow(rows, g, level):
+        best = (1e-6, None)
+        total = g[rows].sum() ** 2 / (len(rows) + 1)
+        for j in range(x.shape[1]):
+            for c in np.unique(x[rows, j])[:-1]:
+                left = rows[x[rows, j] <= c]
+                right = rows[x[rows, j] > c]
+                gain = g[left].sum() ** 2 / (len(left) + 1) + g[right].sum() ** 2 / (len(right) + 1) - total
+                if gain > best[0] + 1e-9:
+                    best = (gain, (left, right))
+        if level == depth or best[1] is None:
+            f[rows] -= rate * g[rows].sum() / (len(rows) + 1) if level else 0
+            return
+        for part in best[1]:
+            grow(part, g, level + 1)
+
+    for _ in range(trees):
+        grow(np.arange(len(y)), f - y, 0)
+    return base, f
+
+
+def test_boosting_equals_plain(spark):
+    """With few values a column, every row and every column, binned levels give the trees of an exhaustive search; in one or several blocks, for two folds."""
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 9, size=(160, 4)).astype(float)
+    y = x[:, 0] * 2 + (x[:, 1] > 4) * x[:, 2] + rng.normal(size=160)
+    rows = [(f, float(y[i]), *map(float, x[i])) for f, share in ((1, 160), (2, 90)) for i in range(share)]
+    df = spark.createDataFrame(rows, "fold int, y double, a double, b double, c double, d double")
+    settings = {"maxIter": 6, "maxDepth": 3, "stepSize": 0.3, "subsamplingRate": 1.0, "featureSubsetStrategy": "1.0", "seed": 1}
+    for block, every in ((20_000, 25), (30, 2)):
+        boosting.BLOCK_ROWS, boosting.CUT_EVERY, old = block, every, (boosting.BLOCK_ROWS, boosting.CUT_EVERY)
+        try:
+            got = boosting.fit_boosted(df, ["a", "b", "c", "d"], settings)
+        finally:
+            boosting.BLOCK_ROWS, boosting.CUT_EVERY = old
+        for fold, share in ((1, 160), (2, 90)):
+            base, want = plain_boosting(x[:share], y[:share], 6, 3, 0.3)
+            np.testing.assert_allclose(got[fold].base, base, atol=1e-9)
+            np.testing.assert_allclose(got[fold].score(x[:share]), want, atol=1e-6)
+
+
+def test_fold_trees(spark, examples):
+    """Folds grown together score only their own season; sampling is repeatable."""
+    df = examples[0].withColumn("season", (F.monotonically_increasing_id() % 3).cast("int"))
+    settings = {**models.TREE_SETTINGS, "maxIter": 4, "stepSize": 0.3}
+    folds = {1: [0], 2: [0, 1], 7: [9]}
+    grown = models.fit_fold_trees(df, folds, settings=settings, min_examples=100)
+    assert set(grown) == {1, 2} and grown[2].training_examples == df.where("season < 2").count()
+    out = models.apply_fold_trees(df, grown)
+    assert out.where("season = 0 AND ml_projection IS NOT NULL").count() == 0 and out.where("season > 0 AND ml_projection IS NULL").count() == 0
+    again = models.fit_fold_trees(df, {2: [0, 1]}, settings=settings, min_examples=100)[2]
+    x = np.random.default_rng(0).normal(size=(50, len(again.features))) * 5
+    np.testing.assert_allclose(again.model.score(x), grown[2].model.score(x), atol=1e-9)
+    assert models.fit_fold_trees(df, {2: [0, 1], 7: [9]}, settings=settings, min_examples=1000) == {}
+
+
 def test_too_little_data(examples):
     df = examples[0]
     assert models.fit_ridge(df.limit(100)) is None
