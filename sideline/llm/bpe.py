@@ -6,8 +6,8 @@ vectorised batches; a task holds one batch of texts and a bounded memory of merg
 
 Null texts count as empty and give no ids. Rows are encoded on their own: no shuffle; repeated rows and hot sources change
 nothing; columns other than the key and the text are ignored. The vocabulary (a rank file of fixed size) is broadcast.
-Distinct pre-tokens of one batch are told apart by a 64-bit hash and their length; hits in the vocabulary are compared
-byte by byte.
+Pre-tokens of one batch are brought together by a 64-bit hash; each is then compared byte by byte with the one that stands for
+it, and hits with the vocabulary's entry, so no two different pre-tokens share ids whatever their hashes.
 """
 
 from __future__ import annotations
@@ -16,16 +16,18 @@ import base64
 import functools
 import hashlib
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sideline.llm.common import whole
+from sideline.llm.common import text_slices, whole
 
-CHUNK_CHARS = 3_000_000  # texts are handled in chunks of about so many characters; a longer text alone
+CHUNK_CHARS = 1_000_000  # texts are handled in chunks of about so many characters; a longer text alone
 MEMO_ENTRIES = 250_000  # merged pre-tokens in either generation of a worker's memory
 BASE = 0x9E3779B97F4A7C15 | 1  # multiplier of the rolling hash
 TRIES = 64  # displacements of a bucket tried at a time
@@ -220,6 +222,19 @@ class Vocabulary:
             at = end
         return out
 
+    @staticmethod
+    def _unlike(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, like: np.ndarray) -> np.ndarray:
+        """Pre-tokens whose bytes are not those of the one that stands for them (``like``, by number)."""
+        size = ends - starts
+        other = size != size[like]
+        some = np.flatnonzero((like != np.arange(len(like))) & ~other)
+        size = size[some]
+        reach = np.cumsum(size)
+        within = np.arange(reach[-1] if len(reach) else 0) - np.repeat(reach - size, size)
+        differs = data[np.repeat(starts[some], size) + within] != data[np.repeat(starts[like[some]], size) + within]
+        other[np.repeat(some, size)[differs]] = True
+        return np.flatnonzero(other)
+
     def _encode_chunk(self, texts: list[str]) -> list[np.ndarray]:
         joined = "\0".join(texts) + "\0"
         raw = joined.encode()
@@ -243,6 +258,10 @@ class Vocabulary:
             starts, ends = place[starts], place[ends]
         keys = hashes(data, starts, ends)
         distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        apart = self._unlike(data, starts, ends, first[inverse])
+        if len(apart):  # equal hashes of different bytes: entries of their own
+            inverse[apart] = np.arange(len(distinct), len(distinct) + len(apart))
+            distinct, first = np.append(distinct, keys[apart]), np.append(first, apart)
         starts, ends = starts[first], ends[first]
         rank = self.rank_at[slot := self.hash.look_up(distinct)]
         hit = self.key_at[slot] == distinct
@@ -290,50 +309,50 @@ def load(path: str) -> Vocabulary:
     return Vocabulary([ranks[i] for i in range(len(ranks))])
 
 
-class Codec:
-    """Column functions over one broadcast vocabulary."""
+CODED = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), *RESULT.fields])
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.shared = spark.sparkContext.broadcast(load(path))
 
-    def encode(self, text: Column) -> Column:
-        shared = self.shared
+def _sha(data: bytes) -> str:
+    return hashlib.sha256(data).hexdigest()
 
-        @F.pandas_udf(T.ArrayType(T.IntegerType()))
-        def encode_ids(texts: pd.Series) -> pd.Series:
-            return pd.Series(shared.value.encode(texts.tolist()), dtype=object, index=texts.index)
 
-        return encode_ids(F.coalesce(text, F.lit("")))
+def _coder(shared, with_ids: bool):
+    """Rows (row, text) to (row, ids, counts and digests): each text is encoded once, and a batch goes out in pieces of ``CHUNK_CHARS``."""
 
-    def decode(self, ids: Column) -> Column:
-        shared = self.shared
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = shared.value
+        for batch in text_slices(batches, 1, CHUNK_CHARS):
+            ids = vocabulary.encode(batch.column(1).to_pylist())
+            counts = np.array([len(i) for i in ids], np.int64)
+            columns = [batch.column(0)]
+            if with_ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(np.concatenate(ids).astype(np.int32))))
+            columns += [pa.array(counts), pa.array([_sha(i.astype("<u4").tobytes()) for i in ids]), pa.array([_sha(vocabulary.decode(i)) for i in ids])]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", *(["ids"] if with_ids else []), *RESULT.names])
 
-        @F.pandas_udf(T.BinaryType())
-        def decode_ids(arrays: pd.Series) -> pd.Series:
-            return arrays.map(lambda a: None if a is None else shared.value.decode(a))
+    return run
 
-        return decode_ids(ids)
 
-    def digest(self, ids: Column) -> Column:
-        """Number of ids, digest of the ids, and digest of the bytes they decode to."""
-        shared = self.shared
+def encode_documents(docs: DataFrame, path: str, columns: list[str] | None = None, text: str = "text", with_ids: bool = True) -> DataFrame:
+    """The given ``columns`` (default: ``doc_id``) with ``ids`` (unless without), n_tokens, ids_sha256 and decoded_sha256 of every text."""
+    shared = docs.sparkSession.sparkContext.broadcast(load(path))
+    rows = docs.select(F.struct(*(columns or ["doc_id"])).alias("row"), whole(text).alias("text"))
+    schema = T.StructType([rows.schema["row"], *(CODED.fields if with_ids else RESULT.fields)])
+    out = rows.mapInArrow(_coder(shared, with_ids), schema)
+    return out.select("row.*", *schema.names[1:])
 
-        @F.pandas_udf(RESULT)
-        def digest_ids(arrays: pd.Series) -> pd.DataFrame:
-            sha = lambda b: hashlib.sha256(b).hexdigest()
-            rows = [(len(a), sha(np.asarray(a, "<u4").tobytes()), sha(shared.value.decode(a))) for a in arrays]
-            return pd.DataFrame(rows, columns=RESULT.names)
 
-        return digest_ids(ids)
+def decode_ids(spark: SparkSession, path: str, ids: Column) -> Column:
+    """Bytes of an array of ids."""
+    shared = spark.sparkContext.broadcast(load(path))
 
+    @F.pandas_udf(T.BinaryType())
+    def decode(arrays: pd.Series) -> pd.Series:
+        return arrays.map(lambda a: None if a is None else shared.value.decode(a))
 
-def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Key and ``ids`` of every document."""
-    return docs.select(key, Codec(docs.sparkSession, path).encode(whole(text)).alias("ids"))
+    return decode(ids)
 
 
 def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key, n_tokens, ids_sha256, decoded_sha256: both directions in one pass of the Python workers."""
-    codec = Codec(docs.sparkSession, path)
-    out = docs.select(key, codec.digest(codec.encode(whole(text))).alias("_out"))
-    return out.select(key, "_out.*")
+    return encode_documents(docs, path, [key], text, with_ids=False)

@@ -55,7 +55,7 @@ def encoder(spark: SparkSession, vocabulary: str | None):
     eod = len(bpe.load(vocabulary).tokens)
     if eod > np.iinfo(WIDTH).max:
         raise ValueError(f"{vocabulary} leaves no two-byte id free for the end of a document")
-    shared = bpe.Codec(spark, vocabulary).shared
+    shared = spark.sparkContext.broadcast(bpe.load(vocabulary))
     return lambda texts: [ids.astype(WIDTH).tobytes() for ids in shared.value.encode(texts)], eod
 
 
