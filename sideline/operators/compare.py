@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from sideline.functions.numeric import as_double, at_most
 from sideline.functions.text import blank_to_null
-from sideline.operators.quantiles import exact_median
+from sideline.operators.quantiles import exact_medians
 from sideline.operators.schema import one_row_per_key, require
 from sideline.schemas import BENCHMARK_SCHEMA_VERSION
+from sideline.session import stored
 
 KEYS = ["player_id", "team", "season", "target_week"]
 LOCAL_ZONE = "America/New_York"
@@ -173,7 +174,10 @@ def head_to_head(
     records: DataFrame,
     forecasts: Sequence[tuple[str, str]] = (("Ours", "final_projection"), ("Rival", "yahoo_projection")),
 ) -> DataFrame:
-    """Error metrics of each forecast over finalised, pregame rows where all numbers are known."""
+    """Error metrics of each forecast over finalised, pregame rows where all numbers are known.
+
+    The errors (model and one number) are stored once; the metrics and the passes of the medians read them.
+    """
     columns = ["actual_points", *[c for _, c in forecasts]]
     require(records, [*columns, "kickoff_status"], "Comparison records")
     known = F.col("kickoff_status") == "pregame"
@@ -191,6 +195,8 @@ def head_to_head(
         )
         .withColumn("absolute", F.abs("error"))
     )
+    long = stored(long, "head-to-head")
+    medians = exact_medians(long, "absolute", "model")
     metrics = long.groupBy("model").agg(
         F.count(F.lit(1)).alias("examples"),
         F.avg("absolute").alias("mae"),
@@ -201,6 +207,7 @@ def head_to_head(
             for n in (2, 3, 5)
         ],
     )
-    # The groups are the forecasts listed in the call.
-    medians = exact_median(long, ["model"], "absolute", "median_absolute_error", few_groups=True)
-    return metrics.join(medians, "model", "left")
+    median = F.lit(None).cast("double")
+    for model, value in medians.items():
+        median = F.when(F.col("model") == model, F.lit(value)).otherwise(median)
+    return metrics.withColumn("median_absolute_error", median)

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from sideline.functions.numeric import as_double, at_most
 from sideline.operators.forecast import project
-from sideline.operators.quantiles import exact_median
+from sideline.operators.quantiles import exact_medians
 from sideline.operators.temporal import walk_forward
 from sideline.schemas import OFFENSE
+from sideline.session import stored
 
 ALL_RECORDS = "All player records"
 OFFENSE_LABEL = "Offense (QB/RB/WR/TE)"
@@ -37,15 +38,19 @@ def backtest(stats: DataFrame, *, seasons: Sequence[int] | None = None, dense=()
 
 
 def backtest_summary(rows: DataFrame) -> DataFrame:
-    """Examples, MAE, median signed error and the shares within 3 and 5, in one row."""
-    totals = rows.agg(
+    """Examples, MAE, median signed error and the shares within 3 and 5, in one row.
+
+    The four columns it needs are stored once; the totals and the passes of the median read them.
+    """
+    rows = stored(rows.select("error", "abs_error", "within_3", "within_5"), "backtest-errors")
+    median = exact_medians(rows, "error").get(None)
+    return rows.agg(
         F.count(F.lit(1)).alias("examples"),
         F.avg("abs_error").alias("mae"),
         F.avg(F.col("within_3").cast("double")).alias("within_3"),
         F.avg(F.col("within_5").cast("double")).alias("within_5"),
-    ).withColumn("_one", F.lit(1))
-    median = exact_median(rows, [], "error", "median_error").withColumn("_one", F.lit(1))
-    return totals.join(median, "_one", "left").drop("_one")
+        F.lit(median).cast("double").alias("median_error"),
+    )
 
 
 def position_groups(position: Column) -> Column:

@@ -5,8 +5,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from sideline.operators import boosting, evaluate, models, statistics
-from sideline.operators.quantiles import exact_median
+from sideline.operators import boosting, evaluate, models, quantiles, statistics
 from sideline.schemas import MODEL_FEATURES
 from sideline.plans.live import fold_table
 
@@ -189,15 +188,38 @@ def test_metrics_by_overlapping_group(spark):
 
 
 @pytest.mark.parametrize("n", [1, 2, 7, 10, 30001, 40000])
-def test_exact_median(spark, n):
+def test_exact_medians(spark, monkeypatch, n):
     rng = np.random.default_rng(n)
     values = np.where(rng.random(n) < 0.3, 1.25, rng.normal(size=n) * 10)  # a third of the rows share one value
     groups = rng.integers(0, 2, size=n)
-    df = spark.createDataFrame(list(zip(map(int, groups), map(float, values))), "g int, v double")
-    got = {r.g: r.m for r in exact_median(df, ["g"], "v", "m").collect()}
-    for g in set(map(int, groups)):
-        assert got[g] == pytest.approx(float(np.median(values[groups == g])), abs=1e-12)
-    assert exact_median(df, [], "v", "m").first().m == pytest.approx(float(np.median(values)), abs=1e-12)
+    df = spark.createDataFrame(list(zip(map(str, groups), map(float, values))), "g string, v double")
+    df = df.union(spark.createDataFrame([("0", None), ("nulls", None)], df.schema)).persist()
+    for small in (10_000, 20):
+        monkeypatch.setattr(quantiles, "SMALL", small)
+        got = quantiles.exact_medians(df, "v", "g")
+        for g in set(map(int, groups)):
+            assert got[str(g)] == pytest.approx(float(np.median(values[groups == g])), abs=1e-12)
+        assert got["nulls"] is None and set(got) == {*map(str, set(groups.tolist())), *("0", "nulls")}
+        assert quantiles.exact_medians(df, "v") == {None: pytest.approx(float(np.median(values)), abs=1e-12)}
+    assert quantiles.exact_medians(df.limit(0), "v") == {}
+
+
+def test_exact_median_missed_bracket(spark, monkeypatch):
+    """A cut beside the middle is noticed and taken back; few values with many rows end too."""
+    narrow, calls = quantiles._Bracket.narrow, []
+
+    def miss(self, q, below, inside):
+        narrow(self, q, below, inside)
+        calls.append(self.slack)
+        if len(calls) == 1:
+            self.low, self.high = q[-3], q[-2]
+
+    monkeypatch.setattr(quantiles, "SMALL", 20)
+    monkeypatch.setattr(quantiles._Bracket, "narrow", miss)
+    df = spark.range(5000).select((F.col("id") * F.col("id") % 4999).cast("double").alias("v"))
+    assert quantiles.exact_medians(df, "v")[None] == float(np.median([i * i % 4999 for i in range(5000)])) and calls[1] == 2
+    two = spark.range(4000).select(F.when(F.col("id") < 2000, 1.0).otherwise(2.0).alias("v"))
+    assert quantiles.exact_medians(two, "v")[None] == 1.5
 
 
 def test_folds():
