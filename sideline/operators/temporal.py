@@ -280,6 +280,31 @@ def latest_per_history(df: DataFrame, keys: Sequence[str] = HISTORY) -> DataFram
     return df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
 
 
+def asof_join(requests: DataFrame, rows: DataFrame, *, keys: Sequence[str] = HISTORY, at: str = "target_week", week: str = "week",
+              columns: Sequence[str]) -> DataFrame:
+    """Every request with ``columns`` of the last row of its key before the request's week, and that row's week as ``as_of_week``.
+
+    Requests and rows are sorted together, a request ahead of the rows of its own week, and the last row is carried along: one
+    shuffle and one sort answer any number of weeks per key, without a range join. Requests without an earlier row, or
+    without a week or key, come back with nulls; repeated requests each come back.
+    """
+    found = F.struct(F.col(week).alias("as_of_week"), *columns)
+    kinds = rows.select(found.alias("_row")).schema["_row"].dataType, requests.select(F.struct(*requests.columns).alias("_request")).schema["_request"].dataType
+    asked = requests.select(*keys, F.col(at).cast("double").alias("_at"), F.lit(0).alias("_side"), F.struct(*requests.columns).alias("_request"), F.lit(None).cast(kinds[0]).alias("_row"))
+    known = rows.select(*keys, F.col(week).cast("double").alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(kinds[1]).alias("_request"), found.alias("_row"))
+    so_far = Window.partitionBy(*keys).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = F.lit(True)
+    for c in (*keys, at):
+        whole = whole & F.col(f"_request.{c}").isNotNull()
+    both = asked.unionByName(known).withColumn("_last", F.last("_row", ignorenulls=True).over(so_far)).where("_request IS NOT NULL")
+    return both.withColumn("_last", F.when(whole, F.col("_last"))).select("_request.*", "_last.*")
+
+
+def features_asof(history: DataFrame, requests: DataFrame, columns: Sequence[str], *, dense: Collection[str] = ()) -> DataFrame:
+    """Feature columns for a table of requests (player_id, season, target_week): each from the games before its own week."""
+    return asof_join(requests, player_features(history, dense=dense), columns=columns)
+
+
 def features_before(
     history: DataFrame, target_week: int, *, dense: Collection[str] = ()
 ) -> DataFrame:

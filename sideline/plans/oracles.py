@@ -531,6 +531,10 @@ O["feature_scores"] = _sql(
     f"""SELECT {KEYS}, {r6s('fantasy_per_target', 'fantasy_per_carry', 'td_rate', 'opportunity_score', 'opportunity_momentum',
  'efficiency_score', 'td_dependency', 'sustainability_risk', 'production_momentum', 'trend_gap')}, games_played FROM feats""", "feats")
 cte("before_feats", _features(f"(SELECT * FROM history WHERE week < {WEEK})"), "history")
+O["asof_requests"] = _sql(f"""
+SELECT r.player_id, r.season, r.target_week, f.week AS as_of_week, {r6s('fantasy_points_ewma', 'targets_roll3', 'opportunity_score')}, games_played
+FROM (SELECT player_id, season, unnest([1, 3, 6, 9, 12, 20]) AS target_week FROM (SELECT DISTINCT player_id, season FROM usage_t)) r
+ASOF LEFT JOIN feats f ON r.player_id = f.player_id AND r.season = f.season AND r.target_week > f.week""", "usage_t", "feats")
 O["live_features"] = _sql(
     f"""SELECT {KEYS}, {r6s('fantasy_points_ewma', 'targets_roll3', 'opportunity_score')}, games_played FROM before_feats
 QUALIFY row_number() OVER (PARTITION BY player_id, season ORDER BY week DESC) = 1""", "before_feats")
@@ -795,7 +799,5 @@ LEFT JOIN (SELECT h, list(m ORDER BY i) AS m, list(s ORDER BY i) AS s FROM fold_
 O["fold_ridge_metrics"] = _sql(_metrics("fold_scored", {"Baseline projection": "baseline_projection", "Machine Learned Weight Values": "ridge"}, "season, "), "fold_scored").replace("WITH ", "WITH RECURSIVE ", 1)
 cte("timed_events", "SELECT * FROM events_t", "events_t")
 O["stream_events"] = O["event_rollup"]
-O["stream_status"] = _sql("""
-SELECT player_id, week, status, injury_flag FROM injuries WHERE injury_flag <> ''
-QUALIFY row_number() OVER (PARTITION BY player_id ORDER BY week DESC, updated DESC, status DESC, injury DESC) = 1""", "injuries")
+O["stream_status"] = _sql("SELECT * FROM status", "status")
 O["stream_gate"] = _sql("SELECT player_id, season, target_week, team, kickoff_status FROM rival_g", "rival_g")

@@ -426,6 +426,15 @@ def feature_scores(spark, sf_dir):
     return show(history_features(spark, sf_dir), *KEYS, *SCORES)
 
 
+@query
+def asof_requests(spark, sf_dir):
+    """Many target weeks of every player-season at once."""
+    usage = B.usage(spark, sf_dir)
+    requests = usage.select("player_id", "season").distinct().select("*", F.explode(F.array(*[F.lit(w) for w in (1, 3, 6, 9, 12, 20)])).alias("target_week"))
+    found = temporal.features_asof(temporal.with_carryover(usage), requests, ["fantasy_points_ewma", "targets_roll3", "opportunity_score", "games_played"], dense=DENSE_METRICS)
+    return show(found)
+
+
 @query
 def live_features(spark, sf_dir):
     df = temporal.features_before(temporal.with_carryover(B.usage(spark, sf_dir)), WEEK, dense=DENSE_METRICS)
@@ -919,11 +928,12 @@ def multi_fold_report(spark, sf_dir):
 # --------------------------------------------------------------- streaming
 
 
-def _stream(spark, df: DataFrame, name: str) -> DataFrame:
-    """The rows as a file stream: written once, then read as they arrive."""
+def _stream(spark, df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """The rows as a file stream: written once, then read as they arrive, so many files a batch if given."""
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
 
 
 def _drain(spark, stream: DataFrame, name: str) -> DataFrame:
@@ -950,10 +960,9 @@ def stream_events(spark, sf_dir):
 def stream_status(spark, sf_dir):
     injuries = status.standardize_injuries(B.raw_injuries(spark, sf_dir), ascii_only=True)
     path = scratch(spark, "status")
-    streams.stream_latest_status(_stream(spark, injuries, "injuries"), path, f"status_{new_id()}").awaitTermination()
-    versions = spark.read.parquet(path)
-    newest = versions.agg(F.max("version").alias("version"))
-    return versions.join(newest, "version", "left_semi").select("player_id", "week", "status", "injury_flag")
+    arriving = _stream(spark, injuries.repartition(4), "injuries", files=1)
+    streams.write_changes(streams.stream_latest_status(arriving, 20), path, f"status_{new_id()}").awaitTermination()
+    return streams.current_status(spark, path).select("player_id", "injury_flag", "injury_note", "season_ending")
 
 
 @query

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sideline.operators.compare import pregame_gate
 from sideline.operators.events import event_rollup
+from sideline.operators.status import injury_note, season_ending
 from sideline.session import shared_dir
 
 
@@ -31,34 +36,61 @@ def stream_event_rollup(plays: DataFrame, *, week_end: Column, time_column: str
     )
 
 
-def stream_latest_status(injuries: DataFrame, path: str, name: str = "latest_status") -> StreamingQuery:
-    """Keep the newest flagged status per player in a versioned table.
+STATUS = "player_id string, week int, status string, injury string, updated_us long, injury_flag string, injury_note string, season_ending boolean"
+_STATE = "week int, undated boolean, updated_us long, status string, injury string"
+
+
+def _newest_of(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """One player's newest flagged row of a batch, if it is newer than the one in the state. Holds one row at a time."""
+    old = best = tuple(state.get) if state.exists else None
+    row = None
+    for batch in batches:
+        columns = ("week", "status", "injury", "updated_us", "injury_flag", "injury_note", "season_ending")
+        for week, status, injury, updated, flag, note, ending in zip(*(batch[c].tolist() for c in columns), strict=True):
+            undated = updated is None or updated != updated
+            order = (int(week), undated, 0 if undated else int(updated), status, injury)
+            if best is None or order > best:
+                best, row = order, (key[0], int(week), status, injury, None if undated else int(updated), flag, note, bool(ending))
+    if best != old:
+        state.update(best)
+        yield pd.DataFrame([row], columns=[c.split(" ")[0] for c in STATUS.split(", ")]).astype({"updated_us": "Int64"})
 
-    Each batch is reduced to one row per player, merged with the last version
-    and written as the next one; a batch that is run again writes the same
-    version again.
+
+def stream_latest_status(injuries: DataFrame, target_week: int) -> DataFrame:
+    """Newest unavailability per player up to a week, as a stream of changes: a row whenever a player has a newer one.
+
+    State is one small row per player (`latest_status`'s sort key). Rows that leave a player available are dropped first, so a
+    cleared player keeps an older flag, as in the batch form.
     """
-    spark = injuries.sparkSession
-
-    def merge(batch: DataFrame, epoch: int) -> None:
-        order = F.struct("week", F.col("updated").isNull(), "updated", "status", "injury")
-        row = F.struct("week", "updated", "status", "injury", "injury_flag")
-        flagged = batch.where(F.col("injury_flag") != "").select(
-            "player_id", "week", "updated", "status", "injury", "injury_flag"
-        )
-        if epoch > 0:
-            flagged = flagged.unionByName(batch.sparkSession.read.parquet(f"{path}/version={epoch - 1}"))
-        merged = flagged.groupBy("player_id").agg(F.max_by(row, order).alias("r")).select("player_id", "r.*")
-        merged.write.mode("overwrite").parquet(f"{path}/version={epoch}")
+    flagged = injuries.where((F.col("week") <= target_week) & (F.col("injury_flag") != ""))
+    rows = flagged.select(
+        "player_id", "week", "status", "injury", F.unix_micros("updated").alias("updated_us"), "injury_flag", injury_note().alias("injury_note"),
+        season_ending().alias("season_ending"),
+    )
+    return rows.groupBy("player_id").applyInPandasWithState(_newest_of, STATUS, _STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+def write_changes(changes: DataFrame, path: str, name: str) -> StreamingQuery:
+    """Append each batch's changes as its own part; a batch that is run again writes the same part again."""
+
+    def append(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={epoch}")
 
     return (
-        injuries.writeStream.foreachBatch(merge)
-        .option("checkpointLocation", checkpoint_location(spark, name))
+        changes.writeStream.outputMode("update").foreachBatch(append)
+        .option("checkpointLocation", checkpoint_location(changes.sparkSession, name))
         .trigger(availableNow=True)
         .start()
     )
 
 
+def current_status(spark: SparkSession, path: str) -> DataFrame:
+    """The newest change of every player from the parts written so far."""
+    parts = spark.read.schema(f"{STATUS}, batch long").parquet(path)
+    row = F.struct(*[c for c in parts.columns if c not in ("player_id", "batch")])
+    return parts.groupBy("player_id").agg(F.max_by(row, "batch").alias("r")).select("player_id", "r.*")
+
+
 def stream_pregame_gate(captures: DataFrame, kickoffs: DataFrame) -> DataFrame:
     """Captures of a stream marked against the static kickoff table."""
     return pregame_gate(captures, kickoffs, strict=False)

@@ -1,7 +1,11 @@
 """Streams over several batches."""
 
+import itertools
+
 from pyspark.sql import functions as F
 
+from sideline.operators import status
+from sideline.streaming import streams
 from sideline.streaming.streams import stream_event_rollup
 
 
@@ -17,3 +21,36 @@ def test_week_of_several_days(spark, tmp_path):
         out.trigger(availableNow=True).start().awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).select("season", "week", "player_id", "extra_points_made").collect()
     assert sorted(map(tuple, got)) == [(2024, 1, "k", 2.0), (2024, 2, "k", 1.0)]
+
+
+def test_status_changes(spark, tmp_path):
+    """Over batches in any order the current status is that of the batch form; a batch without news for a player writes no row for them."""
+    rows = [
+        ("a", "1", "Out", "knee", "2024-09-01 10:00:00"), ("a", "2", "Questionable", "knee", "2024-09-08 10:00:00"), ("a", "2", "IR", "out for season", None),
+        ("b", "3", "Out", "", "2024-09-15 10:00:00"), ("b", "3", "Out", "", "2024-09-15 09:00:00"), ("b", "9", "Out", "late", "2024-10-15 10:00:00"), ("c", "x", "Out", "", None),
+    ]
+    schema = "player_id string, week string, status string, injury string, updated string"
+    feed = status.standardize_injuries(spark.createDataFrame(rows, schema))
+    want = sorted(map(tuple, status.latest_status(feed, 5).collect()))
+    for n, order in enumerate(itertools.islice(itertools.permutations(rows), 0, 5040, 2500)):
+        source, out = tmp_path / f"in{n}", str(tmp_path / f"out{n}")
+        arriving = status.standardize_injuries(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source / "*")))
+        written = []
+        for i in range(0, len(order), 3):
+            spark.createDataFrame(order[i : i + 3], schema).coalesce(1).write.parquet(str(source / f"{i}"))
+            streams.write_changes(streams.stream_latest_status(arriving, 5), out, f"status-test-{tmp_path.name}-{n}").awaitTermination()
+            written.append(spark.read.parquet(out).count())
+        got = streams.current_status(spark, out).select("player_id", "injury_flag", "injury_note", "season_ending")
+        assert sorted(map(tuple, got.collect())) == want
+        assert written[-1] <= 5 and written == sorted(written)
+
+
+def test_status_large_weeks_and_repeats(spark, tmp_path):
+    """Repeated rows change nothing."""
+    schema = "player_id string, week string, status string, injury string, updated string"
+    source = tmp_path / "in"
+    arriving = status.standardize_injuries(spark.readStream.schema(schema).parquet(str(source / "*")))
+    for i in range(2):
+        spark.createDataFrame([("a", "1", "Out", "knee", "2024-09-01 10:00:00")] * 50, schema).write.parquet(str(source / f"{i}"))
+        streams.write_changes(streams.stream_latest_status(arriving, 5), str(tmp_path / "out"), f"repeat-{tmp_path.name}").awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 1

@@ -127,3 +127,21 @@ def test_usage_takes_largest_and_survives_missing_keys(spark):
     assert [(r.offense_snaps, r.offense_pct) for r in got] == [(12.0, 0.5)]
     bare = temporal.merge_usage(stats, snaps.drop("gsis_id"))
     assert bare.where("offense_pct IS NOT NULL").count() == 0
+
+
+def test_asof_join(spark):
+    """Against a plain look-up: several weeks per key, ties, weeks before any row, nulls, repeated requests, clashing columns."""
+    rows = [("p", 2024, w, float(w), "x") for w in (-1, 2, 3, 7)] + [("q", 2024, 5, 5.0, "x"), (None, 2024, 1, 9.0, "x")]
+    asks = [("p", 2024, w, f"r{w}") for w in (-1, 0, 2, 3, 4, 8, 8)] + [("q", 2024, 5, "q5"), ("q", 2024, 6, "q6"), ("z", 2024, 3, "z"), ("p", 2023, 9, "old"), (None, 2024, 3, "n"), ("p", 2024, None, "w")]
+    known = spark.createDataFrame(rows, "player_id string, season int, week int, v double, note string")
+    asked = spark.createDataFrame(asks, "player_id string, season int, target_week int, week string")
+    got = temporal.asof_join(asked, known, columns=["v"])
+    assert got.columns == ["player_id", "season", "target_week", "week", "as_of_week", "v"]
+
+    def want(p, s, w):
+        before = [(r[2], r[3]) for r in rows if p is not None and w is not None and r[:2] == (p, s) and r[2] < w]
+        return max(before) if before else (None, None)
+
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(((*a, *want(*a[:3])) for a in asks), key=str)
+    assert temporal.asof_join(asked.limit(0), known, columns=["v"]).collect() == []
+    assert all(r.v is None for r in temporal.asof_join(asked, known.limit(0), columns=["v"]).collect())
