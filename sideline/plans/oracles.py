@@ -625,6 +625,28 @@ FROM rows_v r LEFT JOIN (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION
 UNION ALL SELECT row_id, player, player_normalized, '', '', upper(team), 'DEF', 'team_defense', 100.0, team, position FROM roster WHERE position = 'DEF'""", "rows_v", "hits", "roster")
 O["roster_standard"] = _sql("SELECT * FROM roster", "roster")
 O["match_ladder"] = _sql("SELECT * EXCLUDE (team, position) FROM ladder", "ladder")
+# Spelling rung: every open name against every master name that the edit distance leaves, similarity by a bit-parallel common subsequence.
+cte("open_rows", "SELECT row_id, fb, tm FROM rows_v WHERE fb <> '' AND row_id NOT IN (SELECT row_id FROM hits)", "rows_v", "hits")
+cte("near_names", """
+SELECT fb, name, first, len(fb) + len(name) AS total,
+  list_transform(range(1, len(name) + 1), lambda j: list_sum(list_transform(range(1, len(fb) + 1), lambda i: CASE WHEN fb[i] = name[j] THEN 1::HUGEINT << (i - 1)::INT ELSE 0::HUGEINT END))::HUGEINT) AS masks,
+  (1::HUGEINT << len(fb)::INT) - 1 AS every
+FROM (SELECT DISTINCT fb FROM open_rows) JOIN (SELECT name_normalized AS name, min(player_id) AS first FROM mm GROUP BY 1)
+  ON abs(len(fb) - len(name)) * 10 <= len(fb) + len(name) AND levenshtein(fb, name) <= (len(fb) + len(name)) // 10""", "open_rows", "mm")
+cte("near_scores", """
+SELECT fb, name, first, 100.0::DOUBLE * (1.0::DOUBLE - (total - 2 * common)::DOUBLE / total) AS score FROM (
+  SELECT *, len(fb) - bit_count(list_reduce(list_concat([every], masks), lambda x, m: ((x + (x & m)) | (x - (x & m))) & every)) AS common FROM near_names)
+WHERE score >= 90 QUALIFY row_number() OVER (PARTITION BY fb ORDER BY score DESC, first) = 1""", "near_names")
+cte("near_hits", " UNION ALL ".join(
+    f"""SELECT row_id, {no} AS rung, '{method}' AS method, any_value(m.player_id) AS pid, any_value(m.display_name) AS dn, any_value(m.team) AS mt, any_value(m.position) AS mp,
+  any_value(m.name_normalized) AS mn, any_value(score) AS score FROM open_rows r JOIN near_scores s USING (fb) JOIN mm m ON m.name_normalized = s.name AND {cond} GROUP BY row_id HAVING count(*) = 1"""
+    for no, method, cond in ((1, "fuzzy_name_team", "m.team = r.tm AND r.tm <> ''"), (2, "fuzzy_name", "true"))), "open_rows", "near_scores", "mm")
+O["match_fuzzy"] = _sql("""
+SELECT row_id, CASE WHEN h.pid IS NOT NULL AND len(vs) > 0 THEN dn ELSE l.player END AS player, CASE WHEN h.pid IS NOT NULL AND len(vs) > 0 THEN mn ELSE l.player_normalized END AS player_normalized,
+  coalesce(pid, l.nflverse_player_id) AS nflverse_player_id, coalesce(dn, l.nflverse_name) AS nflverse_name, coalesce(mt, l.nflverse_team) AS nflverse_team,
+  coalesce(mp, l.nflverse_position) AS nflverse_position, coalesce(method, l.match_method) AS match_method, coalesce(round(score, 1), l.match_confidence) AS match_confidence
+FROM ladder l LEFT JOIN (SELECT * FROM near_hits QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY rung) = 1) h USING (row_id)
+LEFT JOIN (SELECT row_id, vs FROM rows_v) USING (row_id)""", "ladder", "near_hits", "rows_v")
 O["mapping_counters"] = _sql("""
 SELECT count(*) FILTER (WHERE position <> 'DEF') AS individuals, count(*) FILTER (WHERE position <> 'DEF' AND nflverse_player_id <> '') AS matched_individuals,
   count(*) FILTER (WHERE position = 'DEF') AS team_defenses, count(*) FILTER (WHERE position <> 'DEF' AND nflverse_player_id = '') AS unmatched_individuals FROM ladder""", "ladder")
