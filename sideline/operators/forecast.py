@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sideline.functions.numeric import (
-    above, at_least, at_most, below, clip, finite_or_zero, floor_zero, row_std, zero_if_null,
+    SLACK, above, at_least, at_most, below, clip, finite_or_zero, floor_zero, row_std, zero_if_null,
 )
 
 # fixed values
@@ -120,6 +120,11 @@ def signal_chips(df: DataFrame) -> DataFrame:
     return df.withColumn("signals", F.when(F.size(chips) == 0, F.array(F.lit("Stable"))).otherwise(chips))
 
 
+def _tenths(c: Column) -> Column:
+    """A number to one decimal, halves up; the slack decides halves alike whatever the order of a sum."""
+    return F.floor((c + SLACK) * 10 + 0.5) / 10
+
+
 def explanation_columns(df: DataFrame) -> DataFrame:
     """Signal text with its component values, and how the confidence came about.
 
@@ -139,13 +144,13 @@ def explanation_columns(df: DataFrame) -> DataFrame:
         }
     )
     signal = F.format_string(
-        "%s: %s Momentum of use %.1f and of points %.1f, gap %.1f, touchdown share %.0f%%.",
+        "%s: %s Momentum of use %.1f and of points %.1f, gap %.1f, touchdown share %d%%.",
         label,
         F.coalesce(F.try_element_at(texts, label), F.lit(SIGNAL_TEXT["Stable"])),
-        zero_if_null(F.col("opportunity_momentum")),
-        zero_if_null(F.col("production_momentum")),
-        zero_if_null(F.col("trend_gap")),
-        zero_if_null(F.col("td_dependency")) * 100,
+        _tenths(zero_if_null(F.col("opportunity_momentum"))),
+        _tenths(zero_if_null(F.col("production_momentum"))),
+        _tenths(zero_if_null(F.col("trend_gap"))),
+        F.floor(zero_if_null(F.col("td_dependency")) * 100 + SLACK + 0.5),
     )
     early = F.format_string(
         "%d games so far; a confidence needs three.",
@@ -154,9 +159,9 @@ def explanation_columns(df: DataFrame) -> DataFrame:
     full = F.format_string(
         "50%% and %.1f for consistency and %.1f for opportunity make %.1f%%.%s"
         " Based on a volatility of %.1f, an opportunity score of %.1f and %d games.",
-        F.col("consistency_part"), F.col("opportunity_part"), F.col("raw_confidence"),
+        _tenths(F.col("consistency_part")), _tenths(F.col("opportunity_part")), _tenths(F.col("raw_confidence")),
         F.when(F.col("confidence_bound") != "", F.concat(F.lit(" "), F.col("confidence_bound"))).otherwise(""),
-        F.col("volatility"), zero_if_null(F.col("opportunity_score")), F.col("games_played").cast("long"),
+        _tenths(F.col("volatility")), _tenths(zero_if_null(F.col("opportunity_score"))), F.col("games_played").cast("long"),
     )
     return df.withColumns(
         {

@@ -7,6 +7,7 @@ as a list fold, the windows are spelled out, the ladder is one join per rung.
 
 from __future__ import annotations
 
+from sideline.operators.forecast import SIGNAL_TEXT
 from sideline.schemas import (
     EVENT_COLUMNS, FEATURE_METRICS, MODEL_FEATURES, MOMENTUM_METRICS, OFFENSE, SNAPSHOT_COLUMNS,
 )
@@ -564,7 +565,18 @@ O["reasons"] = _sql(f"SELECT {KEYS}, why FROM proj", "proj")
 O["signals"] = _sql(f"SELECT {KEYS}, signals FROM proj", "proj")
 O["explanations"] = _sql(
     f"""SELECT {KEYS}, {r6s('consistency_part', 'opportunity_part', 'raw_confidence')},
-CASE WHEN round(raw_confidence, 9) > 90 THEN 'Bound at 90%.' WHEN round(raw_confidence, 9) < 20 THEN 'Bound at 20%.' ELSE '' END AS confidence_bound FROM proj""", "proj")
+CASE WHEN round(raw_confidence, 9) > 90 THEN 'Held at 90%.' WHEN round(raw_confidence, 9) < 20 THEN 'Held at 20%.' ELSE '' END AS confidence_bound FROM proj""", "proj")
+_TENTHS = lambda c: f"floor(({c} + 5e-10) * 10 + 0.5) / 10"
+_SAY = "CASE classification " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SIGNAL_TEXT.items()) + f" ELSE '{SIGNAL_TEXT['Stable']}' END"
+O["explanation_texts"] = _sql(f"""
+SELECT {KEYS}, printf('%s: %s Momentum of use %.1f and of points %.1f, gap %.1f, touchdown share %d%%.', classification, {_SAY}, {_TENTHS(z('opportunity_momentum'))},
+    {_TENTHS(z('production_momentum'))}, {_TENTHS(z('trend_gap'))}, floor({z('td_dependency')} * 100 + 5e-10 + 0.5)::BIGINT) AS signal_text,
+  CASE WHEN games_played < 3 THEN printf('%d games so far; a confidence needs three.', games_played)
+  ELSE printf('50%% and %.1f for consistency and %.1f for opportunity make %.1f%%.%s Based on a volatility of %.1f, an opportunity score of %.1f and %d games.',
+    {_TENTHS('consistency_part')}, {_TENTHS('opportunity_part')}, {_TENTHS('raw_confidence')},
+    CASE WHEN round(raw_confidence, 9) > 90 THEN ' Held at 90%.' WHEN round(raw_confidence, 9) < 20 THEN ' Held at 20%.' ELSE '' END,
+    {_TENTHS('volatility')}, {_TENTHS(z('opportunity_score'))}, games_played) END AS confidence_text
+FROM proj""", "proj")
 cte("final", f"SELECT *, CASE WHEN week % 2 = 0 THEN {RIDGE} ELSE baseline_projection END AS projection FROM proj", "proj")
 O["final_projection"] = _sql(
     f"""SELECT {KEYS}, {r6s('projection')}, {r6('greatest(0.0::DOUBLE, projection - 1.15 * volatility)', 'range_low')},
@@ -625,6 +637,14 @@ FROM rows_v r LEFT JOIN (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION
 UNION ALL SELECT row_id, player, player_normalized, '', '', upper(team), 'DEF', 'team_defense', 100.0, team, position FROM roster WHERE position = 'DEF'""", "rows_v", "hits", "roster")
 O["roster_standard"] = _sql("SELECT * FROM roster", "roster")
 O["match_ladder"] = _sql("SELECT * EXCLUDE (team, position) FROM ladder", "ladder")
+O["match_overrides"] = _sql("""
+SELECT row_id, CASE WHEN a.n IS NULL THEN l.player ELSE r.player END AS player, CASE WHEN a.n IS NULL THEN l.player_normalized ELSE r.player_normalized END AS player_normalized,
+  CASE WHEN a.n IS NULL THEN nflverse_player_id ELSE 'A' || a.n END AS nflverse_player_id, CASE WHEN a.n IS NULL THEN nflverse_name ELSE upper(r.player_normalized) END AS nflverse_name,
+  CASE WHEN a.n IS NULL THEN nflverse_team ELSE 'KC' END AS nflverse_team, CASE WHEN a.n IS NULL THEN nflverse_position ELSE 'WR' END AS nflverse_position,
+  CASE WHEN a.n IS NULL THEN match_method ELSE 'explicit_override' END AS match_method, CASE WHEN a.n IS NULL THEN match_confidence ELSE 100.0 END AS match_confidence
+FROM ladder l JOIN (SELECT row_id, player, player_normalized, position FROM roster) r USING (row_id) LEFT JOIN (
+  SELECT player_normalized AS k, min(row_id) AS n FROM roster WHERE position <> 'DEF' GROUP BY 1 HAVING min(row_id) LIKE '%0') a ON r.position <> 'DEF' AND a.k = r.player_normalized""", "ladder", "roster")
+
 # Spelling rung: every open name against every master name that the edit distance leaves, similarity by a bit-parallel common subsequence.
 cte("open_rows", "SELECT row_id, fb, tm FROM rows_v WHERE fb <> '' AND row_id NOT IN (SELECT row_id FROM hits)", "rows_v", "hits")
 cte("near_names", """
