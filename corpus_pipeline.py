@@ -31,9 +31,7 @@ def source_mixing(spark, docs, sf_dir):
 
 
 def byte_bpe(spark, docs, sf_dir):
-    codec = bpe.Codec(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    coded = docs.select("doc_id", "lang", "source", "n_chars", codec.encode(F.col("text")).alias("ids"))
-    return coded.select("*", codec.digest(F.col("ids")).alias("_out")).select("doc_id", "lang", "source", "n_chars", "ids", "_out.*")
+    return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), ["doc_id", "lang", "source", "n_chars"])
 
 
 STAGES = [

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sideline.llm.common import stored
+from sideline.llm.common import stored, text_slices, work_tables
 
 MAX_LABELLED, MAX_POOL = 12_000, 8_000
 ROUNDS, SURE, PER_ROUND = 4, 0.995, 0.05  # rounds, least confidence, largest share of the pool given over per round and view
@@ -180,7 +180,7 @@ def _rows_of(batch, first: int):
 
 
 def _sampled(batches):
-    for batch in batches:
+    for batch in text_slices(batches):
         both = [features(t.as_py(), lang, source, n) for t, lang, source, n in _rows_of(batch, 1)]
         binary = lambda k: pa.array([b[k].astype(np.float32).tobytes() for b in both], pa.binary())  # noqa: B023, E731
         yield pa.RecordBatch.from_arrays([batch.column(0), binary(0), binary(1)], names=SAMPLE.names)
@@ -192,7 +192,7 @@ SCORED = T.StructType([T.StructField("key", T.LongType())] + [T.StructField(c, T
 def _scorer(shared):
     def run(batches):
         fitted = shared.value
-        for batch in batches:
+        for batch in text_slices(batches):
             both = [features(t.as_py(), lang, source, n) for t, lang, source, n in _rows_of(batch, 1)]
             n = len(both)
             if fitted is None or not n:
@@ -213,6 +213,11 @@ def _columns() -> list:
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality"):
     """Both classifiers with their calibrations, or None without labels of both classes."""
+    with work_tables():
+        return _fit(docs, labels, key, label)
+
+
+def _fit(docs: DataFrame, labels: DataFrame, key: str, label: str):
     marked = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).cast("long").alias("id")).agg(F.min(F.col(label).cast("int")).alias("label"))
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), *_columns()).mapInArrow(_sampled, SAMPLE)
     # Repeated rows of an id are reduced to the lowest before anything is counted or collected, in the tasks that read them first.
@@ -248,7 +253,7 @@ def kept_only(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: st
     at = [docs.columns.index(c) for c in ("text", "lang", "source", "n_chars")]
 
     def keep(batches):
-        for batch in batches:
+        for batch in text_slices(batches, at[0]):
             pick = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), *(batch.column(i) for i in at)], names=["key", "text", "lang", "source", "n_chars"])
             for scored in _scorer(shared)(iter([pick])):
                 odds = scored.column(3).to_pylist()
