@@ -10,11 +10,12 @@ Jaccard distance is a metric, and two documents link when it is at most ``r = 1
    the same first shingle as often as they are similar). A cell's pivots are a few of its documents; all others are
    compared with them, ``PIVOTS`` comparisons a document, and links join components. A document's nearest pivot so far is
    its home.
-4. Regions, exactly. Step 2 is repeated on whole sets, with components for classes. What is left is put into the regions of
-   its boundary shingles: with shingles ordered by rarity, those without a partner first, a link must have its first common
-   shingle among the first ``e + 1`` of both sets, so each set is replicated to those regions. Two documents of different
-   components are compared once, in the region of their first common shingle, if their sizes, the places of that shingle and
-   the triangle inequality allow a link: two documents of one home ``p`` only if ``|d(x, p) - d(y, p)| <= r``.
+4. Regions, exactly. Step 2 is repeated on whole sets, with components for classes. With shingles ordered by rarity, those
+   without a partner first, a link must have its first common shingle among the first ``e + 1`` of both sets: their boundary
+   shingles. Each component is now the region of its *hub*, the pivot nearest to most of its sets, and knows its sets'
+   distances from it. A set meets the regions it shares a boundary shingle with, is compared with their hubs, and by the
+   triangle inequality can link only with members whose distance from the hub differs from its own by at most ``r``: it is
+   replicated to those windows (cells of width ``r``) and compared with their members that share a boundary shingle.
 
 Documents as pivots of the whole corpus would not do: nearly all documents are at distance 1 from all of them, so every
 window would hold everything. Hence the cells of single shingles, and document pivots inside them. A large group of near
@@ -30,17 +31,15 @@ one id with different texts may lie in different components. Columns other than
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sideline.llm.common import stored
+from sideline.llm.common import stored, text_slices, work_tables
 
 SMALL = 128  # sets below this size report all their shingles
 PIVOTS = (2, 4, 6)  # of a cell in each turn; more of them leave less to the regions
@@ -76,18 +75,6 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
-def _slices(batches: Iterator[pa.RecordBatch], chars: int = 8_000_000) -> Iterator[pa.RecordBatch]:
-    """Batches cut where their texts would make large arrays."""
-    for batch in batches:
-        text = batch.column(1)
-        reach = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(text), 0)))
-        at = 0
-        while at < len(reach):
-            end = max(at + 1, int(np.searchsorted(reach, (reach[at - 1] if at else 0) + chars, "right")))
-            yield batch.slice(at, end - at)
-            at = end
-
-
 def _reported(percent: int) -> int:
     """Hashes below this (unsigned) are those that large sets report."""
     return min(2**64 - 1, int(2**64 * 1.4 * (1 - percent / 100)))
@@ -97,7 +84,7 @@ def _sketcher(words: int, percent: int):
     top = np.uint64(_reported(percent))
 
     def run(batches):
-        for batch in _slices(batches):
+        for batch in text_slices(batches):
             sets = [shingle_hashes(t.as_py(), words) for t in batch.column(1)]
             samples = [s if len(s) < SMALL else s[: np.searchsorted(s, top)] for s in sets]
             yield pa.RecordBatch.from_arrays(
@@ -110,7 +97,7 @@ def _sketcher(words: int, percent: int):
 def _finder(words: int, bits):
     def run(batches):
         mask = np.frombuffer(bits.value, np.uint8)
-        for batch in _slices(batches):
+        for batch in text_slices(batches):
             out = {}
             for t in batch.column(1):
                 s = shingle_hashes(t.as_py(), words)
@@ -200,8 +187,16 @@ def _merged(comp: DataFrame, linked: DataFrame) -> DataFrame:
     return comp.join(moves, "comp", "left").select("vid", F.coalesce("low", "comp").alias("comp"))
 
 
+def _between(links: DataFrame, comp: DataFrame) -> DataFrame:
+    """Links (x, p) between different components a and b, one of each pair of components."""
+    of = lambda k, name: comp.select(F.col("vid").alias(k), F.col("comp").alias(name))
+    ends = links.join(of("x", "a"), "x").join(of("p", "b"), "p").where("a != b")
+    return ends.groupBy("a", "b").agg(F.min(F.struct("x", "p")).alias("link")).select("a", "b", "link.*")
+
+
 def _boundary(sets: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
-    """Sets that may still link across components: vid, comp, n, alone (shingles of no other component), keys (boundary shingles, rare first)."""
+    """Sets that may still link across components: vid, comp, n, alone (shingles of no other component), keys (boundary shingles, rare
+    first)."""
     rows = sets.select("vid", F.explode("shingles").alias("s")).join(comp, "vid")
     shared = rows.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("df")).where("lo < hi").select("s", "df")
     keyed = rows.select("vid", "s").join(shared, "s").groupBy("vid").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("known"))
@@ -211,43 +206,82 @@ def _boundary(sets: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     return live.select("vid", "n", "alone", F.transform(keys, lambda k: k["s"]).alias("keys")).join(comp, "vid")
 
 
-def _region_pairs(live: DataFrame, home: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, p) of different components at their first common boundary shingle, if bounds allow a link."""
-    live = stored(live.join(home.select("vid", F.col("near.p").alias("home"), F.col("near.d").alias("d")), "vid", "left"), "boundary")
-    side = lambda k: live.select(F.posexplode("keys").alias(f"at_{k}", "g"), *(F.col(c).alias(f"{c}_{k}") for c in live.columns))
-    a, b = side("a"), side("b")
-    most = F.least(F.col("n_a") - F.col("alone_a") - F.col("at_a"), F.col("n_b") - F.col("alone_b") - F.col("at_b"))
-    may = (F.col("vid_a") < F.col("vid_b")) & (F.col("comp_a") != F.col("comp_b")) & (most * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
-    near = ~F.coalesce((F.col("home_a") == F.col("home_b")) & (F.abs(F.col("d_a") - F.col("d_b")) > 1 - percent / 100 + 1e-9), F.lit(False))
-    before = lambda k: F.slice(f"keys_{k}", F.lit(1), F.col(f"at_{k}"))
-    return a.join(b, (a["g"] == b["g"]) & may & near & ~F.arrays_overlap(before("a"), before("b"))).select(F.col("vid_a").alias("x"), F.col("vid_b").alias("p"))
+def _hubs(live: DataFrame, home: DataFrame, comp: DataFrame) -> DataFrame:
+    """Per component with boundary sets: comp, hub (the pivot that is nearest to most of them), members."""
+    of = comp.select(F.col("vid").alias("p"), F.col("comp").alias("comp_p"))
+    near = live.select("vid", "comp").join(home.select("vid", F.col("near.p").alias("p")), "vid").join(of, "p").where("comp = comp_p")
+    used = near.groupBy("comp", "p").agg(F.count("*").alias("uses")).groupBy("comp").agg(F.max_by("p", F.struct("uses", "p")).alias("p"))
+    sizes = live.groupBy("comp").agg(F.count("*").alias("members"), F.min("vid").alias("least"))
+    return sizes.join(used, "comp", "left").select("comp", F.coalesce("p", "least").alias("hub"), "members")
+
+
+def _region_links(live: DataFrame, hubs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (x, p) between boundary sets of different components: every pair that the bounds leave is compared, those that a hub rules out are not.
+
+    A component is the region of its hub. A set meets a region once if they share a boundary shingle and sizes allow a link;
+    of two components the smaller one's sets go to the larger one. Its distance from the hub opens a window of width ``r`` to
+    either side, and only members in the window whose boundary shingles meet its own are compared with it.
+    """
+    r = 1 - percent / 100 + 1e-9
+    live = stored(live.join(hubs, "comp"), "boundary")
+    cell = lambda d: F.floor(F.col(d) / r).cast("int")
+    inner = _links(live.where("members > 1 AND vid != hub").select(F.col("vid").alias("x"), F.col("hub").alias("p")), sets, percent)
+    members = stored(inner.select(F.col("x").alias("vid"), "d").join(live, "vid").select("vid", "comp", "n", "alone", "keys", "d", cell("d").alias("cell")), "members")
+    # Keys of a region; a region of one set keeps its keys in order, so that a pair of such regions meets at its first common key only.
+    alone = lambda c: F.when(F.col("members") == 1, c).otherwise(F.array().cast("array<long>"))
+    each = live.select("vid", "comp", "n", "alone", "members", "hub", "keys", F.posexplode("keys").alias("at", "g"))
+    # From this shingle on, a set has at most ``rest`` shingles in common with one that it meets here first.
+    each = each.withColumns({"before": alone(F.slice("keys", F.lit(1), F.col("at"))), "rest": F.col("n") - F.col("alone") - F.col("at")})
+    own = each.select("g", "vid", F.col("comp").alias("comp_x"), F.col("n").alias("n_x"), F.col("members").alias("members_x"), F.col("before").alias("before_x"), F.col("rest").alias("rest_x"))
+    regions = each.groupBy("g", "comp", "hub", "members").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("rest"), F.first("before").alias("before"))
+    fits = (F.col("n_x") * 100 >= F.col("low") * percent) & (F.col("high") * 100 >= F.col("n_x") * percent) & (F.least("rest_x", "rest") * (100 + percent) >= (F.col("n_x") + F.col("low")) * percent)
+    larger = F.struct("members", "comp") > F.struct(F.col("members_x").alias("members"), F.col("comp_x").alias("comp"))
+    met = own.join(regions, (own["g"] == regions["g"]) & larger & fits & ~F.arrays_overlap("before_x", "before"))
+    met = stored(met.select(F.col("vid").alias("x"), F.col("hub").alias("p"), "comp", "members").distinct(), "met")
+    found = stored(_links(met.select("x", "p"), sets, percent), "hub-distances")
+    wide = met.where("members > 1").join(found.where("NOT linked"), ["x", "p"]).select("x", "comp", F.col("d").alias("d_x"), F.explode(F.sequence(F.floor((F.col("d") - r) / r).cast("int"), F.floor((F.col("d") + r) / r).cast("int"))).alias("cell"))
+    wide = wide.join(live.select(F.col("vid").alias("x"), F.col("n").alias("n_x"), F.col("alone").alias("alone_x"), F.col("keys").alias("keys_x")), "x")
+    most = F.least(F.col("n_x") - F.col("alone_x"), F.col("n") - F.col("alone"))  # shingles the two can have in common
+    may = (most * (100 + percent) >= (F.col("n_x") + F.col("n")) * percent) & F.arrays_overlap("keys_x", "keys")
+    near = (F.abs(F.col("d_x") - F.col("d")) <= r) & (F.least("n", "n_x") * 100 >= F.greatest("n", "n_x") * percent) & may
+    window = (wide["comp"] == members["comp"]) & (wide["cell"] == members["cell"]) & near
+    pairs = stored(wide.join(members, window).select("x", F.col("vid").alias("p")), "pairs")
+    return found.where("linked").select("x", "p").unionByName(_links(pairs, sets, percent).where("linked").select("x", "p"))
 
 
 def _join_regions(sets: DataFrame, percent: int) -> DataFrame:
     """Component (smallest vid) of every set that links with another, from whole sets (vid, n, shingles)."""
     comp = sets.select("vid", F.col("vid").alias("comp"))
-    links = home = None
+    links = home = None  # links found so far whose ends are not yet of one component
     for turn, count in enumerate(PIVOTS):
         found = stored(_links(_cells(sets, comp, turn, count, percent), sets, percent), "distances")
         linked = found.where("linked").select("x", "p")
-        links = linked if links is None else links.union(linked)
+        links = linked if links is None else links.unionByName(linked)
         seen = found.groupBy(F.col("x").alias("vid")).agg(F.min(F.struct("d", "p")).alias("near"))
         home = seen if home is None else home.union(seen)
         comp = stored(_merged(comp, linked), "components")
+        links = stored(_between(links, comp).select("x", "p"), "open-links")
     home = home.groupBy("vid").agg(F.min("near").alias("near"))
-    pairs = stored(_region_pairs(_boundary(sets, comp, percent), home, percent), "pairs")
-    found = stored(_links(pairs, sets, percent).where("linked").select("x", "p"), "links")
-    named = components(links.union(found).toDF("a", "b"))
-    return named.select(F.col("v").alias("vid"), F.col("label").alias("comp"))
+    live = stored(_boundary(sets, comp, percent), "live")
+    found = stored(_region_links(live, _hubs(live, home, comp), sets, percent), "links")
+    # Labels move along links of components only: a group of near copies is one vertex by now.
+    named = components(_between(links.unionByName(found), comp).select("a", "b"))
+    out = comp.join(named.select(F.col("v").alias("comp"), "label"), "comp", "left")
+    return out.select("vid", F.coalesce("label", "comp").alias("comp"))
 
 
 def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: key, n_shingles, component_id (smallest key reachable by links of at least ``percent`` similarity)."""
     lowest = -(2**63)
     texts = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(lowest)).alias("id"), F.col(text).alias("text"))
+    with work_tables() as keep:
+        return keep(_components_of(texts, words, percent, lowest, key))
+
+
+def _components_of(texts: DataFrame, words: int, percent: int, lowest: int, key: str) -> DataFrame:
     sketch = stored(texts.mapInArrow(_sketcher(words, percent), SKETCH), "sketch")
     left = stored(_could_link(sketch.where("n > 0"), percent).withColumn("vid", F.monotonically_increasing_id()), "candidates")
-    bits = docs.sparkSession.sparkContext.broadcast(_filter_bits(left))
+    bits = texts.sparkSession.sparkContext.broadcast(_filter_bits(left))
     found = texts.select("id", "text").mapInArrow(_finder(words, bits), SETS).groupBy("digest").agg(F.first("shingles").alias("shingles"))
     sets = stored(left.join(found, "digest").select("vid", "n", "shingles"), "sets")
     comp = _join_regions(sets, percent)
@@ -265,7 +299,8 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, key:
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with one of each component kept: the row of its smallest key. Columns stay; repeated rows count once."""
     found = jaccard_components(docs, words, percent, key, text)
-    keep = found.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(F.col(key).alias("_keep")).agg(F.count("*").alias("_rows"))
-    rows = docs.join(keep, F.col(key).eqNullSafe(F.col("_keep")))
-    repeated = rows.where("_rows > 1").dropDuplicates([key, text])
-    return rows.where("_rows = 1").union(repeated).select(*docs.columns)
+    keep = found.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(F.col(key).alias("kept")).agg(F.count("*").alias("n"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    both = rows.join(keep, F.col(f"row.{key}").eqNullSafe(F.col("kept")))
+    repeated = both.where("n > 1").withColumns({"k": F.col(f"row.{key}"), "t": F.col(f"row.{text}")}).dropDuplicates(["k", "t"])
+    return both.where("n = 1").select("row.*").union(repeated.select("row.*"))
