@@ -26,6 +26,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -83,11 +84,17 @@ class _Side:
 
     def __init__(self, ids: list[list[int]], table: list[bytes], sizes: np.ndarray, raws: list[bytes]):
         self.n = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.ids = np.fromiter((i for each in ids for i in each), np.int64, int(self.n.sum()))
+        flat = list(chain.from_iterable(ids))
+        self.ids = np.array(flat, np.int64)
         self.ends = np.cumsum(sizes[self.ids])
         self.first = np.cumsum(self.n) - self.n
         self.text = np.repeat(np.arange(len(ids)), self.n)
-        self.good = [b"".join([table[i] for i in each]) == raw for each, raw in zip(ids, raws, strict=True)]
+        # Texts whose bytes agree in length and in one comparison of all agree one by one.
+        sums = np.bincount(self.text, sizes[self.ids], len(ids))
+        if (sums == np.fromiter(map(len, raws), np.int64, len(raws))).all() and b"".join([table[i] for i in flat]) == b"".join(raws):
+            self.good = [True] * len(ids)
+        else:
+            self.good = [b"".join([table[i] for i in each]) == raw for each, raw in zip(ids, raws, strict=True)]
 
 
 class Pair:
@@ -112,13 +119,14 @@ class Pair:
         self.cuttable = not any(MARK in p.lstrip(MARK) for p in pieces)
         self.size_b = len(pieces)
         self.sizes_a, self.sizes_b = (np.array([len(t) for t in table], np.int64) for table in (self.bytes_a, self.bytes_b))
+        self.names_a, self.names_b = (list(map(str, range(len(table)))) for table in (self.bytes_a, self.bytes_b))
         self.memo: list[dict[str, tuple]] = [{}, {}]
 
     def align(self, texts: list[str]) -> list[tuple | None]:
         """Per text: n_a, n_b, n_groups, n_links, the groups as text, and a pair (as bytes of 64-bit numbers) for every link; None if
         bytes differ."""
         raws = [b" " + t.encode() for t in texts]
-        ids_a = [e.ids for e in self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+        ids_a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
         ids_b = self.b.encode(texts, num_threads=1)
         a, b = _Side(ids_a, self.bytes_a, self.sizes_a, raws), _Side(ids_b, self.bytes_b, self.sizes_b, raws)
         good = [x and y for x, y in zip(a.good, b.good, strict=True)]
@@ -145,27 +153,26 @@ class Pair:
         pairs = left * self.size_b + right
         texts_of = a.text[last_a]
         n_groups = np.bincount(texts_of, minlength=len(texts))
-        out, at = [], 0
-        ends = np.concatenate([[0], reach])
-        las, lbs = last_a.tolist(), last_b.tolist()
-        names_a, names_b = list(map(str, a.ids.tolist())), list(map(str, b.ids.tolist()))
-        was_a = was_b = 0
-        for n_a, n_b, n in zip(a.n.tolist(), b.n.tolist(), n_groups.tolist(), strict=True):
-            parts = []
-            for g in range(at, at + n):
-                to_a, to_b = las[g] + 1, lbs[g] + 1
-                parts.append(f"{','.join(names_a[was_a:to_a])}|{','.join(names_b[was_b:to_b])}")
-                was_a, was_b = to_a, to_b
-            lo, hi = ends[at], ends[at + n]
-            out.append((n_a, n_b, n, int(hi - lo), ";".join(parts), pairs[lo:hi].tobytes()))
-            at += n
+        of_a, of_b = self.names_a, self.names_b
+        left, right = [of_a[i] for i in a.ids.tolist()], [of_b[i] for i in b.ids.tolist()]
+        to_a, to_b = (last_a + 1).tolist(), (last_b + 1).tolist()
+        names = [
+            f"{left[i]}|{right[k]}" if i + 1 == j and k + 1 == m else f"{','.join(left[i:j])}|{','.join(right[k:m])}"
+            for i, j, k, m in zip([0, *to_a], to_a, [0, *to_b], to_b, strict=False)
+        ]
+        until = np.cumsum(n_groups)
+        ends = np.concatenate([[0], reach])[until].tolist()
+        data, out, at, lo = pairs.tobytes(), [], 0, 0
+        for n_a, n_b, to, hi in zip(a.n.tolist(), b.n.tolist(), until.tolist(), ends, strict=True):
+            out.append((n_a, n_b, to - at, hi - lo, ";".join(names[at:to]), data[8 * lo : 8 * hi]))
+            at, lo = to, hi
         return out
 
-    def segments(self, texts: list[str]) -> dict[str, tuple | None]:
+    def segments(self, cut: list[list[str]]) -> dict[str, tuple | None]:
         """Alignment of every segment of some texts, from memory where it is there."""
         young, old = self.memo
         known, new = {}, []
-        for s in set().union(*(self.cut(t) for t in texts)):
+        for s in set().union(*cut):
             hit = young.get(s) or old.get(s)
             if hit is None:
                 new.append(s)
@@ -186,9 +193,10 @@ class Pair:
 
     def documents(self, texts: list[str]) -> Iterator[tuple]:
         """Per text: n_a, n_b, n_groups, n_links, groups, distinct pairs, links of each."""
-        known = self.segments([t for t in texts if t])
-        for text in texts:
-            parts = [known[s] for s in self.cut(text)] if text else []
+        cut = [self.cut(t) if t else [] for t in texts]
+        known = self.segments(cut)
+        for text, of_text in zip(texts, cut, strict=True):
+            parts = [known[s] for s in of_text]
             if not all(parts):
                 whole = self.align([text])[0] if len(parts) > 1 else None
                 parts = [whole] if whole else []
