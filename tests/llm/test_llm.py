@@ -248,6 +248,38 @@ def test_bpe(spark):
     assert bpe.round_trip(empty_docs(spark), vocabulary()).collect() == []
 
 
+def thue_morse(n):
+    """The word over a and b, and its complement: polynomial hashes modulo a power of two cannot tell the two apart."""
+    word = "".join("ab"[i.bit_count() & 1] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_bpe_equal_hashes(spark, monkeypatch):
+    """Pre-tokens of equal hashes, in one batch and alone, in either order; then with a hash that tells nothing apart."""
+    want = tiktoken_of(vocabulary())
+    words = [w for n in (1024, 2048, 4096) for w in thue_morse(n)]
+    keys = bpe.hashes(np.frombuffer("".join(words[:2]).encode(), np.uint8), np.array([0, 1024]), np.array([1024, 2048]))
+    assert keys[0] == keys[1]
+    vocab = bpe.load(vocabulary())
+    texts = [*words, *words[::-1], f"{words[0]} {words[1]} {words[0]}", f"{words[1]} x {words[0]}"]
+    for text, ids in zip(texts, vocab.encode(texts), strict=True):
+        assert ids.tolist() == want.encode_ordinary(text) == vocab.encode([text])[0].tolist()
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id: list(r.ids) for r in bpe.encode_documents(docs, vocabulary()).collect()} == {i: want.encode_ordinary(t) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.n_tokens for r in token_counts.document_counts(docs, vocabulary=vocabulary()).collect()} == {i: len(want.encode_ordinary(t)) for i, t in enumerate(texts)}
+    monkeypatch.setattr(bpe, "hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64))
+    assert [i.tolist() for i in vocab.encode(["ab cd ef ab cd", "cd", "longer words of all kinds"])] == [want.encode_ordinary(t) for t in ("ab cd ef ab cd", "cd", "longer words of all kinds")]
+
+
+def test_bpe_columns(spark):
+    """Other columns, of any name and null, pass the encoder; ids decode to the text."""
+    docs = odd_docs(spark).withColumnsRenamed({"size": "row", "shard": "ids_", "spans": "text_"})
+    got = bpe.encode_documents(docs, vocabulary(), ["doc_id", "lang", "row", "ids_", "text_"])
+    assert got.columns == ["doc_id", "lang", "row", "ids_", "text_", "ids", "n_tokens", "ids_sha256", "decoded_sha256"]
+    back = got.select("doc_id", bpe.decode_ids(spark, vocabulary(), F.col("ids")).alias("bytes"))
+    assert Counter((r.doc_id, bytes(r.bytes)) for r in back.collect()) == Counter((r.doc_id, (r.text or "").encode()) for r in texts_of(docs))
+
+
 # 6
 
 
@@ -406,6 +438,18 @@ def test_jaccard_odd(spark):
     assert jaccard.jaccard_components(empty_docs(spark)).collect() == []
 
 
+def test_one_of_each_odd(spark):
+    """Odd documents, and columns named like the operator's own."""
+    docs = odd_docs(spark).withColumnsRenamed({"size": "n", "shard": "kept", "spans": "row"}).withColumns({"_keep": F.lit(1), "_rows": F.lit(2), "k": F.lit("x")})
+    got = jaccard.one_of_each(docs)
+    assert got.columns == docs.columns
+    rows = [(r.doc_id, r.text) for r in texts_of(docs)]
+    # Documents without words are linked with nothing: each id of theirs stays. A repeated id stays once for each of its texts.
+    ids = {c for _, _, c in brute_components(rows, 5, 80)}
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter({(k, t) for k, t in rows if k in ids})
+    assert jaccard.one_of_each(docs.limit(0)).collect() == []
+
+
 def test_one_of_each(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in texts_of(docs)]
