@@ -15,7 +15,9 @@ Jaccard distance is a metric, and two documents link when it is at most ``r = 1
    shingles. Each component is now the region of its *hub*, the pivot nearest to most of its sets, and knows its sets'
    distances from it. A set meets the regions it shares a boundary shingle with, is compared with their hubs, and by the
    triangle inequality can link only with members whose distance from the hub differs from its own by at most ``r``: it is
-   replicated to those windows (cells of width ``r``) and compared with their members that share a boundary shingle.
+   replicated to those windows (cells of width ``r``) and compared with their members that share a boundary shingle. The
+   comparison is part of the join's condition: inside a group of near copies, where bounds rule out little, a set may be
+   compared with every member, but only links leave the join.
 
 Documents as pivots of the whole corpus would not do: nearly all documents are at distance 1 from all of them, so every
 window would hold everything. Hence the cells of single shingles, and document pivots inside them. A large group of near
@@ -226,7 +228,8 @@ def _region_links(live: DataFrame, hubs: DataFrame, sets: DataFrame, percent: in
     live = stored(live.join(hubs, "comp"), "boundary")
     cell = lambda d: F.floor(F.col(d) / r).cast("int")
     inner = _links(live.where("members > 1 AND vid != hub").select(F.col("vid").alias("x"), F.col("hub").alias("p")), sets, percent)
-    members = stored(inner.select(F.col("x").alias("vid"), "d").join(live, "vid").select("vid", "comp", "n", "alone", "keys", "d", cell("d").alias("cell")), "members")
+    members = inner.select(F.col("x").alias("vid"), "d").join(live, "vid").join(sets.select("vid", "shingles"), "vid")
+    members = stored(members.select("vid", "comp", "n", "alone", "keys", "shingles", "d", cell("d").alias("cell")), "members")
     # Keys of a region; a region of one set keeps its keys in order, so that a pair of such regions meets at its first common key only.
     alone = lambda c: F.when(F.col("members") == 1, c).otherwise(F.array().cast("array<long>"))
     each = live.select("vid", "comp", "n", "alone", "members", "hub", "keys", F.posexplode("keys").alias("at", "g"))
@@ -240,13 +243,16 @@ def _region_links(live: DataFrame, hubs: DataFrame, sets: DataFrame, percent: in
     met = stored(met.select(F.col("vid").alias("x"), F.col("hub").alias("p"), "comp", "members").distinct(), "met")
     found = stored(_links(met.select("x", "p"), sets, percent), "hub-distances")
     wide = met.where("members > 1").join(found.where("NOT linked"), ["x", "p"]).select("x", "comp", F.col("d").alias("d_x"), F.explode(F.sequence(F.floor((F.col("d") - r) / r).cast("int"), F.floor((F.col("d") + r) / r).cast("int"))).alias("cell"))
-    wide = wide.join(live.select(F.col("vid").alias("x"), F.col("n").alias("n_x"), F.col("alone").alias("alone_x"), F.col("keys").alias("keys_x")), "x")
+    mine = live.select("vid", "n", "alone", "keys").join(sets.select("vid", "shingles"), "vid")
+    wide = wide.join(mine.toDF("x", "n_x", "alone_x", "keys_x", "shingles_x"), "x")
+    # The comparison itself is the last part of the join's condition, so what comes out is links and no pair is ever written.
     most = F.least(F.col("n_x") - F.col("alone_x"), F.col("n") - F.col("alone"))  # shingles the two can have in common
     may = (most * (100 + percent) >= (F.col("n_x") + F.col("n")) * percent) & F.arrays_overlap("keys_x", "keys")
     near = (F.abs(F.col("d_x") - F.col("d")) <= r) & (F.least("n", "n_x") * 100 >= F.greatest("n", "n_x") * percent) & may
-    window = (wide["comp"] == members["comp"]) & (wide["cell"] == members["cell"]) & near
-    pairs = stored(wide.join(members, window).select("x", F.col("vid").alias("p")), "pairs")
-    return found.where("linked").select("x", "p").unionByName(_links(pairs, sets, percent).where("linked").select("x", "p"))
+    linked = F.size(F.array_intersect("shingles_x", "shingles")) * (100 + percent) >= (F.col("n_x") + F.col("n")) * percent
+    window = (wide["comp"] == members["comp"]) & (wide["cell"] == members["cell"]) & near & linked
+    more = wide.join(members, window).select("x", F.col("vid").alias("p"))
+    return found.where("linked").select("x", "p").unionByName(more)
 
 
 def _join_regions(sets: DataFrame, percent: int) -> DataFrame:
