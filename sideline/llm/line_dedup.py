@@ -1,6 +1,6 @@
 """Line dedup by levelled sorted runs (operator 11).
 
-The index of lines is a set of *runs*: tables of ``(h, docs, lines, first)``, one row a line hash, bucketed and sorted by ``h``.
+The index of lines is a set of *runs*: tables of ``(h, docs, lines, largest)``, one row a line hash, bucketed and sorted by ``h``.
 A batch of documents is folded to one row a hash and added as a run of level 0. *Heads*, the hashes that no older run holds,
 are found by merge-anti-joins of the new run with the others, bucket by bucket without a shuffle; they say which document
 of the batch keeps the line, since earlier batches hold larger keys. Once ``fanout`` runs stand on a level they are merged
@@ -12,8 +12,8 @@ head only. Lines meet the verdicts on the hash; hashes that make up more than a
 them, whatever the table) are broadcast, so no line, however common, is sent to one task.
 
 Null texts are empty and have one empty line. A row is a document; rows that repeat a key and its text get the same result,
-and each counts as a document. A null key is the smallest. Columns other than the key and the text are ignored. Hashes are the first 16 bytes of
-a SHA-256 digest. Work tables are deleted as soon as they have been used, but for those that the result reads.
+and each counts as a document. A null key is the smallest. Columns other than the key and the text are ignored. Hashes are the
+first 16 bytes of a SHA-256 digest. Work tables are deleted as soon as they have been used, but for those that the result reads.
 """
 
 from __future__ import annotations
