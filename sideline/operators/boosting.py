@@ -1,11 +1,12 @@
 """Boosted regression trees by binned histograms, for all folds at once.
 
-The inputs are cut into at most ``BINS`` bins per feature at quantiles of the fold's own training rows and stored as blocks
-of bytes. A level of a tree is one job for all folds: each block sends its rows down the tree built so far and adds up
-gradients and counts per (node, feature, bin); the sums are merged pairwise between tasks, and only they reach the driver,
-which picks the splits. Their size depends on the settings, not on the rows. The blocks of the next tree carry their running
-forecasts with them; every ``CUT_EVERY`` trees they are written to the checkpoint folder, so a lost executor never replays
-more than that.
+The inputs are cut into at most ``BINS`` bins per feature at quantiles of the fold's own training rows and kept as blocks
+of bytes, a feature after the other. A level of a tree is one job for all folds: each block sends its rows down the tree built
+so far and adds up gradients and counts per (node, feature, bin) for the smaller child of every split; the other child is the
+parent's sums less those. Only the sums, merged between tasks, reach the driver, which picks the splits. Their size depends on
+the settings, not on the rows. There are as many tasks as the cluster has use for, each with at most ``PART_ROWS`` rows, which
+pass through it block by block. The blocks of the next tree carry their running forecasts with them; every ``CUT_EVERY`` trees
+they are written to the checkpoint folder, so a lost executor never replays more than that.
 
 RDDs hold the blocks here: the state of a block is a few arrays, and planning a DataFrame query for each of the 1,750 levels
 would cost several times the level itself.
@@ -27,8 +28,9 @@ from sideline.session import ensure_checkpointing, stored
 BINS = 64
 LAMBDA = 1.0  # fixed value: pull of a leaf towards zero
 BLOCK_ROWS = 20_000
+PART_ROWS = 4_000_000
 CUT_EVERY = 25
-FLAT_UP_TO = 16  # partitions whose sums are merged in one step
+FLAT_UP_TO = 64  # partitions whose sums are merged in one step
 BLOCK = "fold int, bins binary, y binary, ids binary"
 
 
@@ -44,28 +46,34 @@ class Trees:
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Forecasts for rows of raw feature values."""
-        bins = np.column_stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(self.edges)]) if len(x) else np.zeros((0, len(self.edges)), int)
+        bins = _bins(self.edges, [x[:, j] for j in range(len(self.edges))])
         out = np.full(len(x), self.base)
         for t in range(len(self.feature)):
-            out += self.value[t, _descend(bins, self.feature[t], self.cut[t])]
+            out += self.value[t][_descend(bins, self.feature[t], self.cut[t])]
         return out
 
 
+def _bins(edges: Sequence[np.ndarray], columns: Sequence[np.ndarray]) -> np.ndarray:
+    """Bin numbers, a row of the result for each feature."""
+    kind = np.min_scalar_type(max(len(e) for e in edges))
+    return np.stack([np.searchsorted(e, v, "left").astype(kind) for e, v in zip(edges, columns, strict=True)])
+
+
 def _descend(bins: np.ndarray, feature: np.ndarray, cut: np.ndarray) -> np.ndarray:
-    """The node in which each row ends."""
-    node = np.zeros(len(bins), np.int64)
-    rows = np.arange(len(bins))
-    while len(rows):
-        f = feature[node[rows]]
-        rows, f = rows[f >= 0], f[f >= 0]
-        at = node[rows]
-        node[rows] = 2 * at + 1 + (bins[rows, f] > cut[at])
+    """The node in which each row ends: one comparison of a feature's bins for every split, parents first."""
+    kind = np.min_scalar_type(len(feature)).type
+    node = np.zeros(bins.shape[1], kind)
+    for at in np.flatnonzero(feature >= 0).tolist():
+        move = (bins[feature[at]] > cut[at]).astype(kind)
+        move += kind(at + 1)
+        move *= node == at
+        node += move
     return node
 
 
 @dataclass
 class _Block:
-    """Rows of one fold: bins, target, a hash of each row's values, and running forecast."""
+    """Rows of one fold: bins (a row a feature), target, a hash of each row's values, and running forecast."""
 
     fold: int
     bins: np.ndarray
@@ -80,18 +88,19 @@ class _Block:
         h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return (h >> np.uint64(11)) * 2.0**-53 < share
 
-    def grow(self, feature: np.ndarray, cut: np.ndarray, first: int, columns: np.ndarray, tree: int, share: float, seed: int) -> np.ndarray:
-        """Gradients and counts (2, nodes, columns, bins) of the rows sampled for this tree, over the level that starts at node ``first``."""
-        rows = np.flatnonzero(self.sample(tree, share, seed))
-        bins = self.bins[rows]
-        node = _descend(bins, feature, cut) - first
-        on = node >= 0
-        rows, bins, node = rows[on], bins[on][:, columns], node[on]
-        nodes, k = first + 1, len(columns)
-        cell = ((node[:, None] * k + np.arange(k)) * BINS + bins).ravel()
-        size = nodes * k * BINS
-        gradient = np.repeat(self.f[rows] - self.y[rows], k)
-        return np.stack([np.bincount(cell, gradient, size), np.bincount(cell, minlength=size)]).reshape(2, nodes, k, BINS)
+    def grow(self, feature: np.ndarray, cut: np.ndarray, nodes: Sequence[int], columns: np.ndarray, tree: int, share: float, seed: int) -> np.ndarray:
+        """Gradients and counts (2, nodes, columns, bins) of the rows sampled for this tree that are in the given nodes."""
+        slot = np.full(len(feature), len(nodes))
+        slot[nodes] = np.arange(len(nodes))
+        at = slot[_descend(self.bins, feature, cut)]
+        rows = np.flatnonzero((at < len(nodes)) & self.sample(tree, share, seed))
+        cell, gradient = at[rows] * BINS, self.f[rows] - self.y[rows]
+        out = np.empty((2, len(nodes), len(columns), BINS))
+        for i, c in enumerate(columns):
+            found = cell + self.bins[c][rows]
+            out[0, :, i] = np.bincount(found, gradient, len(nodes) * BINS).reshape(-1, BINS)
+            out[1, :, i] = np.bincount(found, minlength=len(nodes) * BINS).reshape(-1, BINS)
+        return out
 
 
 def _edges(rows: DataFrame, names: Sequence[str]) -> dict[int, list[np.ndarray]]:
@@ -109,7 +118,7 @@ def _blocks(edges: Mapping[int, list[np.ndarray]]):
             out = []
             for f in np.unique(fold).tolist():
                 rows = fold == f
-                bins = np.column_stack([np.searchsorted(e, v[rows], "left") for e, v in zip(edges[f], x, strict=True)]).astype(np.uint8)
+                bins = _bins(edges[f], [v[rows] for v in x]).astype(np.uint8)
                 out.append((f, bins.tobytes(), y[rows].tobytes(), ids[rows].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 4, (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["fold", "bins", "y", "ids"])
 
@@ -117,10 +126,20 @@ def _blocks(edges: Mapping[int, list[np.ndarray]]):
 
 
 def _loaded(k: int, base: Mapping[int, float]):
+    def block(fold, parts):
+        bins, y, ids = (np.concatenate(p, axis=-1) for p in zip(*parts, strict=True))
+        return _Block(fold, bins, y, ids, np.full(len(y), base[fold]))
+
     def run(rows):
+        held = {}
         for r in rows:
             y, ids = np.frombuffer(bytes(r["y"]), np.float64), np.frombuffer(bytes(r["ids"]), np.uint64)
-            yield _Block(r["fold"], np.frombuffer(bytes(r["bins"]), np.uint8).reshape(len(y), k), y, ids, np.full(len(y), base[r["fold"]]))
+            parts = held.setdefault(r["fold"], [])
+            parts.append((np.frombuffer(bytes(r["bins"]), np.uint8).reshape(k, len(y)), y, ids))
+            if sum(len(p[1]) for p in parts) >= BLOCK_ROWS:
+                yield block(r["fold"], held.pop(r["fold"]))
+        for fold, parts in held.items():
+            yield block(fold, parts)
 
     return run
 
@@ -129,13 +148,30 @@ def _add(a: dict, b: dict) -> dict:
     return {k: a[k] + b[k] if k in a and k in b else a.get(k, b.get(k)) for k in {*a, *b}}
 
 
-def _splits(sums: np.ndarray, feature: np.ndarray, cut: np.ndarray, value: np.ndarray, first: int, columns: np.ndarray, rate: float) -> None:
-    """Choose the best split of every node of a level and set its children's values; a node without gain stays a leaf."""
+def _level(seen: np.ndarray, asked: Sequence[int], before: np.ndarray | None, first: int) -> np.ndarray:
+    """Sums (2, nodes, columns, bins) of a whole level from those of the nodes asked for and those of the level before."""
+    if before is None:
+        return seen
+    sums = np.zeros((2, first + 1, *seen.shape[2:]))
+    for i, node in enumerate(asked):
+        parent, other = (node - 1) // 2, node + 1 if node % 2 else node - 1
+        sums[:, node - first] = seen[:, i]
+        sums[:, other - first] = before[:, parent - first // 2] - seen[:, i]
+    sums[0][sums[1] == 0] = 0  # no rows, so no gradient: what is left there is rounding
+    return sums
+
+
+def _splits(sums: np.ndarray, feature: np.ndarray, cut: np.ndarray, value: np.ndarray, first: int, columns: np.ndarray, rate: float) -> list[int]:
+    """Choose the best split of every node of a level and set its children's values; a node without gain stays a leaf.
+
+    Returns the smaller child of each split.
+    """
     g, h = np.cumsum(sums, axis=-1)
     total_g, total_h = g[..., -1:], h[..., -1:]
     right_g, right_h = total_g - g, total_h - h
     gain = g**2 / (h + LAMBDA) + right_g**2 / (right_h + LAMBDA) - total_g**2 / (total_h + LAMBDA)
     gain = np.where((h >= 1) & (right_h >= 1), gain, -np.inf)
+    smaller = []
     for n, of_node in enumerate(gain):
         best = int(np.argmax(of_node))
         j, b = divmod(best, BINS)
@@ -145,6 +181,13 @@ def _splits(sums: np.ndarray, feature: np.ndarray, cut: np.ndarray, value: np.nd
         feature[node], cut[node] = columns[j], b
         for child, cg, ch in ((2 * node + 1, g[n, j, b], h[n, j, b]), (2 * node + 2, right_g[n, j, b], right_h[n, j, b])):
             value[child] = -rate * cg / (ch + LAMBDA)
+        smaller.append(2 * node + 1 if h[n, j, b] <= right_h[n, j, b] else 2 * node + 2)
+    return smaller
+
+
+def task_count(rows: int, slots: int) -> int:
+    """Partitions for so many rows: one for each slot of the cluster, fewer where a block is enough, more where ``PART_ROWS`` is not."""
+    return max(1, min(-(-rows // BLOCK_ROWS), slots * -(-rows // (slots * PART_ROWS))))
 
 
 def fit_boosted(rows: DataFrame, names: Sequence[str], settings: Mapping[str, object]) -> dict[int, Trees]:
@@ -161,31 +204,36 @@ def fit_boosted(rows: DataFrame, names: Sequence[str], settings: Mapping[str, ob
         return {}
     facts = {r["fold"]: (r["base"], r["n"]) for r in rows.groupBy("fold").agg(F.avg("y").alias("base"), F.count("*").alias("n")).collect()}
     base = {f: b for f, (b, _) in facts.items()}
-    parts = max(1, -(-sum(n for _, n in facts.values()) // BLOCK_ROWS))
-    blocks = stored(rows.repartition(parts).mapInArrow(_blocks(edges), BLOCK), "boosting-blocks").rdd.mapPartitions(_loaded(k, base)).coalesce(parts)
+    parts = task_count(sum(n for _, n in facts.values()), spark.sparkContext.defaultParallelism)
+    blocks = rows.repartition(parts).mapInArrow(_blocks(edges), BLOCK).rdd.mapPartitions(_loaded(k, base))
     blocks.persist(StorageLevel.MEMORY_AND_DISK)
+    blocks.checkpoint()
     size = 2 ** (depth + 1) - 1
     out: dict[int, list] = {f: [] for f in edges}
     before = blocks
     for tree in range(count):
         columns = np.sort(np.random.default_rng([seed, tree]).choice(k, chosen, replace=False))
         grown = {f: (np.full(size, -1), np.zeros(size, np.int64), np.zeros(size)) for f in edges}
+        asked, whole = {f: [0] for f in edges}, {}
         for level in range(depth):
+            asked = {f: nodes for f, nodes in asked.items() if nodes}
+            if not asked:
+                break
             first = 2**level - 1
-            seen = {f: (t[0].copy(), t[1].copy()) for f, t in grown.items()}
+            seen = {f: (grown[f][0].copy(), grown[f][1].copy(), nodes) for f, nodes in asked.items()}
 
-            def sums(part, seen=seen, first=first, columns=columns, tree=tree):
+            def sums(part, seen=seen, columns=columns, tree=tree):
                 added = {}
                 for b in part:
-                    feature, cut = seen[b.fold]
-                    added = _add(added, {b.fold: b.grow(feature, cut, first, columns, tree, share, seed)})
+                    if b.fold in seen:
+                        added = _add(added, {b.fold: b.grow(*seen[b.fold], columns, tree, share, seed)})
                 yield added
 
-            if level == 1 and tree:
-                before.unpersist()
             merged = blocks.mapPartitions(sums).treeReduce(_add, 1 if parts <= FLAT_UP_TO else 2)
-            for f, total in merged.items():
-                _splits(total, *grown[f], first, columns, rate)
+            if level == 0 and tree:
+                before.unpersist()
+            whole = {f: _level(total, asked[f], whole.get(f), first) for f, total in merged.items()}
+            asked = {f: _splits(total, *grown[f], first, columns, rate) for f, total in whole.items()}
         for f, t in grown.items():
             out[f].append(t)
 

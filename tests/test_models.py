@@ -132,6 +132,32 @@ def test_boosting_equals_plain(spark):
             np.testing.assert_allclose(got[fold].score(x[:share]), want, atol=1e-6)
 
 
+def test_boosting_tasks_follow_the_cluster():
+    """A level is a job: its tasks do not grow with the rows until a task would hold too many."""
+    assert boosting.task_count(100, 12) == 1
+    assert boosting.task_count(5_000_000, 12) == boosting.task_count(30_000_000, 12) == 12
+    assert boosting.task_count(10**9, 12) == 252
+
+
+def test_boosting_measures_smaller_children():
+    """Of two children only the smaller is summed over rows; the other is the parent's sums less those."""
+    rng = np.random.default_rng(3)
+    n, k = 500, 3
+    block = boosting._Block(0, rng.integers(0, 9, (k, n)).astype(np.uint8), rng.normal(size=n), rng.integers(0, 2**62, n).astype(np.uint64), np.zeros(n))
+    feature, cut, value = np.full(15, -1), np.zeros(15, np.int64), np.zeros(15)
+    whole, asked, measured = None, [0], []
+    for level in range(3):
+        first = 2**level - 1
+        every = list(range(first, 2 * first + 1))
+        seen = block.grow(feature, cut, asked, np.arange(k), 0, 0.7, 1)
+        measured.append(int(seen[1, :, 0].sum()))
+        whole = boosting._level(seen, asked, whole, first)
+        np.testing.assert_allclose(whole, block.grow(feature, cut, every, np.arange(k), 0, 0.7, 1), atol=1e-12)
+        asked = boosting._splits(whole, feature, cut, value, first, np.arange(k), 0.1)
+        assert len(asked) == len(every)
+    assert max(measured[1:]) <= measured[0] / 2
+
+
 def test_fold_trees(spark, examples):
     """Folds grown together score only their own season; sampling is repeatable."""
     df = examples[0].withColumn("season", (F.monotonically_increasing_id() % 3).cast("int"))
