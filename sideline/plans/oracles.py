@@ -539,9 +539,12 @@ ASOF LEFT JOIN feats f ON r.player_id = f.player_id AND r.season = f.season AND
 O["live_features"] = _sql(
     f"""SELECT {KEYS}, {r6s('fantasy_points_ewma', 'targets_roll3', 'opportunity_score')}, games_played FROM before_feats
 QUALIFY row_number() OVER (PARTITION BY player_id, season ORDER BY week DESC) = 1""", "before_feats")
+# Six places, then one, halves away from zero in decimal, no sign on a zero that rounding left. printf('%.1f', round(x, 6)) writes
+# -0.0 where the sum of points ends at -1e-16, and rounds 2.25 by what the double holds.
+HALF_UP = "CASE WHEN round(fantasy_points_std, 6) < 0 THEN '-' ELSE '' END || round(abs(fantasy_points_std)::DECIMAL(18,6), 1)::VARCHAR"
 O["recent_form"] = _sql(f"""
 SELECT player_id, season, {r6('avg(fantasy_points_std)', 'recent_average')}, count(*) AS recent_games,
-  string_agg('Wk ' || source_week || CASE WHEN source_season <> season THEN ' (' || source_season || ')' ELSE '' END || ': ' || printf('%.1f', round(fantasy_points_std, 6)), '|' ORDER BY week) AS recent_scores
+  string_agg('Wk ' || source_week || CASE WHEN source_season <> season THEN ' (' || source_season || ')' ELSE '' END || ': ' || {HALF_UP}, '|' ORDER BY week) AS recent_scores
 FROM (SELECT *, row_number() OVER (PARTITION BY player_id, season ORDER BY week DESC) AS b FROM history) WHERE b <= 3 GROUP BY 1, 2""", "history")
 O["form_series"] = _sql("""
 SELECT player_id, season, string_agg(printf('%.4f', round(fantasy_points_std + 1e-9, 4)), '|' ORDER BY week) AS production,

@@ -3,11 +3,11 @@
 import pytest
 
 import compare
-from sideline.operators import models
+from sideline.operators import models, views
 from sideline.operators.evaluate import ALL_RECORDS, FORECAST_LABELS
 from sideline.plans import bindings as B
 from sideline.plans import live
-from sideline.plans.oracles import ORACLES
+from sideline.plans.oracles import HALF_UP, ORACLES
 from sideline.plans.queries import REGISTRY
 from sideline.schemas import DENSE_METRICS
 from sideline.session import stored
@@ -50,3 +50,12 @@ def test_holdout_against_sql(spark, con):
     mean = actual.target_next_week[actual.season < 2001].mean()
     error = (actual.target_next_week[actual.season == 2001] - mean).abs().mean()
     assert report[ALL_RECORDS, FORECAST_LABELS["ml_projection"]].mae <= 1.05 * error
+
+
+def test_recent_form_labels(spark, con):
+    """Zeros left by rounding have no sign and halves go away from zero, in the query and in its SQL."""
+    points = [-1e-16, 1e-16, 0.0, -0.04, -0.06, 2.25, 2.35, -2.25, 0.05, 12.449999999999999, 1234.5]
+    rows = spark.createDataFrame([(str(i), 2000, 1, v) for i, v in enumerate(points)], "player_id string, season int, week int, fantasy_points_std double")
+    got = {r.player_id: r.recent_scores[0] for r in views.recent_form(rows).collect()}
+    want = con.execute(f"SELECT i, {HALF_UP} FROM (SELECT unnest(?) AS i, unnest(?) AS fantasy_points_std)", [[str(i) for i in range(len(points))], points]).fetchall()
+    assert got == {i: f"Wk 1: {label}" for i, label in want}
