@@ -42,6 +42,7 @@ RUNGS = {
 }
 
 _SEP = "\x1f"
+ROWS_A_TASK = 50_000
 
 
 def standardize_master(raw: DataFrame, *, ascii_only: bool = False) -> DataFrame:
@@ -93,6 +94,13 @@ def _optional_key(kind: str, base: list[Column], team: Column, position: Column)
     )
 
 
+def _spread(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows dealt so that a task holds some ``ROWS_A_TASK`` of them. Each is about to become a dozen keys, which are sorted
+    before they are combined, and one piece of a small file can hold millions of rows."""
+    tasks = -(-rows.count() // ROWS_A_TASK)
+    return rows.repartition(tasks, *by) if tasks > 1 else rows
+
+
 def master_keys(master: DataFrame) -> DataFrame:
     """Key dictionary: key, number of candidate rows, one candidate."""
     name, team, position = F.col("name_normalized"), F.col("team"), F.col("position")
@@ -106,7 +114,7 @@ def master_keys(master: DataFrame) -> DataFrame:
     by_token = F.transform(F.array_distinct(tokens), lambda t: _key("L", t, position))
     candidate = F.struct("player_id", "display_name", "team", "position", "name_normalized")
     return (
-        master.where(name != "")
+        _spread(master.where(name != ""), "player_id", "name_normalized")
         .select(F.explode(F.array_compact(F.concat(F.array(*keys), by_token))).alias("key"), candidate.alias("m"))
         .groupBy("key")
         .agg(F.count(F.lit(1)).alias("candidates"), F.min("m").alias("m"))

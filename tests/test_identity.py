@@ -131,3 +131,13 @@ def test_repeated_override_fails(spark):
     )
     with pytest.raises(Exception, match="duplicate key"):
         identity.match_ladder(roster(spark, [("A B", "LAR", "QB")]), master(spark, MASTER), overrides=audited, fuzzy=False).collect()
+
+
+def test_master_keys_are_spread(spark, monkeypatch):
+    """Many rows in one piece of input are dealt to tasks before they become keys; the keys stay the same."""
+    rows = [(f"p{i}", f"Name{i % 40} Last{i}", "KC", "WR", f"name{i % 40} last{i}") for i in range(500)]
+    master = spark.createDataFrame(rows, "player_id string, display_name string, team string, position string, name_normalized string").coalesce(1)
+    want = sorted(identity.master_keys(master).collect())
+    monkeypatch.setattr(identity, "ROWS_A_TASK", 100)
+    assert identity._spread(master, "player_id").rdd.getNumPartitions() == 5
+    assert sorted(identity.master_keys(master).collect()) == want
