@@ -24,17 +24,32 @@ def _fold_compatibility(values: pd.Series) -> pd.Series:
     return values.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
 
 
+# A run of characters outside ASCII with the one before it, which a combining mark may join. Nothing in a text composes across
+# the ends of such a run: an ASCII character starts anew.
+_RUN = r"[\x00-\x7F]?[^\x00-\x7F]+"
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _fold_runs(values: pd.Series) -> pd.Series:
+    return values.map(lambda runs: [unicodedata.normalize("NFKC", r) for r in runs], na_action="ignore")
+
+
 def fold_compatibility(c: Column) -> Column:
-    """Compatibility folding of a whole value, for callers that take it apart in lambdas, where no UDF can stand."""
+    """Compatibility folding of a whole value, for callers that take it apart in lambdas, where no UDF can stand.
+
+    Only the runs outside ASCII pass through Python, so that a batch of long pages does not.
+    """
     text = c.cast("string")
-    return F.coalesce(_fold_compatibility(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+    runs = F.regexp_extract_all(text, F.lit(_RUN), F.lit(0))
+    folded = F.concat(_fold_runs(F.when(text.rlike(r"[^\x00-\x7F]"), runs)), F.array(F.lit("")))
+    return F.coalesce(F.array_join(F.zip_with(F.split(text, _RUN, -1), folded, lambda between, run: F.concat(between, run)), ""), text)
 
 
 def clean_text(c: Column, *, ascii_only: bool = False) -> Column:
     """Null to "", compatibility folding, straight apostrophes, single spaces, trimmed."""
     text = F.coalesce(c.cast("string"), F.lit(""))
     if not ascii_only:
-        text = fold_compatibility(text)
+        text = F.coalesce(_fold_compatibility(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
     text = F.translate(text, " ’`", " ''")
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 

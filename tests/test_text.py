@@ -1,3 +1,5 @@
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,3 +58,13 @@ def test_compact_key_folds_like_nfkd(spark):
         base = unicodedata.normalize("NFKD", n or "").encode("ascii", "ignore").decode().lower()
         base = re.sub(r"\b(?:jr|sr|ii|iii|iv|v)\.?\b", "", base)
         assert got[i] == re.sub("[^a-z0-9]", "", base), n
+
+
+def test_fold_compatibility_of_runs(spark):
+    """Folding run by run is folding the whole; a long ASCII text around a run never enters Python."""
+    texts = ["", "plain", "\u00e9", "e\u0301", "\u0301", "x\uff1ctable\uff1e\u2460\ufb01 \u1112\u1161\u11ab e\u0301\u0323z", "\u0301\u0301a", "\u212b\n\u0301b", "\U0001d400\u00a0q", "\u0041\u030a\u0301", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.f for r in df.select("i", X.fold_compatibility(F.col("t")).alias("f")).collect()}
+    assert got == {i: t if t is None else unicodedata.normalize("NFKC", t) for i, t in enumerate(texts)}
+    long = F.regexp_extract_all(F.lit("a" * 1000 + "\u00e9"), F.lit(X._RUN), F.lit(0))
+    assert spark.range(1).select(long.alias("runs")).first().runs == ["a\u00e9"]
