@@ -19,6 +19,7 @@ from sideline.functions.text import (
 from sideline.operators.reconcile import coverage_summary, reconcile
 from sideline.operators.schema import resolve_aliases
 from sideline.schemas import PARSER_VERSION, ROSTER_ALIASES, ROSTER_COLUMNS
+from sideline.session import stored
 
 # fixed values
 SLOTS = "QB|RB|WR|TE|K|DEF|D/ST|DST|W/R/T|W/R|BN|BENCH|IR"
@@ -464,15 +465,17 @@ def import_captures(
 ) -> DataFrame:
     """Parse, reconcile and append one import batch; returns its summary row.
 
-    Every table is appended under ``batch_id``; earlier batches are not touched.
+    Every table is appended under ``batch_id``; earlier batches are not touched. The files are read once and parsed once:
+    the texts and what is parsed from them are stored, and the seven tables and their checks are made from that.
     """
-    files = read_capture_batch(spark, path, season=season, week=week)
+    files = stored(read_capture_batch(spark, path, season=season, week=week), "import-files")
     wrong = files.where(F.col("provenance_error").isNotNull()).select("source_file", F.col("provenance_error").alias("error"))
     if strict and (first := wrong.take(1)):
         raise ValueError(f"{first[0].source_file}: {first[0].error}")
     usable = files.where(F.col("provenance_error").isNull()).select("source_file", "captured_at_utc", "value")
     captured, rejected = parse_matchups(usable, week=week, league_id=league_id, strict=strict)
-    coverage, unexpected = reconcile(captured, roster, strict=strict)
+    captured = stored(captured, "import-captured")
+    coverage, unexpected = (stored(df, "import-checked") for df in reconcile(captured, roster, strict=strict))
     summary = coverage_summary(coverage, captured, unexpected).withColumns(
         {
             "parser_version": F.lit(PARSER_VERSION), "season": F.lit(season), "week": F.lit(week),

@@ -200,6 +200,24 @@ def test_import_batch(spark, tmp_path):
     assert loose.captured_entries == 0
 
 
+def test_import_reads_its_files_once(spark, tmp_path, monkeypatch):
+    """What is reconciled comes from stored rows, not from the files again."""
+    folder = tmp_path / "texts"
+    folder.mkdir()
+    (folder / "m.txt").write_text(sheet())
+    seen, plain = [], captures.reconcile
+
+    def watched(captured, roster, **kw):
+        seen.extend(captured.inputFiles())
+        return plain(captured, roster, **kw)
+
+    monkeypatch.setattr(captures, "reconcile", watched)
+    one = mapping(spark, [("Red Side", "Left Pa", "QB", "DAL", "QB", "id1", "Left Pa")])
+    row = captures.import_captures(spark, str(folder), one, str(tmp_path / "out"), batch_id="b", season=2025, week=3, league_id="77", strict=False).first()
+    assert row.captured_entries == 23
+    assert seen and all(name.endswith(".parquet") for name in seen)
+
+
 def test_reconcile_loses_no_capture(spark):
     """Two captures of one player: the first by slot is kept, the other comes back with its reason."""
     captured, _ = parse(spark, sheet())
