@@ -973,7 +973,8 @@ def stream_events(spark, sf_dir):
 def stream_status(spark, sf_dir):
     injuries = status.standardize_injuries(B.raw_injuries(spark, sf_dir), ascii_only=True)
     path = scratch(spark, "status")
-    arriving = _stream(spark, injuries.repartition(4), "injuries", files=1)
+    files = spark.sparkContext.defaultParallelism  # of each of four batches, so that every core writes and reads its share
+    arriving = _stream(spark, injuries.repartition(4 * files), "injuries", files=files)
     streams.write_changes(streams.stream_latest_status(arriving, 20), path, f"status_{new_id()}").awaitTermination()
     return streams.current_status(spark, path).select("player_id", "injury_flag", "injury_note", "season_ending")
 

@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sideline.operators.compare import pregame_gate
 from sideline.operators.events import event_rollup
@@ -37,37 +33,26 @@ def stream_event_rollup(plays: DataFrame, *, week_end: Column, time_column: str
 
 
 STATUS = "player_id string, week int, status string, injury string, updated_us long, injury_flag string, injury_note string, season_ending boolean"
-_STATE = "week int, undated boolean, updated_us long, status string, injury string"
-
-
-def _newest_of(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One player's newest flagged row of a batch, if it is newer than the one in the state. Holds one row at a time."""
-    old = best = tuple(state.get) if state.exists else None
-    row = None
-    for batch in batches:
-        columns = ("week", "status", "injury", "updated_us", "injury_flag", "injury_note", "season_ending")
-        for week, status, injury, updated, flag, note, ending in zip(*(batch[c].tolist() for c in columns), strict=True):
-            undated = updated is None or updated != updated
-            order = (int(week), undated, 0 if undated else int(updated), status, injury)
-            if best is None or order > best:
-                best, row = order, (key[0], int(week), status, injury, None if undated else int(updated), flag, note, bool(ending))
-    if best != old:
-        state.update(best)
-        yield pd.DataFrame([row], columns=[c.split(" ")[0] for c in STATUS.split(", ")]).astype({"updated_us": "Int64"})
 
 
 def stream_latest_status(injuries: DataFrame, target_week: int) -> DataFrame:
     """Newest unavailability per player up to a week, as a stream of changes: a row whenever a player has a newer one.
 
-    State is one small row per player (`latest_status`'s sort key). Rows that leave a player available are dropped first, so a
-    cleared player keeps an older flag, as in the batch form.
+    An aggregate that combines before its shuffle: what reaches the state is one row per player and task, what it holds one small
+    row per player (the newest by `latest_status`'s sort key, and when it first came). Only rows that came with the batch itself
+    are news; a time of arrival is the batch's own, the same if the batch is run again. Rows that leave a player available are
+    dropped first, so a cleared player keeps an older flag, as in the batch form.
     """
     flagged = injuries.where((F.col("week") <= target_week) & (F.col("injury_flag") != ""))
+    batch_time = F.unix_micros(F.current_timestamp())
     rows = flagged.select(
-        "player_id", "week", "status", "injury", F.unix_micros("updated").alias("updated_us"), "injury_flag", injury_note().alias("injury_note"),
-        season_ending().alias("season_ending"),
+        "player_id", "week", "status", "injury", F.unix_micros("updated").alias("updated_us"), "injury_flag",
+        injury_note().alias("injury_note"), season_ending().alias("season_ending"), batch_time.alias("arrived"),
     )
-    return rows.groupBy("player_id").applyInPandasWithState(_newest_of, STATUS, _STATE, "update", GroupStateTimeout.NoTimeout)
+    # Of equal rows the one that came first stays, so that a repeated row is no news.
+    order = F.struct("week", F.col("updated_us").isNull().alias("undated"), "updated_us", "status", "injury", (-F.col("arrived")).alias("first"))
+    newest = rows.groupBy("player_id").agg(F.max_by(F.struct(*rows.columns[1:]), order).alias("r"))
+    return newest.where(F.col("r.arrived") == batch_time).select("player_id", "r.*").drop("arrived")
 
 
 def write_changes(changes: DataFrame, path: str, name: str) -> StreamingQuery:

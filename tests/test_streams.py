@@ -1,6 +1,7 @@
 """Streams over several batches."""
 
 import itertools
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -54,3 +55,22 @@ def test_status_large_weeks_and_repeats(spark, tmp_path):
         spark.createDataFrame([("a", "1", "Out", "knee", "2024-09-01 10:00:00")] * 50, schema).write.parquet(str(source / f"{i}"))
         streams.write_changes(streams.stream_latest_status(arriving, 5), str(tmp_path / "out"), f"repeat-{tmp_path.name}").awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_status_state_is_an_aggregate(spark, tmp_path):
+    """The newest row is kept by Spark's own aggregate, combined before the shuffle: no Python per player and batch.
+
+    A row that comes again in a later batch, alone or beside an older one, is no news; a newer one is, once.
+    """
+    schema = "player_id string, week string, status string, injury string, updated string"
+    source, out, name, plans = tmp_path / "in", str(tmp_path / "out"), f"aggregate-{uuid.uuid4().hex}", []
+    arriving = status.standardize_injuries(spark.readStream.schema(schema).parquet(str(source / "*")), ascii_only=True)
+    old, new = ("a", "1", "Out", "knee", "2024-09-01 10:00:00"), ("a", "2", "Out", "knee", "2024-09-08 10:00:00")
+    for i, batch in enumerate([[old] * 3, [old], [old, new, new], [new, old], [("b", "1", "Out", "", None), ("b", "1", "Out", "", None)]]):
+        spark.createDataFrame(batch, schema).write.parquet(str(source / f"{i}"))
+        done = streams.write_changes(streams.stream_latest_status(arriving, 5), out, name)
+        done.awaitTermination()
+        plans.append(done._jsq.explainInternal(False))
+    got = spark.read.parquet(out).select("player_id", "week", "updated_us").collect()
+    assert sorted((r["player_id"], r["week"], r["updated_us"] is None) for r in got) == [("a", 1, False), ("a", 2, False), ("b", 1, True)]
+    assert all("Python" not in p and "Pandas" not in p for p in plans) and any("StateStoreSave" in p for p in plans)
