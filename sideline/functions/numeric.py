@@ -73,14 +73,20 @@ def at_most(c: Column, limit: float) -> Column:
 
 
 def row_std(values: Sequence[Column], fallback: float) -> Column:
-    """Population std of the non-missing values in a row; fallback when fewer than two."""
-    finite = [F.when(F.abs(v) < F.lit(float("inf")), v) for v in values]
-    n = sum((F.when(v.isNotNull(), 1).otherwise(0) for v in finite), F.lit(0))
-    mean = sum((zero_if_null(v) for v in finite), F.lit(0.0)) / n
-    squares = sum(
-        (F.when(v.isNotNull(), (v - mean) * (v - mean)).otherwise(0.0) for v in finite), F.lit(0.0)
-    )
-    return F.when(n >= 2, F.sqrt(squares / n)).otherwise(F.lit(float(fallback)))
+    """Population std of the non-missing values in a row; fallback when fewer than two.
+
+    The values are an array that is folded twice. Written out, the mean would stand in every term of the squares, and a row's code
+    would be longer than what the JVM compiles.
+    """
+    finite = F.filter(F.array(*values), lambda v: F.abs(v) < F.lit(float("inf")))
+
+    def deviation(kept: Column) -> Column:
+        n = F.size(kept)
+        mean = F.aggregate(kept, F.lit(0.0), lambda a, v: a + v, lambda a: a / n)
+        squares = F.transform(F.array(mean), lambda m: F.aggregate(kept, F.lit(0.0), lambda a, v: a + (v - m) * (v - m)))
+        return F.when(n >= 2, F.sqrt(squares[0] / n)).otherwise(F.lit(float(fallback)))
+
+    return F.transform(F.array(finite), deviation)[0]
 
 
 def points_cell(c: Column) -> Column:

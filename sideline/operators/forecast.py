@@ -120,9 +120,12 @@ def signal_chips(df: DataFrame) -> DataFrame:
     return df.withColumn("signals", F.when(F.size(chips) == 0, F.array(F.lit("Stable"))).otherwise(chips))
 
 
-def _tenths(c: Column) -> Column:
-    """A number to one decimal, halves up; the slack decides halves alike whatever the order of a sum."""
-    return F.floor((c + SLACK) * 10 + 0.5) / 10
+def _tenths(*numbers: Column) -> Column:
+    """Numbers as texts of one decimal, halves up; the slack decides halves alike whatever the order of a sum.
+
+    One array passes through one expression: written out per number, a row's code would be longer than what the JVM compiles.
+    """
+    return F.transform(F.array(*numbers), lambda c: F.format_string("%.1f", F.floor((c + SLACK) * 10 + 0.5) / 10))
 
 
 def explanation_columns(df: DataFrame) -> DataFrame:
@@ -143,13 +146,14 @@ def explanation_columns(df: DataFrame) -> DataFrame:
             .otherwise(""),
         }
     )
+    moves = _tenths(*[zero_if_null(F.col(c)) for c in ("opportunity_momentum", "production_momentum", "trend_gap")])
+    parts = _tenths(*[F.col(c) for c in ("consistency_part", "opportunity_part", "raw_confidence", "volatility")], zero_if_null(F.col("opportunity_score")))
+    df = df.withColumns({"_moves": moves, "_parts": parts})
     signal = F.format_string(
-        "%s: %s Momentum of use %.1f and of points %.1f, gap %.1f, touchdown share %d%%.",
+        "%s: %s Momentum of use %s and of points %s, gap %s, touchdown share %d%%.",
         label,
         F.coalesce(F.try_element_at(texts, label), F.lit(SIGNAL_TEXT["Stable"])),
-        _tenths(zero_if_null(F.col("opportunity_momentum"))),
-        _tenths(zero_if_null(F.col("production_momentum"))),
-        _tenths(zero_if_null(F.col("trend_gap"))),
+        *[F.col("_moves")[i] for i in range(3)],
         F.floor(zero_if_null(F.col("td_dependency")) * 100 + SLACK + 0.5),
     )
     early = F.format_string(
@@ -157,18 +161,18 @@ def explanation_columns(df: DataFrame) -> DataFrame:
         F.col("games_played").cast("long"),
     )
     full = F.format_string(
-        "50%% and %.1f for consistency and %.1f for opportunity make %.1f%%.%s"
-        " Based on a volatility of %.1f, an opportunity score of %.1f and %d games.",
-        _tenths(F.col("consistency_part")), _tenths(F.col("opportunity_part")), _tenths(F.col("raw_confidence")),
+        "50%% and %s for consistency and %s for opportunity make %s%%.%s"
+        " Based on a volatility of %s, an opportunity score of %s and %d games.",
+        *[F.col("_parts")[i] for i in range(3)],
         F.when(F.col("confidence_bound") != "", F.concat(F.lit(" "), F.col("confidence_bound"))).otherwise(""),
-        _tenths(F.col("volatility")), _tenths(zero_if_null(F.col("opportunity_score"))), F.col("games_played").cast("long"),
+        *[F.col("_parts")[i] for i in (3, 4)], F.col("games_played").cast("long"),
     )
     return df.withColumns(
         {
             "signal_text": signal,
             "confidence_text": F.when(F.col("games_played") < 3, early).otherwise(full),
         }
-    )
+    ).drop("_moves", "_parts")
 
 
 def final_projection(df: DataFrame) -> DataFrame:
