@@ -17,6 +17,7 @@ from sideline.operators.models import (
 )
 from sideline.operators.status import apply_depth
 from sideline.operators.temporal import latest_per_history, player_features, walk_forward, with_carryover
+from sideline.schemas import MODEL_FEATURES
 from sideline.session import stored
 
 
@@ -68,6 +69,12 @@ def fold_pairs(stats: DataFrame, schedule: DataFrame | None, folds: Mapping[int,
     return project(pairs)
 
 
+def fold_columns(pairs: DataFrame) -> DataFrame:
+    """The columns that models and reports of folds read; the others, some hundred, need not be computed and stored."""
+    wanted = ("season", "position", "target_next_week", "baseline_projection", *MODEL_FEATURES)
+    return pairs.select(*[c for c in pairs.columns if c in wanted])
+
+
 def fold_forecasts(pairs: DataFrame, folds: Mapping[int, Sequence[int]], *, tree_settings: dict | None = TREE_SETTINGS) -> DataFrame:
     """The holdout rows of all folds with the forecasts of models fitted on each fold's own training seasons.
 
@@ -86,7 +93,7 @@ def fold_forecasts(pairs: DataFrame, folds: Mapping[int, Sequence[int]], *, tree
 
 def fold_reports(pairs: DataFrame, folds: Mapping[int, Sequence[int]], *, tree_settings: dict | None = TREE_SETTINGS) -> DataFrame:
     """Reports of forecasts by groups for every fold, with ``holdout_season``; groups without rows have 0 examples."""
-    pairs = stored(pairs, "fold-pairs")  # read by the season sums, the matrix of the trees, and the scoring
+    pairs = stored(fold_columns(pairs), "fold-pairs")  # read by the season sums, the matrix of the trees, and the scoring
     test = fold_forecasts(pairs, folds, tree_settings=tree_settings).withColumn("holdout_season", F.col("season").cast("int"))
     return forecast_metrics(test, by={"holdout_season": sorted(folds)})
 

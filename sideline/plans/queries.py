@@ -916,7 +916,7 @@ def fold_ridge_metrics(spark, sf_dir):
     """Every season but the first as the holdout of a ridge on all seasons before it."""
     seasons = range(1996, 2002)
     folds = {h: train for train, h in live.fold_table(seasons, earliest=1995)}
-    rows = stored(forecast.project(pairs(spark, sf_dir)), "fold-rows")
+    rows = stored(live.fold_columns(forecast.project(pairs(spark, sf_dir))), "fold-rows")
     report = evaluate.forecast_metrics(live.fold_forecasts(rows, folds, tree_settings=None), by={"season": list(seasons)})
     return show(report.where("examples > 0"))
 
