@@ -10,7 +10,8 @@ Vectors are turned into integers first. Null vectors, vectors with null or non-f
 no part; equal rows count once; a query is compared with vectors of its own length and never with a row of its own id. An
 empty table gives an empty result. A block has a bounded number of rows, also where one vector holds a third of the table:
 near vectors beyond that number go to further blocks. Queries meet blocks as pairs of packed rows by an equi-join on the
-block number.
+block number. Both sides of it are dealt out by that number: the packs' size is not seen in a plan's estimates, and a broadcast
+would take the queries of every block, which grow with the square of the table, through the driver.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,7 +30,9 @@ QUERIES = 2048  # queries packed into one row, on average
 CENTRES, SAMPLE = 32, 4000  # centres, and vectors they are fitted on (lowest hashes of the id)
 FIRST_DEPTH = 32
 
-PACKED = T.StructType([T.StructField("pack", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("keys", T.BinaryType()), T.StructField("values", T.BinaryType())])
+TASKS = 8  # tasks a core that search, where there are as many blocks
+
+PACKED = T.StructType([T.StructField("pack", T.LongType()), T.StructField("dims", T.IntegerType()), T.StructField("ids", T.BinaryType()), T.StructField("keys", T.BinaryType()), T.StructField("values", T.BinaryType())])
 FOUND = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("query_key", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
 
 
@@ -91,8 +94,21 @@ def _pack(table: pa.Table) -> pa.Table:
     table = table.sort_by([("id", "ascending"), ("key", "ascending")])
     flat = _matrix(table.column("v").combine_chunks()).astype(np.int64)
     ids, keys = (table.column(c).to_numpy().astype(np.int64) for c in ("id", "key"))
-    row = [[table.column("pack")[0].as_py()], [ids.tobytes()], [keys.tobytes()], [flat.tobytes()]]
-    return pa.Table.from_arrays([pa.array(c, f) for c, f in zip(row, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=PACKED.names)
+    row = [[table.column("pack")[0].as_py()], [flat.shape[1]], [ids.tobytes()], [keys.tobytes()], [narrow(flat).tobytes()]]
+    return pa.Table.from_arrays([pa.array(c, f) for c, f in zip(row, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=PACKED.names)
+
+
+def narrow(values: np.ndarray) -> np.ndarray:
+    """The same integers in the fewest bytes that hold all of them."""
+    kinds = (np.int8, np.int16, np.int32, np.int64)
+    low, high = (int(values.min()), int(values.max())) if values.size else (0, 0)
+    return values.astype(next(k for k in kinds if np.iinfo(k).min <= low and high <= np.iinfo(k).max))
+
+
+def widened(packed: bytes, rows: int, dims: int) -> np.ndarray:
+    """A matrix that ``narrow`` packed."""
+    width = len(packed) // (rows * dims) if rows * dims else 8
+    return np.frombuffer(packed, f"i{width}").astype(np.int64).reshape(rows, dims)
 
 
 class Lists:
@@ -154,11 +170,11 @@ def _searcher(k: int):
             for row in batch.to_pylist():
                 ids = np.frombuffer(row["ids"], np.int64)
                 if row["pack"] != last:
-                    last, lists = row["pack"], Lists(ids, np.frombuffer(row["values"], np.int64).reshape(len(ids), -1))
+                    last, lists = row["pack"], Lists(ids, widened(row["values"], len(ids), row["dims"]))
                 q_ids, q_keys = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["q_keys"], np.int64)
-                queries = np.frombuffer(row["q_values"], np.int64).reshape(len(q_ids), -1)
-                if queries.shape[1] != lists.values.shape[1]:
+                if row["q_dims"] != row["dims"]:
                     continue
+                queries = widened(row["q_values"], len(q_ids), row["q_dims"])
                 bounds = row["bounds"] or [None] * len(q_ids)
                 out = [(q, key, *lists.search(v, q, k, b)) for q, key, v, b in zip(q_ids.tolist(), q_keys.tolist(), queries, bounds, strict=True)]
                 sizes = [len(x[2]) for x in out]
@@ -195,6 +211,12 @@ def _numbered(rows: DataFrame, by: list[str], size: int) -> tuple[DataFrame, int
     return rows.withColumn("pack", pack).withColumn("first_pack", F.col("_at.first")).drop("_at"), packs
 
 
+def _pairs(packs: DataFrame, block: Column, blocks: DataFrame, tasks: int) -> DataFrame:
+    """Packs of queries next to the blocks they meet, in order of the blocks."""
+    packs = packs.withColumn("block", block).withColumnRenamed("pack", "q_pack").repartition(tasks, "block")
+    return packs.join(blocks.repartition(tasks, "pack").hint("merge"), F.col("block") == F.col("pack"))
+
+
 def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """For each vector whose id is divisible by ``every``: query_id, rank (from 1), vec_id, score of its k best."""
     spark = vectors.sparkSession
@@ -202,7 +224,9 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, key
     lengths = [r["dims"] for r in rows.groupBy("dims").count().orderBy(F.desc("count")).limit(1000).collect()]
     centres = {}
     for size in lengths[:8]:  # vectors of rarer lengths have no centres, which costs time alone
-        sample = rows.where(F.col("dims") == size).orderBy(F.xxhash64("id", "key")).limit(SAMPLE).select("v").toPandas()["v"]
+        own = rows.where(F.col("dims") == size).withColumn("hash", F.xxhash64("id", "key"))
+        last = own.select("hash").orderBy("hash").limit(SAMPLE).agg(F.max("hash")).first()[0]  # hashes alone: each task offers as many as the sample has
+        sample = own.where(F.col("hash") <= last).select("v").toPandas()["v"]
         centres[size] = fit_centres(np.stack(sample.to_numpy())) if size else np.zeros((0, 0))
     shared = spark.sparkContext.broadcast(centres)
     placed = rows.select("id", "v", "key", "dims").mapInArrow(_assign(shared), T.StructType([*rows.select("id", "v", "key", "dims").schema, T.StructField("cell", T.IntegerType())]))
@@ -210,13 +234,13 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, key
     packed, packs = _numbered(placed, ["dims", "cell"], BLOCK)
     blocks = stored(packed.select("pack", "id", "key", "v").groupBy("pack").applyInArrow(_pack, PACKED), "blocks")
     queries = packed.where(F.col("id") % every == 0)
-    named = lambda df: df.select("pack", *(F.col(c).alias(f"q_{c}") for c in ("ids", "keys", "values")))
-    pairs_of = lambda packs_of, numbers: packs_of.withColumn("block", numbers).withColumnRenamed("pack", "q_pack").join(blocks, F.col("block") == F.col("pack"))
-    order = ["pack", "ids", "values", "q_ids", "q_keys", "q_values", "bounds"]
+    named = lambda df: df.select("pack", *(F.col(c).alias(f"q_{c}") for c in PACKED.names[1:]))
+    tasks = max(1, min(packs, TASKS * spark.sparkContext.defaultParallelism))
+    order = ["pack", "dims", "ids", "values", "q_dims", "q_ids", "q_keys", "q_values", "bounds"]
 
     # Each query over the first block of its own centre, for a lower bound of its k-th score.
     home = named(queries.select(F.col("first_pack").alias("pack"), "id", "key", "v").withColumn("pack", F.col("pack") * 1_000_000 + F.pmod(F.xxhash64("id"), F.lit(64))).groupBy("pack").applyInArrow(_pack, PACKED))
-    near = pairs_of(home, F.expr("pack div 1000000")).withColumn("bounds", F.lit(None).cast("array<long>"))
+    near = _pairs(home, F.expr("pack div 1000000"), blocks, tasks).withColumn("bounds", F.lit(None).cast("array<long>"))
     near = near.select(*order).mapInArrow(_searcher(k), FOUND)
     bounds = near.groupBy("query_id", "query_key").agg(F.count("*").alias("n"), F.min("score").alias("bound")).where(F.col("n") >= k)
 
@@ -225,7 +249,8 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, key
     q = stored(q.join(bounds.select(F.col("query_id").alias("id"), F.col("query_key").alias("key"), "bound"), ["id", "key"], "left"), "queries")
     sides = named(q.select("pack", "id", "key", "v").groupBy("pack").applyInArrow(_pack, PACKED))
     limits = q.groupBy("pack").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "key", "bound"))), lambda x: x["bound"]).alias("bounds"))
-    every_block = pairs_of(sides.join(limits, "pack"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(packs - 1, 0)).cast("long"))))
+    numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(packs - 1, 0)).cast("long")))
+    every_block = _pairs(sides.join(limits.hint("merge"), "pack"), numbers, blocks, tasks)
     found = every_block.select(*order).mapInArrow(_searcher(k), FOUND)
     best = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

@@ -302,6 +302,24 @@ def test_top_k(spark, monkeypatch):
     assert topk.top_k(df.limit(0)).collect() == []
 
 
+def test_top_k_broadcasts_no_vectors(spark, monkeypatch):
+    """Queries meet blocks by a shuffle, whatever the estimates; the queries of all blocks do not pass the driver."""
+    plans, plain = [], topk.stored
+    text = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(topk, "stored", lambda df, tag: plans.append((tag, text(df))) or plain(df, tag))
+    rows = spark.range(900).select(F.col("id").alias("vec_id"), F.array(*[(F.hash("id", F.lit(i)) % 64 / 64).cast("float") for i in range(4)]).alias("embedding"))
+    plans.append(("result", text(topk.top_k(rows, k=5))))
+    plans = dict(plans)
+    assert all("SortMergeJoin [block" in plans[p] for p in ("queries", "result")) and "Broadcast" not in plans["result"]
+
+
+@pytest.mark.parametrize("top", [0, 127, 128, 40_000, 2**40])
+def test_packed_values(top):
+    values = np.array([[0, -top], [top, 1], [2, 3]])
+    assert (topk.widened(topk.narrow(values).tobytes(), 3, 2) == values).all()
+    assert topk.widened(topk.narrow(values[:, :0]).tobytes(), 3, 0).shape == (3, 0)
+
+
 def test_threshold_stops_early():
     """On vectors with one strong dimension the lists end long before the block does."""
     rng = np.random.default_rng(4)
