@@ -15,7 +15,6 @@ from sideline.functions.numeric import as_double, finite_or_zero
 from sideline.operators.boosting import Trees, fit_boosted, nodes_table, trees_of
 from sideline.operators.statistics import SeasonSums, season_sums, solve_ridge
 from sideline.schemas import MODEL_FEATURES, OFFENSE, SCORING_VERSION
-from sideline.session import stored
 
 # fixed values
 RIDGE_PENALTY = 12.0
@@ -232,19 +231,17 @@ def fit_fold_trees(
 ) -> dict[int, TreeModel]:
     """Boosted trees of every fold (holdout season -> training seasons, null for all rows), grown together, a job a level.
 
-    Squared error on the same inputs as the ridge. A fold with too little to learn from has no model.
+    Squared error on the same inputs as the ridge. A fold with too little to learn from has no model. The rows are read twice:
+    store them first where they take long to make.
     """
     rows = rows.where(F.col(target).isNotNull())
     columns, names = design_columns(rows)
     if len(names) < MIN_FEATURES:
         return {}
     uses = F.array_compact(F.array(*[F.when(F.lit(True) if seasons is None else F.col(by).isin(list(seasons)), F.lit(int(h))) for h, seasons in folds.items()]))
-    matrix = stored(rows.select(F.explode(uses).alias("fold"), F.col(target).cast("double").alias("y"), *[columns[n].alias(n) for n in names]), "folds")
-    sizes = {r["fold"]: r["n"] for r in matrix.groupBy("fold").agg(F.count("*").alias("n")).collect() if r["n"] >= min_examples}
-    if not sizes:
-        return {}
-    grown = fit_boosted(matrix.where(F.col("fold").isin(list(sizes))), names, settings)
-    return {h: TreeModel(trees, names, sizes[h], h) for h, trees in grown.items()}
+    matrix = rows.select(F.explode(uses).alias("fold"), F.col(target).cast("double").alias("y"), *[columns[n].alias(n) for n in names])
+    grown = fit_boosted(matrix, names, settings, min_examples)
+    return {h: TreeModel(trees, names, trees.rows, h) for h, trees in grown.items()}
 
 
 def fit_trees(

@@ -63,6 +63,8 @@ def current_projections(
 def fold_pairs(stats: DataFrame, schedule: DataFrame | None, folds: Mapping[int, Sequence[int]], *, dense=()) -> DataFrame:
     """The walk-forward pairs of all folds' seasons from one pass, with the baseline forecast and, given a schedule, the matchup."""
     seasons = sorted({s for h, train in folds.items() for s in (*train, h)})
+    if schedule is not None:
+        stats = stored(stats, "fold-stats")  # read by the pairs and by the matchup
     pairs = walk_forward(stats, seasons=seasons, dense=dense)
     if schedule is not None:
         pairs = add_matchup_feature(pairs, stats.where(F.col("season").isin(seasons)), schedule)

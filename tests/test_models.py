@@ -158,6 +158,41 @@ def test_boosting_measures_smaller_children():
     assert max(measured[1:]) <= measured[0] / 2
 
 
+def test_boosting_shares_bytes():
+    """Features of few bins share a byte, and a level's sums are those of a byte a feature, by one or two bytes a pass."""
+    rng = np.random.default_rng(8)
+    counts, n = [64, 3, 14, 64, 8, 23, 1, 11, 3, 256], 60_000
+    layout = boosting._Layout.of(counts)
+    assert len(layout.groups) < len(counts) and all(layout.cells(g) <= 256 for g in range(len(layout.groups)))
+    bins = np.stack([rng.integers(0, c, n) for c in counts]).astype(np.uint8)
+    codes = layout.packed(bins)
+    columns = boosting._Columns(codes, layout)
+    assert all((columns[j] == bins[j]).all() for j in range(len(counts)))
+    few, counts = [0, 1, 2, 3, 4, 5, 6, 7, 8], counts[:9]
+    layout, bins = boosting._Layout.of(counts), bins[:9]
+    y, ids = rng.normal(size=n), rng.integers(0, 2**32, n).astype(np.uint32)
+    plain, packed = boosting._Block(0, bins, y, ids), boosting._Block(0, layout.packed(bins), y, ids, layout=layout)
+    feature, cut = np.full(15, -1), np.zeros(15, np.int64)
+    feature[[0, 1, 2, 4]], cut[[0, 1, 2, 4]] = [0, 4, 1, 5], [30, 3, 0, 9]
+    assert (plain.ends(feature, cut) == packed.ends(feature, cut)).all() and len(np.unique(packed.ends(feature, cut))) == 5
+    for nodes in ([0], [1], [3, 5], [3, 5, 6, 9]):
+        for chosen in (np.array(few), np.array([1, 3, 6])):
+            split = np.where(np.isin(np.arange(15), [0, 1, 2, 4][: len(nodes)]) & (len(nodes) > 1) | (np.arange(15) < nodes[0]), feature, -1)
+            want, got = (b.grow(split, cut, nodes, chosen, 3, 0.85, 42) for b in (plain, packed))
+            np.testing.assert_allclose(got, want, atol=1e-9)
+            assert want[1].sum() > 0
+
+
+def test_fold_stats_are_made_once(spark, monkeypatch):
+    """Stats that pairs and matchup read are stored and read back."""
+    from sideline.plans import bindings, live, queries
+
+    sf, tags, plain = "/root/testdata/sf0.001", [], live.stored
+    monkeypatch.setattr(live, "stored", lambda df, tag: tags.append(tag) or plain(df, tag))
+    pairs = live.fold_pairs(bindings.usage(spark, sf), bindings.schedule(spark, sf), {2001: [1999, 2000]}, dense=queries.DENSE_METRICS)
+    assert tags == ["fold-stats"] and "l_quantity" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
 def test_fold_trees(spark, examples):
     """Folds grown together score only their own season; sampling is repeatable."""
     df = examples[0].withColumn("season", (F.monotonically_increasing_id() % 3).cast("int"))
