@@ -923,7 +923,9 @@ def fold_ridge_metrics(spark, sf_dir):
 
 @query
 def gbt_scores(spark, sf_dir):
+    wanted = {"player_id", "target_week", "season", "position", "target_next_week", *MODEL_FEATURES}
     rows = pairs(spark, sf_dir)
+    rows = stored(rows.select(*[c for c in rows.columns if c in wanted]), "tree-rows")  # read for bins, blocks, and the scoring
     trees = models.fit_trees(rows, SEASON)
     return models.apply_trees(rows, trees).select("player_id", "season", "target_week", "ml_projection")
 

@@ -193,6 +193,17 @@ def test_fold_stats_are_made_once(spark, monkeypatch):
     assert tags == ["fold-stats"] and "l_quantity" not in pairs._jdf.queryExecution().executedPlan().toString()
 
 
+def test_tree_rows_are_made_once(spark, monkeypatch):
+    """Rows that are fitted and scored are stored and read back."""
+    from sideline.plans import queries
+
+    tags, plain = [], queries.stored
+    monkeypatch.setattr(queries, "stored", lambda df, tag: tags.append(tag) or plain(df, tag))
+    monkeypatch.setattr(models, "fit_trees", lambda rows, season: None)
+    scores = queries.gbt_scores(spark, "/root/testdata/sf0.001")
+    assert tags == ["tree-rows"] and "Window" not in scores._jdf.queryExecution().executedPlan().toString()
+
+
 def test_fold_trees(spark, examples):
     """Folds grown together score only their own season; sampling is repeatable."""
     df = examples[0].withColumn("season", (F.monotonically_increasing_id() % 3).cast("int"))
